@@ -52,14 +52,16 @@ def net_call_count(code: Column) -> Column:
     return F.regexp_count(code, F.lit("(?iU)" + NET_CALL_PATTERN))
 
 
-def with_raw_counts(df: DataFrame, code_col: str = "code_content") -> DataFrame:
-    """Adds the raw counts behind the eight features."""
+def with_raw_counts(df: DataFrame, code_col: str = "code_content", have_b: bool = False) -> DataFrame:
+    """Adds the raw counts behind the eight features (``have_b``: the
+    catalog-B ``hit_count``/``max_severity`` columns already exist)."""
     code = F.col(code_col)
-    hits, sev = rule_summary_b(code)
+    b = []
+    if not have_b:
+        hits, sev = rule_summary_b(code)
+        b = [sev.alias("max_severity"), hits.cast("long").alias("hit_count")]
     return df.select(
-        "*",
-        sev.alias("max_severity"),
-        hits.cast("long").alias("hit_count"),
+        "*", *b,
         line_count(code).cast("long").alias("line_count"),
         F.length(code).cast("long").alias("char_count"),
         comment_line_count(code).cast("long").alias("comment_lines"),
@@ -86,8 +88,9 @@ def feature_columns() -> list[Column]:
     ]
 
 
-def with_features(df: DataFrame, code_col: str = "code_content", keep_raw: bool = False) -> DataFrame:
-    raw = with_raw_counts(df, code_col)
+def with_features(df: DataFrame, code_col: str = "code_content", keep_raw: bool = False,
+                  have_b: bool = False) -> DataFrame:
+    raw = with_raw_counts(df, code_col, have_b)
     out = raw.select("*", *feature_columns())
     if not keep_raw:
         out = out.drop("max_severity", "hit_count", "line_count", "char_count",

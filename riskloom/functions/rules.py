@@ -55,7 +55,7 @@ def match_column_name(rule: Rule) -> str:
     return f"_m{rule.catalog}_{rule.cat_ord}_{rule.pat_ord}"
 
 
-def with_match_arrays(df, code_col: str = "code_content", prefiltered: bool = True):
+def with_match_arrays(df, code_col: str = "code_content", prefiltered: bool = True, keep_folded: bool = False):
     """Adds one match array per catalog-A pattern (``_mA_c_p``)."""
     code = F.col(code_col)
     out = df
@@ -64,7 +64,7 @@ def with_match_arrays(df, code_col: str = "code_content", prefiltered: bool = Tr
         out = out.withColumn("_lc", folded(code))
         lc = F.col("_lc")
     out = out.select("*", *[matches(code, lc, r).alias(match_column_name(r)) for r in rules_a()])
-    return out.drop("_lc") if prefiltered else out
+    return out.drop("_lc") if prefiltered and not keep_folded else out
 
 
 def category_matches(cat_ord: int) -> Column:
@@ -127,3 +127,14 @@ def rule_summary_b(code: Column, prefiltered: bool = True) -> tuple[Column, Colu
     count = reduce(lambda a, b: a + b, [h.cast("int") for _, h in hits])
     sev = F.coalesce(F.greatest(*[F.when(h, F.lit(r.severity)) for r, h in hits]), F.lit(0.0))
     return count, sev
+
+
+def rule_summary_b_from_arrays(code: Column, lc: Column | None = None) -> tuple[Column, Column]:
+    """Catalog-B summary reusing the catalog-A match arrays of
+    :func:`with_match_arrays` for the patterns both catalogs share; only
+    B-only patterns run a regex of their own."""
+    shared = {r.pattern: F.size(F.col(match_column_name(r))) > 0 for r in rules_a()}
+    hits = [(r, shared[r.pattern] if r.pattern in shared else hit(code, lc, r.pattern)) for r in rules_b()]
+    count = reduce(lambda a, b: a + b, [h.cast("int") for _, h in hits])
+    sev = F.coalesce(F.greatest(*[F.when(h, F.lit(r.severity)) for r, h in hits]), F.lit(0.0))
+    return count, sev

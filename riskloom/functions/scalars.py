@@ -64,3 +64,10 @@ def strip_text(c: Column) -> Column:
 def is_blank(code: Column) -> Column:
     """True when ``code.strip()`` would be empty (or code is null)."""
     return code.isNull() | ~code.rlike(r"(?U)[^\s\x1C-\x1F]")
+
+
+def fmt2(x: Column) -> Column:
+    """Two-decimal text rounded on the exact binary value, half to even
+    (Python's ``%.2f``); ``format_string`` rounds the shortest decimal
+    form half-up instead (0.725 -> 0.73)."""
+    return F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))

@@ -69,7 +69,8 @@ def route_llm(df: DataFrame, score_col: str = "custom_score", trained: bool = Tr
             cands = F.coalesce(F.col("_cands"), empty)
         else:
             cand = wanting.select("_key").orderBy("_key").limit(budget)
-            cands = F.coalesce(cand.agg(keys).scalar(), empty)
+            d = d.withColumn("_cands", cand.agg(keys).scalar())
+            cands = F.coalesce(F.col("_cands"), empty)
         before = F.size(F.filter(cands, lambda k: k < F.col("_key"))).cast("long")
         out = (d.withColumn("calls_before", before)
                .withColumn("budget_exhausted", F.col("calls_before") >= F.lit(budget)))

@@ -60,6 +60,18 @@ def with_findings(df: DataFrame, code_col: str = "code_content") -> DataFrame:
     return out.withColumn("vulnerabilities", rules.vulnerability_lines(F.col("evidence")))
 
 
+def with_findings_and_b(df: DataFrame, code_col: str = "code_content") -> DataFrame:
+    """:func:`with_findings` plus the catalog-B summary (``hit_count``,
+    ``max_severity``) derived from the same match arrays."""
+    arrays = rules.with_match_arrays(df, code_col, keep_folded=True)
+    hits, sev = rules.rule_summary_b_from_arrays(F.col(code_col), F.col("_lc"))
+    out = arrays.select("*", rules.floor_from_arrays().alias("pattern_floor"),
+                        rules.evidence_array().alias("evidence"),
+                        hits.cast("long").alias("hit_count"), sev.alias("max_severity"))
+    out = out.drop("_lc", *[rules.match_column_name(r) for r in rules_a()])
+    return out.withColumn("vulnerabilities", rules.vulnerability_lines(F.col("evidence")))
+
+
 def with_pattern_floor(df: DataFrame, code_col: str = "code_content") -> DataFrame:
     return df.withColumn("pattern_floor", rules.pattern_floor(F.col(code_col)))
 

@@ -59,19 +59,18 @@ def save_commits(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return store.unionByName(new_rows(store, incoming).select(*store.columns))
 
 
-def save_commits_to(spark, path: str, incoming: DataFrame) -> int:
-    """Append the new rows of a batch to a parquet store at ``path``.
-    Single writer per path; returns nothing big to the driver."""
-    import os
+def save_commits_to(spark, path: str, incoming: DataFrame) -> None:
+    """Append the new rows of a batch to a parquet store at ``path`` (any
+    Hadoop file system).  Single writer per path; replaying a batch appends
+    nothing."""
+    from pyspark.errors import AnalysisException
 
-    exists = os.path.exists(path) and any(not n.startswith((".", "_")) for n in os.listdir(path))
-    if exists:
+    try:
         store = spark.read.parquet(path)
         new = new_rows(store, incoming).select(*store.columns)
-    else:
+    except AnalysisException:
         new = first_commit_per_hash(incoming)
     new.write.mode("append").parquet(path)
-    return 0
 
 
 def resolve_conflicts(store: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as K
-from ..functions.scalars import strip_text
+from ..functions.scalars import fmt2, strip_text
 
 
 # -- reply parsing ----------------------------------------------------------
@@ -23,13 +23,13 @@ def parse_reviewer_reply(content: Column) -> Column:
       and items of two characters or fewer skipped.
     """
     txt = F.coalesce(content, F.lit(""))
-    num = F.regexp_extract(txt, F.lit(r"(?iU)RISK_SCORE:\s*([0-9.]+)"), F.lit(1))
-    val = F.try_cast(num, "double") if hasattr(F, "try_cast") else F.expr("try_cast(NULL AS double)")
+    num = F.regexp_extract(txt, r"(?iU)RISK_SCORE:\s*([0-9.]+)", 1)
+    val = num.try_cast("double")
     ok = (num == "") | val.isNotNull()
     score = F.when(num == "", F.lit(0.5)).otherwise(F.least(F.greatest(val, F.lit(0.0)), F.lit(1.0)))
-    reason_raw = F.regexp_extract(txt, F.lit(r"(?isdU)REASONING:\s*(.+?)(?=VULNERABILITIES:|$)"), F.lit(1))
+    reason_raw = F.regexp_extract(txt, r"(?isdU)REASONING:\s*(.+?)(?=VULNERABILITIES:|$)", 1)
     reasoning = F.when(reason_raw == "", F.lit(K.DEFAULT_REASONING)).otherwise(strip_text(reason_raw))
-    vuln_raw = F.regexp_extract(txt, F.lit(r"(?isdU)VULNERABILITIES:\s*(.+?)$"), F.lit(1))
+    vuln_raw = F.regexp_extract(txt, r"(?isdU)VULNERABILITIES:\s*(.+?)$", 1)
     vuln_text = F.when(vuln_raw == "", F.lit("None")).otherwise(strip_text(vuln_raw))
     lines = F.split(vuln_text, "\n")
     kept = F.filter(lines, lambda v: (strip_text(v) != "")
@@ -56,7 +56,7 @@ def llm_verdict_ingest(replies: DataFrame, content_col: str = "content") -> Data
 def teacher_score(content: Column) -> Column:
     """First ``d.ddd`` or ``0``/``1`` in the stripped reply, clamped and
     rounded; NULL when there is none (labelling failed)."""
-    m = F.regexp_extract(strip_text(F.coalesce(content, F.lit(""))), F.lit(r"([0-9]\.[0-9]+|[01])"), F.lit(1))
+    m = F.regexp_extract(strip_text(F.coalesce(content, F.lit(""))), r"([0-9]\.[0-9]+|[01])", 1)
     v = F.least(F.greatest(m.cast("double"), F.lit(0.0)), F.lit(1.0))
     return F.when(m != "", F.round(v, 4))
 
@@ -106,20 +106,29 @@ def seed_requests(seeds: DataFrame, tiers: DataFrame) -> DataFrame:
     c, d = rest.split("%s", 1)
     j = seeds.join(tiers, "tier")
     return j.select("description", "tier", "lo", "hi", F.concat(
-        F.lit(a), F.col("description"), F.lit(b), F.format_string("%.2f", F.col("lo")), F.lit(c),
-        F.format_string("%.2f", F.col("hi")), F.lit(d)).alias("prompt"))
+        F.lit(a), F.col("description"), F.lit(b), fmt2(F.col("lo")), F.lit(c),
+        fmt2(F.col("hi")), F.lit(d)).alias("prompt"))
 
 
 # -- scores -----------------------------------------------------------------
 
+def _fill(template: str, *values: Column) -> Column:
+    """Substitute ``%.2f`` slots of a fixed text with column values."""
+    pieces = template.split("%.2f")
+    out = [F.lit(pieces[0])]
+    for v, p in zip(values, pieces[1:]):
+        out += [v, F.lit(p)]
+    return F.concat(*out)
+
+
 def final_score_local(floor: Column, custom: Column, trained: bool) -> dict[str, Column]:
     """Local-only verdict: max(model, floor), reasoning text and mode."""
     cs = custom if trained else F.lit(0.0)
     if trained:
-        reasoning = F.format_string(K.REASONING_LOCAL_TRAINED, cs, floor)
+        reasoning = _fill(K.REASONING_LOCAL_TRAINED, fmt2(cs), fmt2(floor))
         mode = F.lit(K.MODE_LOCAL_TRAINED)
     else:
-        reasoning = F.format_string(K.REASONING_LOCAL, floor)
+        reasoning = _fill(K.REASONING_LOCAL, fmt2(floor))
         mode = F.lit(K.MODE_LOCAL)
     return {"risk_score": F.round(F.greatest(cs, floor), 4), "reasoning": reasoning,
             "analysis_mode": mode, "custom_model_score": F.round(cs, 4)}

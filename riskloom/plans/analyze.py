@@ -19,6 +19,7 @@ from ..functions import catalog as K
 from ..functions.features import heuristic_score, with_features
 from ..functions.scalars import mock_tx_hash, risk_percentage, risk_status
 from ..operators import routing, scan, store, verdicts
+from ..session import materialize
 from ..sources import fixtures as fx
 
 STORE_COLUMNS = ["commit_id", "user_id", "commit_hash", "risk_score", "status",
@@ -45,19 +46,42 @@ def stored_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_commits_from(fx.commits(spark, sf_dir))
 
 
+def stored_commits_with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows with the local (untrained) verdict texts: reasoning and
+    vulnerability lines from one scan of the kept rows."""
+    c = scan.with_commit_hash(store.drop_blank_code(fx.commits(spark, sf_dir)))
+    c = scan.with_findings(store.first_commit_per_hash(c))
+    loc = verdicts.final_score_local(F.col("pattern_floor"), F.lit(0.0), trained=False)
+    c = c.withColumn("risk_score_raw", loc["risk_score"]).withColumn("reasoning", loc["reasoning"])
+    return with_decision(c).select(*STORE_COLUMNS, "reasoning", "vulnerabilities")
+
+
 def with_local_scores(df: DataFrame, code_col: str = "code_content") -> DataFrame:
     """Findings + features + heuristic stand-in score in one narrow pass."""
-    f = scan.with_findings(df, code_col)
-    f = with_features(f, code_col)
+    f = scan.with_findings_and_b(df, code_col)
+    f = with_features(f, code_col, have_b=True)
     return f.withColumn("custom_score", heuristic_score(F.col("f_max_severity"), F.col("f_hits")))
 
 
+def scored_table(submissions: DataFrame) -> DataFrame:
+    """Findings, features and stand-in score per submission, written once
+    (without the code text) so routing, merge and exports read a narrow
+    table instead of re-running the scan."""
+    return materialize(with_local_scores(submissions).drop("code_content"), "scored")
+
+
+def attach_code(routed: DataFrame, source: DataFrame) -> DataFrame:
+    """Code text for the routed rows only (at most the call budget)."""
+    calls = routed.where("llm_called")
+    return calls.join(source.select("commit_id", "code_content"), "commit_id")
+
+
 def analyze_submissions(submissions: DataFrame, replies: DataFrame | None, stored: DataFrame,
                         trained: bool = True, budget: int | None = K.CALL_BUDGET,
                         rate: float = K.SAMPLING_RATE) -> DataFrame:
     """Batch form of the request flow; one row per non-blank submission."""
     s = scan.with_commit_hash(store.drop_blank_code(submissions))
-    s = with_local_scores(s)
+    s = scored_table(s)
     s = routing.route_llm(s, "custom_score", trained=trained, budget=budget, rate=rate)
     v = (verdicts.llm_verdict_ingest(replies) if replies is not None else
          submissions.sparkSession.createDataFrame(
@@ -73,9 +97,9 @@ def analysis_response(analyzed: DataFrame, budget: int | None = K.CALL_BUDGET) -
     """The 14-field result per submission, budget fields flattened."""
     lim = F.lit(budget or 0).cast("long")
     return analyzed.select(
-        F.coalesce(F.col("stored_commit_id"), F.col("commit_id")).alias("commit_id"),
+        F.col("stored_commit_id").alias("commit_id"),
         "commit_hash", "risk_score", "status",
-        F.coalesce(F.col("stored_created_at"), F.col("created_at")).alias("timestamp"),
+        F.col("stored_created_at").alias("timestamp"),
         "dlt_tx_hash", "reasoning", "vulnerabilities", "analysis_mode",
         F.col("llm_called").alias("openrouter_called"), F.col("llm_reason").alias("openrouter_reason"),
         F.round(F.col("custom_score") * 100, 2).alias("custom_model_score"),

@@ -74,13 +74,22 @@ FROM commits""",
             WHEN doc_id % 4 = 2 THEN text
             ELSE concat('```', chr(10), '  ', chr(10), '```') END AS content
 FROM documents""",
+    "deleted_users": "SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "commit_candidates": """SELECT c.commit_id, CASE WHEN c.commit_id % 17 = 0 THEN NULL ELSE c.user_id END AS user_id,
+       l.commit_hash, CAST(l.risk_score AS DOUBLE) AS risk_score,
+       CASE WHEN c.commit_id % 13 = 0 THEN 'Pending' ELSE l.status END AS status, c.code_content
+FROM commits c JOIN ledger_calls l ON c.commit_id = l.seq""",
 }
 
+BATCH_SPLIT = "TIMESTAMP '2024-01-01 08:00:00'"
+
 # view dependencies (CTEs are emitted in this order)
 _ORDER = ["snip", "commits", "users", "auth_users", "llm_responses", "training_raw",
-          "ledger_calls", "changes", "detail_requests", "generated_replies"]
+          "ledger_calls", "changes", "detail_requests", "generated_replies", "deleted_users",
+          "commit_candidates"]
 _DEPS = {"commits": ["snip"], "training_raw": ["commits"], "ledger_calls": ["commits"],
-         "changes": ["commits"], "detail_requests": ["commits"]}
+         "changes": ["commits"], "detail_requests": ["commits"],
+         "commit_candidates": ["commits", "ledger_calls"]}
 
 
 def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> str:

@@ -285,3 +285,7 @@ def q_recent_logs(spark, sf):
     "SELECT user_id, count(*) AS n_commits, least(count(*), 50) AS n_shown FROM stored GROUP BY user_id"))
 def q_commits_per_user(spark, sf):
     return store.commits_per_user(analyze.stored_commits(spark, sf))
+
+
+# further query groups register themselves on import
+from . import q_flow  # noqa: E402,F401

@@ -168,3 +168,37 @@ def generated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(i % 4 == 2, F.col("text"))
                .otherwise(F.lit("```\n  \n```")))
     return d.select(i.alias("gen_id"), content.alias("content"))
+
+
+# Arrival split of the commit fixture into two save batches.
+BATCH_SPLIT_TS = "2024-01-01 08:00:00"
+
+
+def first_batch(df: DataFrame) -> DataFrame:
+    return df.where(F.col("created_at") < F.lit(BATCH_SPLIT_TS).cast("timestamp_ntz"))
+
+
+def second_batch(df: DataFrame) -> DataFrame:
+    return df.where(F.col("created_at").isNull()
+                    | (F.col("created_at") >= F.lit(BATCH_SPLIT_TS).cast("timestamp_ntz")))
+
+
+def deleted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts removed in the fixture: the BUILDING market segment."""
+    c = read_table(spark, sf_dir, "customer")
+    return c.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
+
+
+def commit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows offered to the commit table: ledger scores (some above 100), a
+    status outside the allowed set and missing owners now and then."""
+    c = commits_labelled(spark, sf_dir)
+    lc = ledger_calls(spark, sf_dir)
+    j = c.join(lc.withColumnRenamed("seq", "commit_id"), "commit_id")
+    i = F.col("commit_id")
+    return j.select(
+        "commit_id",
+        F.when(i % 17 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
+        "commit_hash", F.col("risk_score").cast("double").alias("risk_score"),
+        F.when(i % 13 == 0, F.lit("Pending")).otherwise(F.col("status")).alias("status"),
+        "code_content")
