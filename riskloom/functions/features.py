@@ -126,12 +126,16 @@ def tokens(normalized: Column) -> Column:
 
 def ngrams(toks: Column, n_max: int = 3) -> Column:
     """All 1..n_max-grams of a token array, joined by single spaces, in
-    position order per n."""
+    position order per n.
+
+    An n-gram list is the element-wise join of n shifted slices of equal
+    length (``zip_with``): linear in the token count, where slicing the
+    array once per position inside a lambda is quadratic."""
     parts = [toks]
     for n in range(2, n_max + 1):
-        parts.append(F.when(
-            F.size(toks) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                        lambda i, n=n: F.array_join(F.slice(toks, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>")))
+        m = F.size(toks) - n + 1
+        acc = F.slice(toks, 1, m)
+        for j in range(2, n + 1):
+            acc = F.zip_with(acc, F.slice(toks, j, m), lambda a, b: F.concat_ws(" ", a, b))
+        parts.append(F.when(m > 0, acc).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)

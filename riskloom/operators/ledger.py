@@ -6,10 +6,11 @@ and the index is an ordinal view.  ``seq`` is the append order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import ZERO_ADDRESS
+from .store import ordinal_index
 
 
 def ledger_valid(calls: DataFrame) -> DataFrame:
@@ -40,22 +41,8 @@ def ledger_total(log: DataFrame) -> DataFrame:
 
 
 def ledger_ordinal(log: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
-    """Zero-based index of each call in append order.
-
-    Exact two-phase numbering without a single-partition window: calls are
-    grouped in blocks of ``block_rows`` consecutive ``seq`` values; block
-    counts (one row per block) give offsets by a small running sum, and a
-    row's index is its block offset plus its rank inside the block (a block
-    holds at most ``block_rows`` rows since ``seq`` is unique)."""
-    b = log.withColumn("_blk", F.floor(F.col("seq") / F.lit(block_rows)))
-    counts = b.groupBy("_blk").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_blk", (F.sum("_n").over(
-        Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    w = Window.partitionBy("_blk").orderBy("seq")
-    return (b.join(offsets, "_blk")
-            .withColumn("ordinal", (F.coalesce(F.col("_off"), F.lit(0))
-                                    + F.row_number().over(w) - 1).cast("long"))
-            .drop("_blk", "_off"))
+    """Zero-based index of each call in append order (``seq``)."""
+    return ordinal_index(log, "seq", "ordinal", block_rows)
 
 
 def ledger_by_index(log: DataFrame) -> DataFrame:

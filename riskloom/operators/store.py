@@ -42,6 +42,24 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     return out.drop("_rn")
 
 
+def ordinal_index(df: DataFrame, order_col: str, out_col: str = "ordinal", block_rows: int = 1 << 20) -> DataFrame:
+    """Zero-based position of each row in ``order_col`` order (an integral,
+    unique column), without a single-partition window.
+
+    Rows are grouped in blocks of ``block_rows`` consecutive key values; the
+    block counts (one row per block) give offsets by a small running sum, and
+    a row's position is its block offset plus its rank inside the block."""
+    b = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_rows)))
+    counts = b.groupBy("_blk").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_blk", (F.sum("_n").over(
+        Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
+    w = Window.partitionBy("_blk").orderBy(order_col)
+    return (b.join(offsets, "_blk")
+            .withColumn(out_col, (F.coalesce(F.col("_off"), F.lit(0))
+                                  + F.row_number().over(w) - 1).cast("long"))
+            .drop("_blk", "_off"))
+
+
 def first_commit_per_hash(df: DataFrame) -> DataFrame:
     """The stored row per global commit_hash (first write wins)."""
     return top_k_per_group(df, ["commit_hash"], first_write_order(), 1)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import MIN_TRAIN_SAMPLES, SEED_DESCRIPTIONS, TIER_RANGES
-from .store import top_k_per_group
+from .store import ordinal_index, top_k_per_group
 
 
 def keep_first_example(df: DataFrame, order_col: str = "ord") -> DataFrame:
@@ -68,15 +68,17 @@ def kfold_k(n: int) -> int:
     return min(5, max(2, n // 4))
 
 
-def kfold_assign(df: DataFrame, n: int, order_col: str = "ord") -> DataFrame:
-    """Contiguous folds over the ``order_col`` rank: the first n mod k folds
-    are one row larger (the split of an unshuffled k-fold)."""
-    from pyspark.sql import Window
-
-    k = kfold_k(n)
-    base, extra = divmod(n, k)
+def kfold_assign(df: DataFrame, n=None, order_col: str = "ord") -> DataFrame:
+    """Contiguous folds over the ``order_col`` position: k = min(5, max(2,
+    n // 4)) and the first n mod k folds are one row larger (the split of an
+    unshuffled k-fold).  ``n`` defaults to the row count as a scalar
+    subquery, so nothing is computed on the driver."""
+    n = df.select(F.count("*")).scalar() if n is None else (F.lit(n) if isinstance(n, int) else n)
+    k = F.least(F.lit(5), F.greatest(F.lit(2), F.floor(n / 4)))
+    base = F.floor(n / k)
+    extra = n % k
     big = extra * (base + 1)
-    r = F.row_number().over(Window.orderBy(order_col)) - 1
-    fold = F.when(r < big, (r / F.lit(base + 1)).cast("long")) \
-        .otherwise(F.lit(extra) + ((r - big) / F.lit(max(base, 1))).cast("long"))
-    return df.withColumn("fold", fold.cast("long"))
+    r = F.col("_pos")
+    fold = F.when(r < big, F.floor(r / (base + 1))) \
+        .otherwise(extra + F.floor((r - big) / F.greatest(base, F.lit(1))))
+    return ordinal_index(df, order_col, "_pos").withColumn("fold", fold.cast("long")).drop("_pos")
