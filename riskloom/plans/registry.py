@@ -290,3 +290,4 @@ def q_commits_per_user(spark, sf):
 # further query groups register themselves on import
 from . import q_flow  # noqa: E402,F401
 from . import q_model  # noqa: E402,F401
+from . import q_stream  # noqa: E402,F401
