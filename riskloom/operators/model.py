@@ -136,23 +136,56 @@ def _node_expr(node, value) -> Column:
     return F.when(cond, _node_expr(node.leftChild(), value)).otherwise(_node_expr(node.rightChild(), value))
 
 
-def model_expression(model: RiskModel, tfidf_map: Column) -> Column:
-    """Sum of weighted tree predictions as one native expression."""
+def _split_features(node, out: set) -> set:
+    if node.getClass().getSimpleName() != "LeafNode":
+        out.add(int(node.split().featureIndex()))
+        _split_features(node.leftChild(), out)
+        _split_features(node.rightChild(), out)
+    return out
+
+
+def used_features(model: RiskModel) -> list[int]:
+    """Feature indices that some split reads (usually a few hundred)."""
+    out: set = set()
+    for t in model.gbt._java_obj.trees():
+        _split_features(t.rootNode(), out)
+    return sorted(out)
+
+
+def _x(j: int) -> str:
+    return f"_x{j}"
+
+
+def feature_columns(model: RiskModel, tfidf_map: Column) -> list[Column]:
+    """One column per used term weight (looked up once per row, not once
+    per tree node)."""
+    return [F.coalesce(F.element_at(tfidf_map, F.lit(j)), F.lit(0.0)).alias(_x(j))
+            for j in used_features(model) if j < model.n_terms]
+
+
+def model_expression(model: RiskModel, tfidf_map: Column | None = None, chunk: int = 0) -> list[Column]:
+    """Weighted tree sums as native expressions over the columns of
+    :func:`feature_columns` (or the map itself when ``tfidf_map`` is given);
+    ``chunk`` > 0 splits the forest into partial sums of that many trees so
+    each stays small enough for generated code."""
     n = model.n_terms
 
     def value(j: int) -> Column:
         if j < n:
-            return F.coalesce(F.element_at(tfidf_map, F.lit(j)), F.lit(0.0))
+            if tfidf_map is not None:
+                return F.coalesce(F.element_at(tfidf_map, F.lit(j)), F.lit(0.0))
+            return F.col(_x(j))
         return F.col(f"s_{FEATURE_NAMES[j - n]}")
 
-    jm = model.gbt._java_obj
-    trees = jm.trees()
+    trees = model.gbt._java_obj.trees()
     weights = list(model.gbt.treeWeights)
     parts = [F.lit(w) * _node_expr(trees[i].rootNode(), value) for i, w in enumerate(weights)]
-    return reduce(lambda a, b: a + b, parts)
+    size = chunk if chunk > 0 else len(parts)
+    return [reduce(lambda a, b: a + b, parts[i:i + size]) for i in range(0, len(parts), size)]
 
 
-def model_score(model: RiskModel, docs: DataFrame, code_col: str = "code_content", id_col: str = "commit_id"):
+def model_score(model: RiskModel, docs: DataFrame, code_col: str = "code_content", id_col: str = "commit_id",
+                chunk: int = 10):
     """max(regressor, catalog-B floor), clamped to [0, 1], 4 places."""
     counts = tm.ngram_counts(docs, id_col, code_col)
     sparse = tm.tfidf_sparse(counts, model.vocab, id_col) \
@@ -160,10 +193,14 @@ def model_score(model: RiskModel, docs: DataFrame, code_col: str = "code_content
     feats = with_features(docs.select(id_col, code_col), code_col)
     base = feats.select(id_col, "f_max_severity", *scale_with(model.ranges)).join(sparse, id_col, "left") \
         .withColumn("_m", F.coalesce(F.col("_m"), F.create_map().cast(T.MapType(T.IntegerType(), T.DoubleType()))))
-    raw = model_expression(model, F.col("_m"))
+    x = base.select(id_col, "f_max_severity", *[f"s_{c}" for c in FEATURE_NAMES],
+                    *feature_columns(model, F.col("_m")))
+    sums = model_expression(model, chunk=chunk)
+    p = x.select(id_col, "f_max_severity", *[c.alias(f"_p{i}") for i, c in enumerate(sums)])
+    raw = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(sums))])
     s = F.greatest(raw, F.col("f_max_severity"))
-    return base.select(id_col, raw.alias("raw_score"),
-                       F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 4).alias("model_score"))
+    return p.select(id_col, raw.alias("raw_score"),
+                    F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 4).alias("model_score"))
 
 
 # -- evaluation -------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import store
 from ..sources import fixtures as fx
@@ -10,8 +11,13 @@ from .analyze import stored_commits
 
 
 def audit_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest 50 stored commits per owner with the owner's name: the page
+    limit runs per owner before the profile join (partial window limit
+    before the shuffle), so the join sees at most 50 rows per owner."""
     s = stored_commits(spark, sf_dir)
-    logs = store.log_projection(store.log_with_user(s, fx.users(spark, sf_dir)).withColumnRenamed("user_id", "owner_id"))
-    return store.top_k_per_group(logs.withColumnRenamed("timestamp", "created_at"),
-                                 ["owner_id"], store.log_order(), 50, rank_col="log_rank") \
-        .withColumnRenamed("created_at", "timestamp")
+    page = store.latest_per_user(s)
+    logs = store.log_with_user(page, fx.users(spark, sf_dir))
+    return logs.select("commit_id", "commit_hash", "risk_score",
+                       F.coalesce(F.col("username"), F.lit("unknown")).alias("user"),
+                       F.col("created_at").alias("timestamp"), "status", "dlt_tx_hash",
+                       F.col("user_id").alias("owner_id"), "log_rank")
