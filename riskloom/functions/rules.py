@@ -75,14 +75,19 @@ def category_matches(cat_ord: int) -> Column:
 
 def evidence_array() -> Column:
     """Ordered ARRAY<STRUCT<category, severity, matches>> of hit categories,
-    at most three matches each (catalog order is kept; a map would lose it)."""
-    items = []
-    for ci, cat, sev in categories_a():
-        m = category_matches(ci)
-        items.append(F.when(F.size(m) > 0, F.struct(
-            F.lit(cat).alias("category"), F.lit(sev).alias("severity"),
-            F.slice(m, 1, 3).alias("matches"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    at most three matches each (catalog order is kept; a map would lose it).
+
+    Each category's match array is referenced once (as an element of one
+    array, then bound to a lambda variable), so even where the optimizer
+    inlines the match columns into a generator they are computed once."""
+    cats = categories_a()
+    arrays = F.array(*[category_matches(ci) for ci, _, _ in cats])
+    names = F.array(*[F.lit(c) for _, c, _ in cats])
+    sevs = F.array(*[F.lit(float(s)) for _, _, s in cats])
+    items = F.transform(arrays, lambda m, i: F.when(F.size(m) > 0, F.struct(
+        F.element_at(names, i + 1).alias("category"), F.element_at(sevs, i + 1).alias("severity"),
+        F.slice(m, 1, 3).alias("matches"))))
+    return F.filter(items, lambda x: x.isNotNull())
 
 
 def floor_from_arrays() -> Column:

@@ -26,7 +26,10 @@ def ngram_counts(df: DataFrame, id_col: str, code_col: str = "code", n_max: int
     that column instead of re-running the tokenizer once per position
     (Catalyst does not share subexpressions into lambda bodies)."""
     toks = df.select(F.col(id_col), tokens(normalize_code(F.col(code_col))).alias("_tk"))
-    grams = toks.select(F.col(id_col), F.explode(ngrams(F.col("_tk"), n_max)).alias("term"))
+    # explode_outer + null filter: a plain explode gets an inferred
+    # size(...) > 0 filter that would build the n-gram array twice
+    grams = toks.select(F.col(id_col), F.explode_outer(ngrams(F.col("_tk"), n_max)).alias("term")) \
+        .where(F.col("term").isNotNull())
     return grams.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 

@@ -97,7 +97,10 @@ def _evidence_top3_sql() -> str:
 
 @register("evidence_top3", _evidence_top3_sql())
 def q_evidence_top3(spark, sf):
-    f = scan.with_findings(fx.commits(spark, sf)).select("commit_id", F.explode("evidence").alias("e"))
+    # explode_outer + null filter: a plain explode gets an inferred
+    # size(evidence) > 0 filter that re-runs the rule scan below it
+    f = scan.with_findings(fx.commits(spark, sf)).select("commit_id", F.explode_outer("evidence").alias("e")) \
+        .where(F.col("e").isNotNull())
     return f.select("commit_id", F.col("e.category").alias("category"),
                     *[F.get(F.col("e.matches"), i).alias(f"e{i + 1}") for i in range(3)])
 

@@ -144,7 +144,9 @@ def _evidence_sql() -> str:
 @register("category_evidence", _evidence_sql())
 def q_category_evidence(spark, sf):
     f = scan.with_findings(fx.commits(spark, sf))
-    e = f.select("commit_id", F.explode("evidence").alias("e"))
+    # explode_outer + null filter: a plain explode gets an inferred
+    # size(evidence) > 0 filter that re-runs the rule scan below it
+    e = f.select("commit_id", F.explode_outer("evidence").alias("e")).where(F.col("e").isNotNull())
     return e.select("commit_id", F.col("e.category").alias("category"), F.col("e.severity").alias("severity"),
                     F.array_join("e.matches", NL).alias("evidence_text"),
                     F.size("e.matches").cast("long").alias("n_evidence"))
