@@ -193,10 +193,18 @@ def _counts(spark, sf):
     return tm.ngram_counts(examples(spark, sf), "hash", "code")
 
 
-def _vocab(spark, sf):
+def _tfidf_parts(spark, sf):
+    """(counts, vocab) from ONE counts plan: the vocabulary and the weights
+    share its shuffle (Spark reuses the exchange) instead of tokenising the
+    corpus twice."""
     ex = examples(spark, sf)
+    counts = tm.ngram_counts(ex, "hash", "code")
     n = ex.select(F.count("*")).scalar()
-    return tm.vocab_topk(tm.term_stats(tm.ngram_counts(ex, "hash", "code"), "hash"), n)
+    return counts, tm.vocab_topk(tm.term_stats(counts, "hash"), n)
+
+
+def _vocab(spark, sf):
+    return _tfidf_parts(spark, sf)[1]
 
 
 @register("ngram_counts", text_sql("SELECT hash, term, tf FROM _counts"))
@@ -217,8 +225,9 @@ def q_vocab_topk(spark, sf):
 @register("tfidf_weight", text_sql(
     "SELECT hash, term, tf, idx, round(idf, 6) AS idf, round(w, 6) AS weight FROM _w"))
 def q_tfidf_weight(spark, sf):
-    v = F.broadcast(_vocab(spark, sf).select("term", "idx", "idf"))  # at most VOCAB_SIZE rows
-    j = _counts(spark, sf).join(v, "term")
+    counts, vocab = _tfidf_parts(spark, sf)
+    v = F.broadcast(vocab.select("term", "idx", "idf"))  # at most VOCAB_SIZE rows
+    j = counts.join(v, "term")
     w = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
     return j.select("hash", "term", "tf", "idx", F.round("idf", 6).alias("idf"), F.round(w, 6).alias("weight"))
 
@@ -226,7 +235,8 @@ def q_tfidf_weight(spark, sf):
 @register("tfidf_vectors", text_sql(
     "SELECT hash, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY hash)), 6) AS weight FROM _w"))
 def q_tfidf_vectors(spark, sf):
-    t = tm.tfidf_long(_counts(spark, sf), _vocab(spark, sf), "hash")
+    counts, vocab = _tfidf_parts(spark, sf)
+    t = tm.tfidf_long(counts, vocab, "hash")
     return t.select("hash", "idx", F.round("weight", 6).alias("weight"))
 
 
