@@ -15,7 +15,7 @@ from ..functions.features import FEATURE_NAMES, with_features
 from ..operators import model as M
 from ..operators import scan, training
 from ..operators import text_model as tm
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks
 from . import oracle as O
@@ -194,11 +194,12 @@ def _counts(spark, sf):
 
 
 def _tfidf_parts(spark, sf):
-    """(counts, vocab) from ONE counts plan: the vocabulary and the weights
-    share its shuffle (Spark reuses the exchange) instead of tokenising the
-    corpus twice."""
+    """(counts, vocab): the per-document counts are written once under the
+    checkpoint folder and read by both the vocabulary and the weights, so
+    the corpus is tokenised once (and a lost executor recomputes from the
+    table, not from the text)."""
     ex = examples(spark, sf)
-    counts = tm.ngram_counts(ex, "hash", "code")
+    counts = materialize(tm.ngram_counts(ex, "hash", "code"), "ngram-counts")
     n = ex.select(F.count("*")).scalar()
     return counts, tm.vocab_topk(tm.term_stats(counts, "hash"), n)
 
