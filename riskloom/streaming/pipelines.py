@@ -203,8 +203,9 @@ def stream_budget(scored: DataFrame, out_path: str, session_col: str = "user_id"
     spark = scored.sparkSession
     wants, _ = routing.wants_review(F.col("custom_score"), trained, rate, F.col("commit_hash"))
     s = scored.select(F.col("commit_id"), F.col(session_col).alias("user_id"),
-                      F.unix_micros(F.coalesce(F.col("created_at"), F.lit(routing.MIN_TS).cast("timestamp_ntz"))
-                                    .cast("timestamp")).alias("_t"), wants.alias("wants_review"))
+                      # fixed-width text sorts like the local time and needs no time zone
+                      F.date_format(F.coalesce(F.col("created_at"), F.lit(routing.MIN_TS).cast("timestamp_ntz")),
+                                    "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("_t"), wants.alias("wants_review"))
     out = s.groupBy("user_id").applyInPandasWithState(
         _budget_counter(budget), outputStructType=BUDGET_SCHEMA, stateStructType="used long",
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
