@@ -39,12 +39,17 @@ def line_count(code: Column) -> Column:
 
 
 def comment_line_count(code: Column) -> Column:
-    return F.regexp_count(code, F.lit(COMMENT_LINE))
+    """Lines whose first non-blank character is ``#`` (texts without any
+    ``#`` skip the regex)."""
+    return F.when(code.contains("#"), F.regexp_count(code, F.lit(COMMENT_LINE))).otherwise(F.lit(0))
 
 
 def imports(code: Column) -> Column:
-    """First module of each ``import``/``from`` line (column 0, case-sensitive)."""
-    return F.regexp_extract_all(code, F.lit("(?mdU)" + IMPORT_PATTERN), F.lit(1))
+    """First module of each ``import``/``from`` line (column 0, case-sensitive;
+    texts with neither word skip the regex)."""
+    found = F.regexp_extract_all(code, F.lit("(?mdU)" + IMPORT_PATTERN), F.lit(1))
+    return F.when(code.contains("import") | code.contains("from"), found) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def risky_import_count(code: Column) -> Column:
