@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, simhash
-from .common import table
+from . import decontamination, language, packing, quality, simhash
+from .common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,24 @@ def register(fn):
     return fn
 
 
+@register
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of the held-out fifth are not learned from."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold("doc_id", 5, 0)
+    model = quality.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the held-out quarter is not learned from."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), in_fold("doc_id", 4, 2)
+    model = language.train(docs.where(~held))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @register
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every window of 10 words of the benchmark."""
