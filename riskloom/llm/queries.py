@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, quality, simhash
+from . import decontamination, language, language_model, packing, quality, simhash
 from .common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@register
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; the held-out seventh is not learned from."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold("doc_id", 7, 2)
+    found = language_model.fit_and_score(docs, docs.where(~held))
+    return found.select("doc_id", held.alias("held_out"), *found.columns[1:])
+
+
 @register
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every window of 10 words of the benchmark."""
