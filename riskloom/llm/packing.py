@@ -9,7 +9,7 @@ batch are placed from long to short, a look-ahead of bounded size.
 
 Tokens come from the given tokenizer file.  Its pre-tokenizer never joins
 across white space, so a text's ids are the ids of its white-space-free runs,
-one after the other; a task keeps the ids of runs it has met in a bounded
+one after the other; a worker keeps the ids of runs it has met in a bounded
 dictionary of packed little-endian 32-bit ids.
 
 Cases: a null text counts as empty and becomes one piece with the end id
@@ -19,9 +19,11 @@ packed one by one; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,7 +33,9 @@ SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Open bins per task, and runs of text whose ids a task remembers.
 OPEN_BINS = 2048
-REMEMBERED_RUNS = 400_000
+REMEMBERED_RUNS = 600_000
+SHARE_BYTES = 2_000_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -82,28 +86,68 @@ class OpenBins:
         return found, offset
 
 
-def run_encoder(path: str, remembered: int = REMEMBERED_RUNS) -> Callable[[bytes], bytes]:
-    """text (UTF-8) -> its ids as packed little-endian unsigned 32-bit numbers."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(path), {}
-
-    def encode(text: bytes) -> bytes:
-        runs = text.split()  # at ASCII white space, which no token crosses
-        new = [r for r in set(runs) if r not in known]
-        if new:
-            if len(known) + len(new) > remembered:
-                known.clear()
-                new = list(set(runs))
-            found = tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-            known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(new, found))
-        return b"".join(map(known.__getitem__, runs))
-
-    return encode
+class RunEncoder:
+    """text (UTF-8) -> its ids as packed little-endian unsigned 32-bit numbers.
+
+    Remembers the ids of runs, the ones met lately in ``now`` and those before
+    in ``past``; each holds ``remembered`` runs at most.  A run of ASCII
+    letters and digits has the same ids in either case, and punctuation that
+    ends such a run is a token sequence of its own, so both are looked up
+    before the tokenizer is asked."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_RUNS) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.now: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text.  New runs are asked for many texts at a time."""
+        for some in _shares(texts, SHARE_BYTES):
+            split = [t.split() for t in some]  # at ASCII white space, which no token crosses
+            every = set().union(*split)
+            if len(self.now) > self.remembered:
+                self.now, self.past = {}, self.now
+            self._learn(every - self.now.keys())
+            for runs in split:
+                yield b"".join(map(self.now.__getitem__, runs))
+
+    def _learn(self, new: set[bytes]) -> None:
+        now, past, parts = self.now, self.past, {}
+        for run in new:
+            core = run.rstrip(PUNCTUATION)
+            parts[run] = (core.lower(), run[len(core):]) if core.isalnum() else (run,)
+        asked = {p for found in parts.values() for p in found} - now.keys()
+        now.update((p, past[p]) for p in asked & past.keys())
+        ask = list(asked - past.keys())
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)
+        now.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(ask, found))
+        for run, found in parts.items():
+            now[run] = b"".join(map(now.__getitem__, found))
+
+
+def _shares(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    share, held = [], 0
+    for text in texts:
+        share.append(text)
+        held += len(text)
+        if held >= size:
+            yield share
+            share, held = [], 0
+    if share:
+        yield share
+
+
+_ENCODERS: dict[str, RunEncoder] = {}
+
+
+def run_encoder(path: str) -> RunEncoder:
+    """One encoder for all tasks of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = RunEncoder(path)
+    return _ENCODERS[path]
 
 
 PIECE_FIELDS = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -123,8 +167,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         encode, bins, base = run_encoder(path), OpenBins(capacity, open_bins), task_number() << 36
         for batch in batches:
             found = []
-            for row, text in enumerate(byte_values(batch.column(1))):
-                ids = (encode(text) if text else b"") + end
+            for row, ids in enumerate(encode([t or b"" for t in byte_values(batch.column(1))])):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start: 4 * (start + capacity)]
                     found.append((len(part) // 4, row, piece, start, zlib.crc32(part)))
