@@ -8,8 +8,9 @@ next stage's ``docs``.  All but the last return the columns of ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import decontamination, language, packing, simhash
+from riskloom.llm import decontamination, language, packing, pii, simhash
 from riskloom.llm.common import materialize, table
 
 
@@ -28,6 +29,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets get surrogates; n_chars follows the new text."""
+    return pii.replace_entities(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as pieces in sequences of at most 4096 tokens."""
     return packing.pack(docs)
@@ -37,6 +43,7 @@ STAGES = [
     ("language_id", language_id),
     ("simhash_near_dedup", simhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_surrogates", pii_surrogates),
     ("best_fit_packing", best_fit_packing),
 ]
 
