@@ -63,7 +63,8 @@ def _any(words: tuple[str, ...]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
-_ADDRESS = _any(ADDRESS_MALE + ADDRESS_FEMALE + ADDRESS_ANY) + r"\.?[  ]"
+_ADDRESSES = {g: w + tuple(x.upper() for x in w) for g, w in (("male", ADDRESS_MALE), ("female", ADDRESS_FEMALE), ("any", ADDRESS_ANY))}
+_ADDRESS = _any(sum(_ADDRESSES.values(), ())) + r"\.? "
 _GIVEN = _any(GIVEN_MALE + GIVEN_FEMALE)
 #: In order of preference at one place.
 PATTERNS = {
