@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html_text, language, language_model, packing, pii, quality, simhash
+from . import chat, decontamination, embedding_dedup, html_text, language, language_model, packing, pii, quality, simhash
 from .common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data and secrets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_entities(docs, count_name="n_replaced")
+
+
+@register
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation, without quotes, in the order of replies."""
+    return chat.formatted(chat.link(table(spark, sf_dir, "conversations")))
