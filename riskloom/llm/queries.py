@@ -52,12 +52,45 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_windows(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op4_decontamination"] = f"""
+WITH items AS (SELECT DISTINCT cast(item_id AS varchar) AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item, w, least(10, len(w)) AS size FROM items WHERE len(w) > 0),
+patterns AS (SELECT DISTINCT item, size, array_to_string(w[s: s + size - 1], ' ') AS pattern
+             FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM sized)),
+docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+windows AS (SELECT doc_id, size, s, array_to_string(w[s: s + size - 1], ' ') AS pattern
+            FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s
+                  FROM docs, (SELECT DISTINCT size FROM patterns) WHERE len(w) >= size)),
+found AS (SELECT doc_id, s, windows.size, item FROM windows JOIN patterns USING (size, pattern)),
+hits AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS spot FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
 @register
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors linked at a cosine of 0.95 or more."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op5_embedding_near_dedup"] = """
+WITH RECURSIVE sound AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings
+            UNION SELECT reached.vec_id, links.b FROM reached JOIN links ON reached.other = links.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+many AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN many USING (vec_id)"""
+
+
 @register
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
