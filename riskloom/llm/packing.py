@@ -20,10 +20,11 @@ packed one by one; other columns are ignored whatever their names.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -99,6 +100,8 @@ class RunEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are packed as native 32-bit numbers, which must be little-endian")
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.now: dict[bytes, bytes] = {}
         self.past: dict[bytes, bytes] = {}
@@ -106,26 +109,46 @@ class RunEncoder:
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text.  New runs are asked for many texts at a time."""
         for some in _shares(texts, SHARE_BYTES):
-            split = [t.split() for t in some]  # at ASCII white space, which no token crosses
-            every = set().union(*split)
             if len(self.now) > self.remembered:
                 self.now, self.past = {}, self.now
-            self._learn(every - self.now.keys())
-            for runs in split:
-                yield b"".join(map(self.now.__getitem__, runs))
+            # split at ASCII white space, which no token crosses; the tokenizer folds case itself, but for its special tokens
+            split = [(t if b"<|" in t else t.lower()).split() for t in some]
+            found = [list(map(self.now.get, runs)) for runs in split]
+            self._learn({r for runs, ids in zip(split, found) if None in ids for r, i in zip(runs, ids) if i is None})
+            for runs, ids in zip(split, found):
+                yield b"".join(ids if None not in ids else [self.now[r] if i is None else i for r, i in zip(runs, ids)])
 
     def _learn(self, new: set[bytes]) -> None:
-        now, past, parts = self.now, self.past, {}
+        now, before, ask, later = self.now, self.past.get, set(), []
+        now[b""] = b""
         for run in new:
-            core = run.rstrip(PUNCTUATION)
-            parts[run] = (core.lower(), run[len(core):]) if core.isalnum() else (run,)
-        asked = {p for found in parts.values() for p in found} - now.keys()
-        now.update((p, past[p]) for p in asked & past.keys())
-        ask = list(asked - past.keys())
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)
-        now.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(ask, found))
-        for run, found in parts.items():
-            now[run] = b"".join(map(now.__getitem__, found))
+            ids = before(run)
+            if ids is not None:
+                now[run] = ids
+                continue
+            word = run.rstrip(PUNCTUATION)
+            if not word.isalnum():
+                ask.add(run)
+                continue
+            end, word, known = run[len(word):], word.lower(), True
+            for part in (word, end):
+                if part not in now:
+                    ids = before(part)
+                    if ids is None:
+                        ask.add(part)
+                        known = False
+                    else:
+                        now[part] = ids
+            if known:
+                now[run] = now[word] + now[end]
+            elif word != run:
+                later.append(run)
+        ask = list(ask)
+        found = self.tokenizer.encode_batch_fast([part.decode() for part in ask], add_special_tokens=False)
+        now.update((part, array("I", e.ids).tobytes()) for part, e in zip(ask, found))
+        for run in later:
+            word = run.rstrip(PUNCTUATION)
+            now[run] = now[word.lower()] + now[run[len(word):]]
 
 
 def _shares(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
