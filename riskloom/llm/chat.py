@@ -100,7 +100,8 @@ def last_before(rows: DataFrame, keys: list[str], order: str, value: Column, nam
     scanned on their own and take over what the blocks before them hold."""
     block = F.floor(F.col(f"{order}.turn") / BLOCK_TURNS)
     rows = rows.withColumns({"_block": block, "_value": value})
-    within = Window.partitionBy(*keys, "_block").orderBy(order)
+    # a row without a value comes before one with a value at the same place: no message is its own original
+    within = Window.partitionBy(*keys, "_block").orderBy(order, F.col("_value").isNotNull())
     rows = rows.withColumn("_own", F.last("_value", True).over(within.rowsBetween(Window.unboundedPreceding, -1)))
     ends = rows.groupBy(*keys, "_block").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct(order, "_value"))).alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,12 +168,14 @@ def _threads(tree: DataFrame) -> DataFrame:
     links of the messages that have one (a logarithm of the longest chain)."""
     linked = tree.where("original is not null").select("rid", F.col("original").alias("up"))
     linked = materialize(linked, "up")
-    while True:
+    for _ in range(64):  # a reply's original is always earlier, so chains end
         higher = linked.select(F.col("rid").alias("next"), F.col("up").alias("higher"))
         step = linked.join(higher, F.col("up.rid") == F.col("next"), "left")
         if step.where("higher is not null").isEmpty():
             break
         linked = materialize(step.select("rid", F.coalesce("higher", "up").alias("up")), "up")
+    else:
+        raise RuntimeError("replies form a cycle")
     return tree.join(linked, "rid", "left").withColumn("thread", F.coalesce("up", "at")).drop("up", "original")
 
 

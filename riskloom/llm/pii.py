@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets, in DataFrame functions only.
 
 Method: surrogate generation.  One pattern finds the entities of a text: mail
-addresses, IP addresses, payment cards (with a valid check digit), accounts,
+addresses, IP addresses, payment cards (of a known issuer, with a valid check digit), accounts,
 social security and phone numbers, access keys, the values of assigned secrets,
 and names after a form of address or a known given name.  Every different
 entity of the corpus, in a canonical form, gets one surrogate of its type from
@@ -43,6 +43,9 @@ GIVEN_MALE = ("James", "John", "Robert", "Michael", "William", "David", "Richard
 GIVEN_FEMALE = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Emily", "Julia",
                 "Sabine", "Ursula", "Monique", "Françoise", "Carmen", "Lucía", "Мария", "Ольга", "Наталья", "Елена", "Μαρία", "Ελένη")
 
+# How the numbers of payment cards begin.
+ISSUERS = r"\A(?:4|5[1-5]|2[2-7]|3[04-8]|6011|62|64[4-9]|65)"
+
 #: Syllables from which names are built, by script: inner ones, endings of given names of men and of women, of surnames.
 SYLLABLES = {
     "latin": (("ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "ri", "sa", "te", "vi", "wo", "ze", "lu"),
@@ -127,7 +130,8 @@ def kind_of(surface: Column, secret: Column) -> Column:
     ``secret`` is what the pattern's group holds of it, empty if nothing."""
     found = F.when(secret != "", "secret").when(_whole(surface, "email"), "email").when(_whole(surface, "key"), "key").when(_whole(surface, "ip"), "ip") \
         .when(_whole(surface, "ssn"), "ssn")
-    found = found.when(_whole(surface, "card"), F.when(_luhn(_digits(surface)), F.lit("card")))
+    card = _digits(surface).rlike(ISSUERS) & _luhn(_digits(surface))
+    found = found.when(_whole(surface, "card"), F.when(card, F.lit("card")))
     found = found.when(_whole(surface, "iban"), "iban").when(_whole(surface, "phone"), "phone")
     return found.when(_whole(surface, "person"), "person")
 
@@ -197,7 +201,7 @@ def candidate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     code = F.greatest(F.length(value) - 10, F.lit(0))
     phone = F.concat(F.substring(value, F.lit(1), code), F.translate(F.substring(digits, code + 1, F.lit(1)), "01", "24"),
                      F.substring(digits, code + 2, F.length(digits)))
-    body = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2))
+    body = F.concat(F.substring(value, 1, 4), F.substring(digits, F.lit(5), F.length(digits) - 5))  # the issuer stays
     check = F.aggregate(F.transform(F.split(F.reverse(body), ""), lambda d, i: F.when(i % 2 == 1, d.cast("int")).otherwise(
         d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0))), F.lit(0), lambda a, b: a + b)
     card = F.concat(body, F.pmod(F.lit(10) - check % 10, F.lit(10)).cast("string"))

@@ -1,0 +1,217 @@
+"""Main text of pages, quotation linking, surrogates and the pipeline."""
+
+import html
+import re
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.llm import chat, html_text, pii, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+# --------------------------------------------------------------------- pages
+
+
+def plain_article(page):
+    """What the article of a test page holds, told without a tree."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*>", " ", inner))).split())
+
+
+def test_pages_whole_table(spark):
+    d = pq.read_table(f"{SF}/pages.parquet").to_pandas()
+    got = queries.QUERIES["op9_html_extraction"](spark, SF).toPandas()
+    want = {i: plain_article(h) for i, h in zip(d.page_id, d.html)}
+    assert dict(zip(got.page_id, got.text)) == want and (got.n_chars == got.text.str.len()).all()
+    assert dict(zip(got.page_id, got.url)) == dict(zip(d.page_id, d.url))
+
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<b>b</b>c<p>d", "abc d"), ("x < y and 3 <5", "x < y and 3 <5"),
+    ("<div>x<script>if(a<b)</script>y</div><nav>menu</nav>", "xy"), ("<p>unfinished <a href='x", "unfinished"), ("a<!-- never ends <p>x</p>", "a"),
+    ("<article><h1>T</h1><div class=content><p>long text here</p><p>more</p></div><div class='comments'><p>nice</p></div></article>", "T long text here more"),
+    ("<body><header><h1>Site</h1></header><div id=content><h2>Head</h2><p>aaa aaa aaa</p><p>bbb bbb</p></div><div class='sidebar'>z</div><footer>f</footer>",
+     "Head aaa aaa aaa bbb bbb"),
+    ("<ul><li>one<li>two</ul>", "one two"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"), ("<main><p>x</p></main><aside>y</aside>", "x"),
+    ("<form><p>f</p></form><p>ok</p>", "ok"), ("a &lt;b&gt; &#x41;&#66; &nosuch; &amp", "a <b> AB &nosuch; &"), ("<style>p{}</style>", ""),
+    ("<div role=navigation>m</div><div class=cookie-notice>c</div><p>t  \n t</p>", "t t"), ("</p></div><b>stray", "stray"),
+    ("<p>long enough text</p>" + "<div>" * 3000 + "deep", "long enough text deep"),
+])
+def test_page_cases(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_links_are_not_main_text():
+    menu = "<div>" + "".join(f"<a href=/{k}>entry number {k}</a> " for k in range(30)) + "</div>"
+    story = "<div>" + "".join(f"<p>Sentence {k} of the story, which goes on for quite a while.</p>" for k in range(8)) + "</div>"
+    text = html_text.main_text(f"<body>{menu}{story}</body>")
+    assert "Sentence 7" in text and "entry number" not in text
+
+
+def test_pages_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<p>" + "long text " * 50_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__x", F.lit(1))
+    got = html_text.extract(d).collect()
+    assert sorted(r.n_chars for r in got) == [0, 0, 1, 499_999] and html_text.extract(d.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        html_text.extract(d.withColumn("text", F.lit("")))
+
+
+# ---------------------------------------------------------------------- chat
+
+CHAT = [
+    (1, 0, "user", "The first question is long enough.\nIt has a second line.\n\nAnd a second paragraph here."),
+    (1, 1, "assistant", "On Monday, Ann wrote:\n> The first question is long enough.\n> It has a second line.\n\nMy answer is forty-two."),
+    (1, 2, "user", "A different topic entirely, without a quote."),
+    (1, 3, "user", "> > The first question is long\n> > enough. It has a second line.\n> My answer is forty-two.\n\nReally?"),
+    (1, 4, "assistant", "> A different topic entirely,\n> without a quote.\nYes, new."),
+    (1, 5, "user", "> never said by anyone at all\nok"), (1, 6, "user", None),
+    (2, 0, "user", "> A different topic entirely, without a quote.\nother conv"), (2, None, "user", "late"), (None, 0, "user", "null conv")]
+
+
+def test_quotes_are_linked_and_ordered(spark):
+    d = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string").withColumn("rid", F.lit(1)).withColumn("at", F.lit(1))
+    got = {(r.conv_id, r.turn): (r.position, r.parent_turn, r.thread_turn, r.text, r.n_quoted, r.n_linked) for r in chat.link(d).collect()}
+    assert got == {
+        (1, 0): (0, None, 0, CHAT[0][3], 0, 0), (1, 1): (1, 0, 0, "My answer is forty-two.", 1, 1), (1, 3): (2, 1, 0, "Really?", 2, 2),
+        (1, 2): (3, 1, 2, CHAT[2][3], 0, 0), (1, 4): (4, 2, 2, "Yes, new.", 1, 1), (1, 5): (5, 4, 5, "ok", 1, 0), (1, 6): (6, 5, 6, None, 0, 0),
+        (2, 0): (0, None, 0, "other conv", 1, 0), (2, None): (1, 0, None, "late", 0, 0), (None, 0): (0, None, 0, "null conv", 0, 0)}
+
+
+def test_one_long_conversation_equals_brute_force(spark):
+    """Blocks of turns, long chains of replies and a passage that many messages hold."""
+    texts = [f"Message number {k} speaks of subject {k}." if k % 7 else "The same common words again." for k in range(3000)]
+    rows, parent, thread = [], {}, {}
+    last_common = None
+    for k, text in enumerate(texts):
+        up = None
+        if k % 5 == 3:
+            up = k - 3
+        elif k % 11 == 4 and last_common is not None:
+            up = last_common
+        quote = "" if up is None else "> " + texts[up] + "\n"
+        if up is not None and up % 7 == 0:
+            up = last_common
+        rows.append((9, k, "user", quote + text))
+        parent[k], thread[k] = (up if up is not None else k - 1 if k else None), (thread[up] if up is not None else k)
+        if k % 7 == 0:
+            last_common = k
+    order = sorted(parent, key=lambda k: (thread[k], k))
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    assert {r.turn: (r.parent_turn, r.thread_turn, r.text) for r in got} == {k: (parent[k], thread[k], texts[k]) for k in parent}
+    assert [r.turn for r in sorted(got, key=lambda r: r.position)] == order
+
+
+def test_chat_whole_table(spark):
+    d = pq.read_table(f"{SF}/conversations.parquet").to_pandas()
+    got = queries.QUERIES["op10_chat_formatting"](spark, SF).toPandas()
+    want = d.sort_values(["conv_id", "turn"])
+    got = got.sort_values(["conv_id", "position"])
+    assert got.text.tolist() == want.text.tolist() and got.turn.tolist() == want.turn.tolist()
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.link(empty).count() == 0
+
+
+# ----------------------------------------------------------------------- pii
+
+
+def replaced(spark, *texts, key=pii.KEY):
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in sorted(pii.replace_entities(d, key=key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_surrogates_keep_type_format_gender_script_and_coreference(spark):
+    out = replaced(spark, "Mail Bob@X.com or bob@x.com, BOB@X.COM now.", "Mr. John Smith met Mary Jones. MR SMITH left; Dr. Jones.",
+                   "call +1 (988) 555-2485 or +49 30 1234567", "card 4111 1111 1111 1111 and 4111-1111-1111-1111, bad 4111111111111112",
+                   "DE89 3704 0044 0532 0130 00", "password=1234567890123456, token = \"abcdef0123\"",
+                   "ssn 123-45-6789. ip 1.2.3.4, v1.2.3.4.5 2024-01-02 10:20:30", "Иван Петров и Мария Петрова; Господин Петров", None, "")
+    a, b, c = re.findall(r"[\w.]+@[\w.]+", out[0])
+    assert a == b == c.lower() and c == c.upper() and not a.startswith("bob")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met (\w+) (\w+)\. MR (\w+) left; Dr\. (\w+)\.", out[1])
+    assert m[5] == m[2].upper() and m[6] == m[4] and m[2] != "Smith" and m[4] != "Jones" and m[3][-1] == "a" != m[1][-1]
+    assert re.fullmatch(r"call \+1 \([2-9]\d\d\) \d{3}-\d{4} or \+\d\d \d\d \d{7}", out[2]) and "555-2485" not in out[2]
+    one, two, bad = re.findall(r"\d[\d -]{14,}\d", out[3])
+    assert one.replace(" ", "") == two.replace("-", "") != "4" + "1" * 15 and bad == "4111111111111112"
+    total = sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(one.replace(" ", ""))))
+    assert total % 10 == 0 and one[0] == "4"
+    assert re.fullmatch(r"DE89( \d{4}){4} \d\d", out[4]) and "3704" not in out[4]
+    assert re.fullmatch(r"password=\d{16}, token = \"[0-9a-f]{10}\"", out[5]) and "1234567890123456" not in out[5] and "abcdef0123" not in out[5]
+    assert re.fullmatch(r"ssn 9\d\d-\d\d-\d{4}\. ip [\d.]+, v1\.2\.3\.4\.5 2024-01-02 10:20:30", out[6]) and "1.2.3.4," not in out[6]
+    m = re.fullmatch(r"(\w+) (\w+) и (\w+) (\w+); Господин (\w+)", out[7])
+    assert m[2] == m[5] != "Петров" and re.fullmatch("[а-яА-Я ]+", "".join(m.groups()))
+    assert out[8:] == [None, ""]
+
+
+def test_surrogates_differ_and_are_no_entities(spark):
+    """Short local parts leave few surrogates, so attempts must collide."""
+    texts = [f"{a}{b}@q.io" for a in "abcdefghij" for b in "klmnopqrst"] + [f"{a}@example.{d}" for a in "abcdefgh" for d in ("com", "net", "org")]
+    out = replaced(spark, *texts)
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    assert replaced(spark, *texts) == out and replaced(spark, *texts, key="another") != out
+
+
+def test_pii_odd_rows_and_tables(spark):
+    rows = [(1, None), (2, ""), (3, "none 12345 67."), (3, "none 12345 67."), (None, "a@b.co"), (5, "x@y.org " * 5000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("rid", "found", "pos", "kind", "put", "pieces", "count"):
+        d = d.withColumn(name, F.lit("same"))
+    got = pii.replace_entities(d, count_name="n")
+    assert got.columns == [*d.columns, "n"]
+    rows = got.collect()
+    assert len(rows) == 6 and {r.rid for r in rows} == {"same"} and sorted(r.n for r in rows) == [0, 0, 0, 0, 1, 5000]
+    assert pii.replace_entities(d.limit(0)).count() == 0
+    assert [r.text for r in rows if r.doc_id == 3] == ["none 12345 67."] * 2
+
+
+def test_pii_whole_table_leaves_the_rest_alone(spark):
+    d = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pandas().set_index("doc_id")
+    got = queries.QUERIES["op7_pii_surrogates"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    marks = re.compile(r"[\w.+-]+@[\w.-]+|\+1 \(\d{3}\) \d{3}-\d{4}|token = \"[0-9a-f]{20,}\"|password=\w+|AKIA\w{16}|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b4\d{15}\b")
+    some = 0
+    for i, text in d.text.items():
+        found = marks.findall(text)
+        some += len(found)
+        assert not any(f in got.text[i] for f in found)
+        assert got.n_replaced[i] == len(found)
+        if not found:
+            assert got.text[i] == text
+        else:  # what lies between entities stays
+            assert all(part in got.text[i] for part in marks.split(text))
+    assert some > 50 and len(got) == len(d)
+
+
+def test_pii_main_path_has_no_python(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = pii.replace_entities(d)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def test_pipeline_equals_its_parts_by_brute_force(spark):
+    import corpus_pipeline
+
+    from .test_text_operators import WORDS, brute_groups, brute_print, brute_windows, check_packed, documents
+
+    d = documents()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "pii_surrogates", "best_fit_packing"]
+    text = {i: t for i, t in zip(d.doc_id, d.text) if re.search(r"[^\W\d_]", t)}
+    group = brute_groups([(i, brute_print(t)) for i, t in text.items()])
+    text = {i: t for i, t in text.items() if group[i] == i}
+    b = pq.read_table(f"{SF}/benchmark.parquet").to_pandas()
+    leaks = {w[0] for w in brute_windows(text.items(), zip(b.item_id, b.text)) if w[-1]}
+    text = {i: t for i, t in text.items() if i not in leaks}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == want
+        docs = queries.materialize(docs, name) if hasattr(queries, "materialize") else corpus_pipeline.materialize(docs, name)
+    clean = {r.doc_id: r.text for r in docs.collect()}
+    assert clean.keys() == text.keys() and leaks
+    assert all(len(WORDS.findall(clean[i])) == len(WORDS.findall(text[i])) for i in text if "@" not in text[i])
+    check_packed(corpus_pipeline.run(spark, SF).toPandas(), clean)
