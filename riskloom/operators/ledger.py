@@ -6,17 +6,20 @@ and the index is an ordinal view.  ``seq`` is the append order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import ZERO_ADDRESS
 from .store import ordinal_index
 
 
+def is_valid() -> Column:
+    """Whether the contract accepts a call: non-empty hash, score 0..100."""
+    return (F.length(F.coalesce(F.col("commit_hash"), F.lit(""))) > 0) & F.coalesce(F.col("risk_score").between(0, 100), F.lit(False))
+
+
 def ledger_valid(calls: DataFrame) -> DataFrame:
-    """Calls that the contract accepts: non-empty hash, score 0..100."""
-    return calls.where((F.length(F.coalesce(F.col("commit_hash"), F.lit(""))) > 0)
-                       & F.col("risk_score").between(0, 100))
+    return calls.where(is_valid())
 
 
 def append_ledger(log: DataFrame | None, calls: DataFrame, ts_col=None) -> DataFrame:

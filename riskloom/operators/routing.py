@@ -22,12 +22,13 @@ from ..functions.catalog import (AMBIGUOUS_BAND, CALL_BUDGET, CONFIDENCE_THRESHO
 from ..functions.scalars import hash_draw
 from .store import top_k_per_group
 
-MIN_TS = "0001-01-01 00:00:00"
+#: Commits without a time come last, as in the first-write order of the store.
+UNKNOWN_TS = "9999-12-31 00:00:00"
 
 
 def order_key(ts_col: str, id_col: str) -> Column:
-    """Total order of arrivals: time (unknown first), then id."""
-    return F.struct(F.coalesce(F.col(ts_col), F.lit(MIN_TS).cast("timestamp_ntz")).alias("t"),
+    """Total order of arrivals: time (unknown last), then id."""
+    return F.struct(F.coalesce(F.col(ts_col), F.lit(UNKNOWN_TS).cast("timestamp_ntz")).alias("t"),
                     F.col(id_col).alias("i"))
 
 
@@ -47,10 +48,15 @@ def wants_review(score: Column, trained: bool, rate: float, hash_col: Column) ->
 def route_llm(df: DataFrame, score_col: str = "custom_score", trained: bool = True,
               budget: int | None = CALL_BUDGET, rate: float = SAMPLING_RATE,
               ts_col: str = "created_at", id_col: str = "commit_id",
-              session_col: str | None = None, hash_col: str = "commit_hash") -> DataFrame:
+              session_col: str | None = None, hash_col: str = "commit_hash",
+              candidates: DataFrame | None = None) -> DataFrame:
     """Adds ``wants_review``, ``calls_before`` (routed rows earlier in the
     session), ``budget_exhausted``, ``llm_called``, ``llm_reason`` and
-    ``budget_used`` (counter after this row)."""
+    ``budget_used`` (counter after this row).
+
+    ``candidates`` may give the same rows in a narrow form (score, time, id,
+    hash, session): the wanting rows are then looked up there, and ``df`` is
+    passed through once, however wide it is."""
     wants, reason = wants_review(F.col(score_col), trained, rate, F.col(hash_col))
     d = df.withColumn("wants_review", wants).withColumn("_reason", reason) \
           .withColumn("_key", order_key(ts_col, id_col))
@@ -61,7 +67,9 @@ def route_llm(df: DataFrame, score_col: str = "custom_score", trained: bool = Tr
     else:
         keys = F.array_sort(F.collect_list("_key")).alias("_cands")
         empty = F.array().cast(T.ArrayType(d.schema["_key"].dataType))
-        wanting = d.where("wants_review")
+        wanting = d if candidates is None else candidates.withColumn("wants_review", wants) \
+            .withColumn("_key", order_key(ts_col, id_col))
+        wanting = wanting.where("wants_review")
         if session_col:
             cand = top_k_per_group(wanting.select(session_col, "_key"), [session_col],
                                    [F.col("_key")], budget)

@@ -1,9 +1,7 @@
 """Rule scan: findings per commit as one generated projection.
 
 The scan is a narrow (map-only) transformation, so it needs no shuffle and
-parallelises with the input splits.  Where rows repeat the same code, the
-caller may scan :func:`distinct_code` (one row per hash, map-side combined)
-and join the per-hash findings back by hash.
+parallelises with the input splits.
 """
 
 from __future__ import annotations
@@ -12,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.catalog import rules_a
+from ..functions.catalog import categories_a, rules_a
 from ..functions.scalars import commit_hash
 
 
@@ -20,13 +18,6 @@ def with_commit_hash(df: DataFrame, code_col: str = "code_content") -> DataFrame
     return df.withColumn("commit_hash", commit_hash(F.col(code_col)))
 
 
-def distinct_code(df: DataFrame, code_col: str = "code_content") -> DataFrame:
-    """One (commit_hash, code) per distinct hash.  ``any_value`` aggregates
-    partially before the shuffle, so a hot hash sends one row per map task."""
-    return (df.select(commit_hash(F.col(code_col)).alias("commit_hash"), F.col(code_col))
-            .groupBy("commit_hash").agg(F.any_value(code_col).alias(code_col)))
-
-
 def rule_hits(df: DataFrame, key_cols: list[str], code_col: str = "code_content") -> DataFrame:
     """Long findings table: one row per (key, catalog-A pattern) that hit,
     with all matches of that pattern in text order."""
@@ -40,14 +31,14 @@ def rule_hits(df: DataFrame, key_cols: list[str], code_col: str = "code_content"
             .where(F.size("matches") > 0))
 
 
-def findings_by_category(hits: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Fold of :func:`rule_hits` per (key, category): max severity and the
-    matches in pattern-then-text order."""
-    return (hits.groupBy(*key_cols, "category", "cat_ord")
-            .agg(F.max("severity").alias("severity"),
-                 F.array_sort(F.collect_list(F.struct("pat_ord", "matches"))).alias("_parts"))
-            .select(*key_cols, "category", "cat_ord", "severity",
-                    F.flatten(F.transform("_parts", lambda p: p["matches"])).alias("matches")))
+def findings_by_category(df: DataFrame, key_cols: list[str], code_col: str = "code_content") -> DataFrame:
+    """Per (key, category) that hit: severity and the matches in
+    pattern-then-text order.  A category's matches stand side by side in a
+    row, so this is a projection without a shuffle."""
+    arrays = rules.with_match_arrays(df.select(*key_cols, code_col), code_col)
+    items = F.array(*[F.struct(F.lit(name).alias("category"), F.lit(ci).alias("cat_ord"), F.lit(float(sev)).alias("severity"),
+                               rules.category_matches(ci).alias("matches")) for ci, name, sev in categories_a()])
+    return arrays.select(*key_cols, F.inline(items)).where(F.size("matches") > 0)
 
 
 def with_findings(df: DataFrame, code_col: str = "code_content") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import LOG_PAGE, STATUS_ACCEPTED, STATUS_ROLLBACK
 from ..functions.scalars import is_blank, profile_username
+from ..session import path_exists
 
 
 def first_write_order() -> list[Column]:
@@ -46,10 +47,14 @@ def ordinal_index(df: DataFrame, order_col: str, out_col: str = "ordinal", block
     """Zero-based position of each row in ``order_col`` order (an integral,
     unique column), without a single-partition window.
 
-    Rows are grouped in blocks of ``block_rows`` consecutive key values; the
-    block counts (one row per block) give offsets by a small running sum, and
-    a row's position is its block offset plus its rank inside the block."""
-    b = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_rows)))
+    Dense keys are grouped in blocks of ``block_rows`` consecutive key values;
+    where keys are sparse the block widens with the key range, so that there
+    are never more than about 65,536 blocks.  The block counts (one row per
+    block) give offsets by a small running sum, and a row's position is its
+    block offset plus its rank inside the block."""
+    width = df.select(F.greatest(F.lit(block_rows).cast("double"),
+                                 (F.max(order_col) - F.min(order_col)) / F.lit(65536.0))).scalar()
+    b = df.withColumn("_blk", F.floor(F.col(order_col) / width))
     counts = b.groupBy("_blk").agg(F.count("*").alias("_n"))
     offsets = counts.select("_blk", (F.sum("_n").over(
         Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
@@ -80,13 +85,11 @@ def save_commits(store: DataFrame, incoming: DataFrame) -> DataFrame:
 def save_commits_to(spark, path: str, incoming: DataFrame) -> None:
     """Append the new rows of a batch to a parquet store at ``path`` (any
     Hadoop file system).  Single writer per path; replaying a batch appends
-    nothing."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        store = spark.read.parquet(path)
-        new = new_rows(store, incoming).select(*store.columns)
-    except AnalysisException:
+    nothing; a batch without one of the store's columns is an error."""
+    if path_exists(spark, path):
+        stored = spark.read.parquet(path)
+        new = new_rows(stored, incoming).select(*stored.columns)
+    else:
         new = first_commit_per_hash(incoming)
     new.write.mode("append").parquet(path)
 
@@ -176,7 +179,9 @@ def latest_per_user(commits: DataFrame, k: int = LOG_PAGE) -> DataFrame:
 
 
 def recent_logs(commits: DataFrame, user_id, k: int = LOG_PAGE) -> DataFrame:
-    """One user's audit log page (owner filter pushed to the scan)."""
+    """One user's audit log page.  On a stored table the owner filter reaches
+    the scan; on commits that are still to be deduplicated it stays above the
+    first-write window, which must see every owner's rows."""
     return commits.where(F.col("user_id") == F.lit(user_id)).orderBy(*log_order()).limit(k)
 
 

@@ -163,4 +163,5 @@ def merge_verdicts(local: DataFrame, verdicts: DataFrame, trained: bool,
         F.when(full, F.lit(K.MODE_FULL_TRAINED if trained else K.MODE_FULL))
          .otherwise(loc["analysis_mode"]).alias("analysis_mode"),
         F.round(cs, 4).alias("custom_model_score"),
+        "llm_score",
     )

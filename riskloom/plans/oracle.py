@@ -32,7 +32,7 @@ SHA = "substr(sha256({}), 1, 16)"
 VIEWS = {
     "snip": f"""SELECT k, replace(s, '~', chr(10)) AS snippet, CAST(sev AS DOUBLE) AS sev FROM (VALUES
  {_SNIP_ROWS}) AS t(k, s, sev)""",
-    "commits": f"""SELECT doc_id AS commit_id, doc_id % 11 AS user_id,
+    "commits": f"""SELECT doc_id AS commit_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 ELSE 100 + doc_id // 20 END AS user_id,
        CASE WHEN doc_id % 97 = 0 THEN concat(' ', chr(10), chr(9)) ELSE concat(snippet, text) END AS code_content,
        CASE WHEN doc_id % 89 = 0 THEN NULL ELSE {TS} END AS created_at, snip.sev AS sev
 FROM documents JOIN snip ON documents.n_chars % 16 = snip.k""",
@@ -62,11 +62,11 @@ FROM commits""",
 FROM commits""",
     "changes": """SELECT commit_id,
        CASE WHEN commit_id % 4 = 0 THEN 'insert' WHEN commit_id % 4 = 2 THEN 'delete' ELSE 'update' END AS op,
-       CASE WHEN commit_id % 3 = 0 THEN (user_id + 1) % 11 ELSE user_id END AS actor_id,
-       CASE WHEN commit_id % 5 = 0 THEN (user_id + 2) % 11 ELSE user_id END AS new_user_id
+       CASE WHEN commit_id % 3 = 0 THEN user_id + 1 ELSE user_id END AS actor_id,
+       CASE WHEN commit_id % 5 = 0 THEN user_id + 2 ELSE user_id END AS new_user_id
 FROM commits""",
     "detail_requests": """SELECT commit_id,
-       CASE WHEN commit_id % 4 = 0 THEN (user_id + 1) % 11 ELSE user_id END AS requester_id
+       CASE WHEN commit_id % 4 = 0 THEN user_id + 1 ELSE user_id END AS requester_id
 FROM commits""",
     "generated_replies": """SELECT doc_id AS gen_id,
        CASE WHEN doc_id % 4 = 0 THEN concat('```python', chr(10), text, chr(10), '```')
@@ -81,7 +81,7 @@ FROM documents""",
 FROM commits c JOIN ledger_calls l ON c.commit_id = l.seq""",
 }
 
-BATCH_SPLIT = "TIMESTAMP '2024-01-01 08:00:00'"
+SECOND_BATCH = "commit_id % 2 <> 0"
 
 # view dependencies (CTEs are emitted in this order)
 _ORDER = ["snip", "commits", "users", "auth_users", "llm_responses", "training_raw",

@@ -35,7 +35,7 @@ FLOW_CTES = {
     "_w2": (f"SELECT *, band OR sampled AS wants, CASE WHEN band THEN {O.q(K.REASON_BAND)} WHEN sampled THEN "
             f"{O.q(K.REASON_SAMPLE)} ELSE {O.q(K.REASON_CONFIDENT)} END AS reason0 FROM _want"),
     "_rt": ("SELECT *, coalesce(sum(CAST(wants AS BIGINT)) OVER (ORDER BY coalesce(created_at, "
-            "TIMESTAMP '0001-01-01 00:00:00'), commit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb "
+            "TIMESTAMP '9999-12-31 00:00:00'), commit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb "
             "FROM _w2"),
     "_routed": (f"SELECT *, CAST(least(wb, {B}) AS BIGINT) AS calls_before, wb >= {B} AS budget_exhausted, "
                 f"wants AND wb < {B} AS llm_called, CASE WHEN wb >= {B} THEN {O.q(K.REASON_EXHAUSTED % (B, B))} "
@@ -94,14 +94,15 @@ def flow_sql(body: str, *views: str, merge: bool = False, stored: bool = False)
 
 
 def _routed(spark, sf, with_code: bool = False):
+    """Routing over the narrow table; ``with_code`` adds text and findings of the routed rows."""
     s = scan.with_commit_hash(store.drop_blank_code(fx.commits(spark, sf)))
-    s = analyze.scored_table(s)
-    r = routing.route_llm(s, "custom_score", trained=True)
-    return analyze.attach_code(r, fx.commits(spark, sf)) if with_code else r
+    r = routing.route_llm(analyze.routing_table(s), "custom_score", trained=True)
+    return scan.with_findings(analyze.attach_code(r, fx.commits(spark, sf))) if with_code else r
 
 
 def _merged(spark, sf):
-    r = _routed(spark, sf)
+    s = scan.with_commit_hash(store.drop_blank_code(fx.commits(spark, sf)))
+    r = analyze.routed_findings(s, _routed(spark, sf))
     v = verdicts.llm_verdict_ingest(fx.llm_responses(spark, sf))
     return verdicts.merge_verdicts(r, v, trained=True)
 
@@ -113,18 +114,21 @@ def _hashed(spark, sf):
     return scan.with_commit_hash(store.drop_blank_code(fx.commits(spark, sf)))
 
 
-@register("save_commits", stored_sql("SELECT commit_id, user_id, commit_hash, created_at FROM _firsts"))
+@register("save_commits", stored_sql("SELECT commit_id, user_id, commit_hash, created_at FROM _held"))
 def q_save_commits(spark, sf):
-    """Two arrival batches saved in order; the final table state."""
+    """Two batches saved in order, the second one twice (a replay); the table
+    as read back."""
     c = _hashed(spark, sf).select("commit_id", "user_id", "commit_hash", "created_at")
-    s1 = store.first_commit_per_hash(fx.first_batch(c))
-    return store.save_commits(s1, fx.second_batch(c))
+    path = scratch_path(spark, "commit-table")
+    for batch in (fx.first_batch(c), fx.second_batch(c), fx.second_batch(c)):
+        store.save_commits_to(spark, path, batch)
+    return spark.read.parquet(path).select("commit_id", "user_id", "commit_hash", "created_at")
 
 
 @register("existing_on_conflict", stored_sql(
     "SELECT b.commit_id, b.commit_hash, f.commit_id AS stored_commit_id, f.created_at AS stored_created_at, "
-    f"f.commit_id <> b.commit_id AS is_duplicate FROM _base b JOIN _firsts f USING (commit_hash) "
-    f"WHERE b.created_at IS NULL OR b.created_at >= {O.BATCH_SPLIT}"))
+    f"f.commit_id <> b.commit_id AS is_duplicate FROM _base b JOIN _held f USING (commit_hash) "
+    f"WHERE b.{O.SECOND_BATCH}"))
 def q_existing_on_conflict(spark, sf):
     c = _hashed(spark, sf).select("commit_id", "commit_hash", "created_at")
     s1 = store.first_commit_per_hash(fx.first_batch(c))
@@ -253,7 +257,7 @@ def _objects_path(spark, stored):
     "AS s3_code_key, length(code_content) AS code_chars FROM stored"))
 def q_write_code_objects(spark, sf):
     from ..sources.sinks import read_code_objects
-    path = _objects_path(spark, analyze.stored_commits(spark, sf))
+    path = _objects_path(spark, analyze.stored_commits_with_code(spark, sf))
     o = read_code_objects(spark, path)
     return o.select("user_id", "commit_hash", "s3_code_key", F.length("code_content").cast("long").alias("code_chars"))
 
@@ -265,7 +269,7 @@ def q_write_code_objects(spark, sf):
 def q_read_code_objects(spark, sf):
     from ..sources.sinks import get_code_objects, read_code_objects
     st = analyze.stored_commits(spark, sf)
-    o = read_code_objects(spark, _objects_path(spark, st))
+    o = read_code_objects(spark, _objects_path(spark, analyze.stored_commits_with_code(spark, sf)))
     req = fx.detail_requests(spark, sf).join(st.select("commit_id", "commit_hash"), "commit_id")
     g = get_code_objects(o, req.withColumnRenamed("requester_id", "user_id"))
     return g.select("commit_id", F.col("user_id").alias("requester_id"), F.col("code_content").isNotNull().alias("found"),
@@ -280,7 +284,7 @@ def q_read_code_objects(spark, sf):
 def q_code_with_fallback(spark, sf):
     """Table code is missing for legacy rows (no time); the object copy
     exists for owners with a profile."""
-    st = analyze.stored_commits(spark, sf)
+    st = analyze.stored_commits_with_code(spark, sf)
     details = st.select("commit_id", "user_id", "commit_hash",
                         F.when(F.col("created_at").isNull(), F.lit("")).otherwise(F.col("code_content"))
                         .alias("code_content"))
@@ -293,7 +297,7 @@ def q_code_with_fallback(spark, sf):
     "WHERE coalesce(code_content, '') <> ''"))
 def q_export_commit_code(spark, sf):
     from ..sources.sinks import export_commit_code
-    return export_commit_code(analyze.stored_commits(spark, sf))
+    return export_commit_code(analyze.stored_commits_with_code(spark, sf))
 
 
 @register("write_analysis_results", stored_sql(
@@ -340,9 +344,7 @@ def q_append_ledger(spark, sf):
 
 @register("ledger_valid", ledger_sql(f"SELECT seq, ({_VALID}) AS valid FROM ledger_calls"))
 def q_ledger_valid(spark, sf):
-    calls = fx.ledger_calls(spark, sf)
-    ok = ledger.ledger_valid(calls).select("seq", F.lit(True).alias("valid"))
-    return calls.select("seq").join(ok, "seq", "left").select("seq", F.coalesce("valid", F.lit(False)).alias("valid"))
+    return fx.ledger_calls(spark, sf).select("seq", ledger.is_valid().alias("valid"))
 
 
 @register("ledger_current", ledger_sql("SELECT * FROM _cur"))
@@ -479,9 +481,7 @@ def q_merge_verdicts(spark, sf):
     merge=True))
 def q_final_score_full(spark, sf):
     m = _merged(spark, sf).where(F.col("analysis_mode") == K.MODE_FULL_TRAINED)
-    v = verdicts.llm_verdict_ingest(fx.llm_responses(spark, sf)).select("commit_id", "llm_score")
-    return m.join(v, "commit_id").select("commit_id", F.col("risk_score").alias("final_score"), "llm_score",
-                                         "custom_score", "pattern_floor")
+    return m.select("commit_id", F.col("risk_score").alias("final_score"), "llm_score", "custom_score", "pattern_floor")
 
 
 @register("merged_vulnerabilities", flow_sql(
@@ -513,7 +513,7 @@ def q_export_llm_requests(spark, sf):
     f"d.budget_used, CAST({B} AS BIGINT) AS budget_limit, CAST(greatest(0, {B} - d.budget_used) AS BIGINT) AS "
     "budget_remaining, f.commit_id <> d.commit_id AS duplicate, "
     f"printf({O.q(K.CODE_OBJECT_KEY)}, CAST(d.user_id AS VARCHAR), d.commit_hash) AS s3_code_key "
-    "FROM _decided d JOIN _firsts f USING (commit_hash)", merge=True, stored=True))
+    "FROM _decided d JOIN _held f USING (commit_hash)", merge=True, stored=True))
 def q_analysis_response(spark, sf):
     c = fx.commits(spark, sf)
     st = analyze.stored_commits_from(fx.first_batch(c))

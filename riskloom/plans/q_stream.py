@@ -1,8 +1,9 @@
 """Registered streaming queries.
 
 Each one lays the fixture down as eight ordered parquet files, runs the
-streaming job over them with ``maxFilesPerTrigger=1`` (eight micro-batches)
-and ``availableNow``, and returns the table the job wrote.  The oracle is
+streaming job over the first four and starts it again on the same target for
+the rest, with ``maxFilesPerTrigger=1`` (eight micro-batches in all) and
+``availableNow``, and returns the table the jobs wrote.  The oracle is
 the batch SQL of the same result: the streams must agree with batch.
 """
 
@@ -21,18 +22,21 @@ from .q_flow import FLOW_CTES, ledger_sql
 from .registry import HASH, register, stored_sql
 
 
-def _stream_of(df, order, name):
+def _in_two_starts(df, order, name, start):
+    """Run ``start(stream)`` twice on one target: over the first four files,
+    then, as a new job, over the rest."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"src-{name}")
-    P.write_stream_source(df, path, order)
-    return P.read_stream(spark, path, df.schema)
+    staged, path = scratch_path(spark, f"staged-{name}"), scratch_path(spark, f"src-{name}")
+    P.write_stream_source(df, staged, order)
+    for first, last in ((0, 4), (0, -1)):
+        P.publish_files(spark, staged, path, first, last)
+        start(P.read_stream(spark, path, df.schema))
 
 
 @register("stream_scan", O.with_views(
     f"SELECT commit_id, {HASH} AS commit_hash, f AS pattern_floor, f * 100 AS risk_pct, {O.status_sql('f')} AS status "
     f"FROM (SELECT *, {O.floor_sql('code_content')} AS f FROM commits)", "commits"))
 def q_stream_scan(spark, sf):
-    src = _stream_of(fx.commits(spark, sf), [F.col("commit_id")], "scan")
     out = scratch_path(spark, "stream-scan")
 
     def score(s):
@@ -41,7 +45,7 @@ def q_stream_scan(spark, sf):
                         risk_percentage(F.col("pattern_floor")).alias("risk_pct"),
                         risk_status(F.col("pattern_floor")).alias("status"))
 
-    P.stream_scan(src, score, out)
+    _in_two_starts(fx.commits(spark, sf), [F.col("commit_id")], "scan", lambda s: P.stream_scan(s, score, out))
     return spark.read.parquet(out)
 
 
@@ -51,10 +55,10 @@ def _hashed_commits(spark, sf):
 
 @register("stream_dedup", stored_sql("SELECT commit_id, commit_hash FROM _firsts"))
 def q_stream_dedup(spark, sf):
-    src = _stream_of(_hashed_commits(spark, sf), store.first_write_order(), "dedup")
+    c = _hashed_commits(spark, sf).drop("code_content")
     path = scratch_path(spark, "stream-store")
-    P.stream_dedup(src, path)
-    return P.read_store(spark, path, src.schema).select("commit_id", "commit_hash")
+    _in_two_starts(c, store.first_write_order(), "dedup", lambda s: P.stream_dedup(s, path))
+    return P.read_store(spark, path, c.schema).select("commit_id", "commit_hash")
 
 
 @register("stream_recent_log", stored_sql(
@@ -66,10 +70,9 @@ def q_stream_recent_log(spark, sf):
     c = c.select("user_id", "commit_id", "commit_hash",
                  risk_percentage(F.round(F.greatest(F.lit(0.0), F.col("pattern_floor")), 4)).alias("risk_score"),
                  "created_at")
-    src = _stream_of(c, store.first_write_order(), "recent-log")
     store_path, log_root = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-log")
-    P.stream_recent_log(src, store_path, log_root)
-    page = P.read_versioned(spark, log_root, src.schema)
+    _in_two_starts(c, store.first_write_order(), "recent-log", lambda s: P.stream_recent_log(s, store_path, log_root))
+    page = P.read_versioned(spark, log_root, c.schema)
     return store.latest_per_user(page)
 
 
@@ -81,11 +84,9 @@ _BUDGET_CTES = {**FLOW_CTES, "_rt": _RT_SESSION}
     "SELECT commit_id, user_id, wants AS wants_review, calls_before, budget_exhausted, llm_called, budget_used "
     "FROM _routed", "commits", extra=_BUDGET_CTES))
 def q_stream_budget(spark, sf):
-    s = analyze.scored_table(_hashed_commits(spark, sf))
-    s = s.select("commit_id", "user_id", "commit_hash", "created_at", "custom_score")
-    src = _stream_of(s, [routing.order_key("created_at", "commit_id")], "budget")
+    s = analyze.routing_table(_hashed_commits(spark, sf))
     out = scratch_path(spark, "stream-budget")
-    P.stream_budget(src, out)
+    _in_two_starts(s, [routing.order_key("created_at", "commit_id")], "budget", lambda x: P.stream_budget(x, out))
     return spark.read.parquet(out)
 
 
@@ -93,9 +94,8 @@ def q_stream_budget(spark, sf):
 def q_stream_ledger(spark, sf):
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
     log = ledger.append_ledger(None, fx.ledger_calls(spark, sf), ts_col=ts)
-    src = _stream_of(log, [F.col("seq")], "ledger")
     root = scratch_path(spark, "stream-ledger")
-    P.stream_ledger(src, root)
+    _in_two_starts(log, [F.col("seq")], "ledger", lambda s: P.stream_ledger(s, root))
     cur = P.read_versioned(spark, root, ledger.ledger_current(log).schema)
     return cur.select("commit_hash", "seq", "risk_score", "status", "submitter", "ts")
 

@@ -45,6 +45,8 @@ STORED_CTES = {
     "_firsts": ("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash "
                 "ORDER BY created_at ASC NULLS LAST, commit_id) AS rn FROM _base) WHERE rn = 1"),
     "_floored": f"SELECT *, round(greatest({O.dbl(0.0)}, {O.floor_sql('code_content')}), 4) AS raw FROM _firsts",
+    "_held": ("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY commit_hash "
+              "ORDER BY commit_id % 2, created_at ASC NULLS LAST, commit_id) AS rn FROM _base) WHERE rn = 1"),
     "stored": (f"SELECT commit_id, user_id, commit_hash, raw * 100 AS risk_score, {O.status_sql('raw')} AS status, "
                f"code_content, {O.tx_sql('commit_hash', 'raw * 100', O.status_sql('raw'))} AS dlt_tx_hash, created_at "
                "FROM _floored"),
@@ -172,8 +174,7 @@ def _findings_by_category_sql() -> str:
 
 @register("findings_by_category", _findings_by_category_sql())
 def q_findings_by_category(spark, sf):
-    h = scan.rule_hits(fx.commits(spark, sf), ["commit_id"])
-    f = scan.findings_by_category(h, ["commit_id"])
+    f = scan.findings_by_category(fx.commits(spark, sf), ["commit_id"])
     return f.select("commit_id", "category", "severity", F.size("matches").cast("long").alias("n_matches"),
                     F.array_join("matches", NL).alias("matches_text"))
 
@@ -247,7 +248,7 @@ def q_first_commit_per_hash(spark, sf):
 @register("stored_commits", stored_sql(
     "SELECT commit_id, user_id, commit_hash, risk_score, status, dlt_tx_hash, created_at FROM stored"))
 def q_stored_commits(spark, sf):
-    return analyze.stored_commits(spark, sf).drop("code_content")
+    return analyze.stored_commits(spark, sf)
 
 
 @register("log_with_user", stored_sql(

@@ -3,7 +3,9 @@ checkpoint folder for lineage cuts and streaming state."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +52,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this job")
         root = tempfile.mkdtemp(prefix="riskloom-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # this session's own scratch
         spark.conf.set("spark.checkpoint.dir", root)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -62,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored at ``path`` (any Hadoop file system).  Readers
+    ask this instead of taking every failed read for an empty table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(df, name: str):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: cuts lineage (recovery after executor loss restarts from the table,

@@ -34,7 +34,7 @@ SNIPPETS = [
     ('password = "1234"~fooBar_baz = 42~', 0.0),
     ("import socket~socket.create_connection(a)~", 0.0),
 ]
-N_USERS = 11
+HOT_OWNERS = 11
 BASE_TS = "2024-01-01 00:00:00"
 
 
@@ -54,6 +54,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").where(F.col("n_chars").isNotNull())
 
 
+def owner_of(i):
+    """Every third commit belongs to one of a few busy owners; the others have
+    owners whose number grows with the table (about twenty commit ids each)."""
+    return F.when(i % 3 == 0, i % HOT_OWNERS).otherwise(100 + F.floor(i / 20)).cast("long")
+
+
 def commits_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """commit_id, user_id, code_content, created_at (TIMESTAMP_NTZ) and the
     snippet's expected floor ``sev``, in one projection of one scan."""
@@ -61,7 +67,7 @@ def commits_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.expr(f"timestamp_ntz'{BASE_TS}' + make_dt_interval(0, 0, cast(doc_id AS int), 0)")
     return d.select(
         F.col("doc_id").alias("commit_id"),
-        (F.col("doc_id") % N_USERS).alias("user_id"),
+        owner_of(F.col("doc_id")).alias("user_id"),
         F.when(F.col("doc_id") % 97 == 0, F.lit(" \n\t"))
          .otherwise(F.concat(snippet_of(F.col("n_chars")), F.col("text"))).alias("code_content"),
         F.when(F.col("doc_id") % 89 == 0, F.lit(None).cast("timestamp_ntz"))
@@ -146,8 +152,8 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("commit_id"),
         F.when(i % 4 == 0, F.lit("insert")).when(i % 4 == 2, F.lit("delete"))
          .otherwise(F.lit("update")).alias("op"),
-        F.when(i % 3 == 0, (u + 1) % N_USERS).otherwise(u).alias("actor_id"),
-        F.when(i % 5 == 0, (u + 2) % N_USERS).otherwise(u).alias("new_user_id"),
+        F.when(i % 3 == 0, u + 1).otherwise(u).alias("actor_id"),
+        F.when(i % 5 == 0, u + 2).otherwise(u).alias("new_user_id"),
     )
 
 
@@ -156,7 +162,7 @@ def detail_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = commits(spark, sf_dir)
     i, u = F.col("commit_id"), F.col("user_id")
     return c.select(i.alias("commit_id"),
-                    F.when(i % 4 == 0, (u + 1) % N_USERS).otherwise(u).alias("requester_id"))
+                    F.when(i % 4 == 0, u + 1).otherwise(u).alias("requester_id"))
 
 
 def generated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,17 +176,15 @@ def generated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("gen_id"), content.alias("content"))
 
 
-# Arrival split of the commit fixture into two save batches.
-BATCH_SPLIT_TS = "2024-01-01 08:00:00"
+# The commits in two save batches that both grow with the table.
 
 
 def first_batch(df: DataFrame) -> DataFrame:
-    return df.where(F.col("created_at") < F.lit(BATCH_SPLIT_TS).cast("timestamp_ntz"))
+    return df.where(F.col("commit_id") % 2 == 0)
 
 
 def second_batch(df: DataFrame) -> DataFrame:
-    return df.where(F.col("created_at").isNull()
-                    | (F.col("created_at") >= F.lit(BATCH_SPLIT_TS).cast("timestamp_ntz")))
+    return df.where(F.col("commit_id") % 2 != 0)
 
 
 def deleted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,12 +197,12 @@ def commit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows offered to the commit table: ledger scores (some above 100), a
     status outside the allowed set and missing owners now and then."""
     c = commits_labelled(spark, sf_dir)
-    lc = ledger_calls(spark, sf_dir)
-    j = c.join(lc.withColumnRenamed("seq", "commit_id"), "commit_id")
     i = F.col("commit_id")
-    return j.select(
+    accepted = F.when(F.col("sev") < 0.75, F.lit("Accepted")).otherwise(F.lit("Rollback Enforced"))
+    return c.select(
         "commit_id",
         F.when(i % 17 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
-        "commit_hash", F.col("risk_score").cast("double").alias("risk_score"),
-        F.when(i % 13 == 0, F.lit("Pending")).otherwise(F.col("status")).alias("status"),
+        commit_hash(F.col("code_content")).alias("commit_hash"),
+        (F.floor(F.col("sev") * 100) + i % 7).cast("double").alias("risk_score"),
+        F.when(i % 13 == 0, F.lit("Pending")).otherwise(accepted).alias("status"),
         "code_content")

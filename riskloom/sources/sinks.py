@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import catalog as K
+from ..session import path_exists
 
 OWNER_BUCKETS = 256
 
@@ -95,12 +96,9 @@ TRAINING_SCHEMA = T.StructType([
 def read_training(spark: SparkSession, path: str) -> DataFrame:
     """Tolerant JSON-lines read: malformed lines are dropped; a missing path
     gives an empty table."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(TRAINING_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], TRAINING_SCHEMA)
+    return spark.read.schema(TRAINING_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
 def append_training(examples: DataFrame, path: str) -> None:

@@ -16,8 +16,11 @@
   micro-batch; a retrain is due when the store size crosses a multiple of
   ``RETRAIN_STEP``.
 
-Checkpoints and tables live under the session's ``spark.checkpoint.dir``
-(a shared folder on a cluster).
+Every job can be started again on its target: the checkpoint stands beside
+the target (``<target>.checkpoint`` unless the caller names another), so a
+second start goes on where the first ended, batch ids never repeat, and no
+batch folder is written over.  Tables live where the caller says, on a cluster
+under a shared folder such as ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import CALL_BUDGET, LOG_PAGE, RETRAIN_STEP, SAMPLING_RATE
 from ..operators import routing, store, training
-from ..session import scratch_path
+from ..session import path_exists
 
 # ------------------------------------------------------------------ source
 
@@ -56,9 +59,22 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
             .parquet(path))
 
 
-def run_available(writer, name: str, spark: SparkSession) -> None:
-    """Process everything available now, then stop (checkpointed)."""
-    q = (writer.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}"))
+def publish_files(spark: SparkSession, staged: str, path: str, first: int, last: int) -> None:
+    """Test harness: move files ``first`` to ``last`` (exclusive, in name order)
+    of a staged source to where the stream reads, times kept."""
+    jvm = spark._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    files = sorted(st.getPath().getName() for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/*.parquet")))
+    for name in files if (first, last) == (0, -1) else files[first:last]:
+        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staged}/{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+
+
+def run_available(writer, target: str, checkpoint: str | None = None) -> None:
+    """Process everything available now, then stop; the checkpoint belongs to
+    the target, so the next start continues after this one."""
+    q = (writer.option("checkpointLocation", checkpoint or target.rstrip("/") + ".checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
@@ -68,35 +84,23 @@ def run_available(writer, name: str, spark: SparkSession) -> None:
 # ---------------------------------------------------------------- stateless
 
 
-def stream_scan(stream: DataFrame, transform, out_path: str) -> None:
+def stream_scan(stream: DataFrame, transform, out_path: str, checkpoint: str | None = None) -> None:
     """Append ``transform(stream)`` (row-wise) to a parquet table."""
-    spark = stream.sparkSession
     run_available(transform(stream).writeStream.format("parquet").option("path", out_path)
-                  .outputMode("append"), "scan", spark)
+                  .outputMode("append"), out_path, checkpoint)
 
 
 # -------------------------------------------------------------------- store
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def read_store(spark: SparkSession, store_path: str, schema, exclude_batch: int | None = None) -> DataFrame:
     """A store kept as one folder per micro-batch (``b=<id>``)."""
-    from pyspark.errors import AnalysisException
     from pyspark.sql import types as T
 
-    full = T.StructType(list(schema.fields) + [T.StructField("b", T.LongType())])
-    try:
-        d = spark.read.schema(full).parquet(store_path)
-    except AnalysisException:
+    if not path_exists(spark, store_path):
         return spark.createDataFrame([], schema)
+    full = T.StructType(list(schema.fields) + [T.StructField("b", T.LongType())])
+    d = spark.read.schema(full).parquet(store_path)
     if exclude_batch is not None:
         d = d.where(F.col("b") != F.lit(exclude_batch))
     return d.select(*schema.names)
@@ -110,7 +114,7 @@ def append_batch(spark: SparkSession, rows: DataFrame, store_path: str, batch_id
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def stream_dedup(stream: DataFrame, store_path: str) -> None:
+def stream_dedup(stream: DataFrame, store_path: str, checkpoint: str | None = None) -> None:
     """First write per ``commit_hash`` into the store at ``store_path``.
     The anti join reads every earlier batch's folder, never this batch's, so
     a replay after a failure computes the same rows again."""
@@ -121,7 +125,7 @@ def stream_dedup(stream: DataFrame, store_path: str) -> None:
         current = read_store(spark, store_path, schema, exclude_batch=batch_id)
         append_batch(spark, store.new_rows(current, batch).select(*schema.names), store_path, batch_id)
 
-    run_available(stream.writeStream.foreachBatch(save), "dedup", spark)
+    run_available(stream.writeStream.foreachBatch(save), store_path, checkpoint)
 
 
 def _latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
@@ -144,7 +148,7 @@ def read_versioned(spark: SparkSession, root: str, schema, before: int | None =
     return spark.read.schema(schema).parquet(v) if v else spark.createDataFrame([], schema)
 
 
-def stream_recent_log(stream: DataFrame, store_path: str, log_root: str, k: int = LOG_PAGE) -> None:
+def stream_recent_log(stream: DataFrame, store_path: str, log_root: str, k: int = LOG_PAGE, checkpoint: str | None = None) -> None:
     """Store new first writes, then upsert the top-``k`` page per user.
 
     Each micro-batch writes a new version ``v=<batch_id>`` of the page
@@ -160,7 +164,7 @@ def stream_recent_log(stream: DataFrame, store_path: str, log_root: str, k: int
         page = store.top_k_per_group(prev.unionByName(added), ["user_id"], store.log_order(), k)
         page.write.mode("overwrite").parquet(os.path.join(log_root, f"v={batch_id}"))
 
-    run_available(stream.writeStream.foreachBatch(save), "recent-log", spark)
+    run_available(stream.writeStream.foreachBatch(save), log_root, checkpoint)
 
 
 # ------------------------------------------------------------------ budget
@@ -194,29 +198,27 @@ def _budget_counter(budget: int):
 
 
 def stream_budget(scored: DataFrame, out_path: str, session_col: str = "user_id", budget: int = CALL_BUDGET,
-                  rate: float = SAMPLING_RATE, trained: bool = True) -> None:
+                  rate: float = SAMPLING_RATE, trained: bool = True, checkpoint: str | None = None) -> None:
     """Route scored rows under a per-session call budget kept as streaming
     state; rows of one session are counted in arrival order (time, then
     id) inside a micro-batch and after all earlier micro-batches."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    spark = scored.sparkSession
     wants, _ = routing.wants_review(F.col("custom_score"), trained, rate, F.col("commit_hash"))
     s = scored.select(F.col("commit_id"), F.col(session_col).alias("user_id"),
                       # fixed-width text sorts like the local time and needs no time zone
-                      F.date_format(F.coalesce(F.col("created_at"), F.lit(routing.MIN_TS).cast("timestamp_ntz")),
+                      F.date_format(F.coalesce(F.col("created_at"), F.lit(routing.UNKNOWN_TS).cast("timestamp_ntz")),
                                     "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("_t"), wants.alias("wants_review"))
     out = s.groupBy("user_id").applyInPandasWithState(
         _budget_counter(budget), outputStructType=BUDGET_SCHEMA, stateStructType="used long",
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    run_available(out.writeStream.format("parquet").option("path", out_path).outputMode("append"),
-                  "budget", spark)
+    run_available(out.writeStream.format("parquet").option("path", out_path).outputMode("append"), out_path, checkpoint)
 
 
 # ------------------------------------------------------------------ ledger
 
 
-def stream_ledger(calls: DataFrame, current_root: str) -> None:
+def stream_ledger(calls: DataFrame, current_root: str, checkpoint: str | None = None) -> None:
     """Current record per hash: latest ``seq`` wins.  The streaming
     aggregate emits changed hashes (update mode); each micro-batch merges
     them into a new version of the current-state table."""
@@ -226,16 +228,18 @@ def stream_ledger(calls: DataFrame, current_root: str) -> None:
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         prev = read_versioned(spark, current_root, batch.schema, before=batch_id)
-        upd = batch.unionByName(prev.join(batch.select("commit_hash"), "commit_hash", "left_anti"))
+        changed = append_batch(spark, batch, os.path.join(current_root, "changes"), batch_id)  # used twice: written once
+        upd = changed.unionByName(prev.join(changed.select("commit_hash"), "commit_hash", "left_anti"))
         upd.write.mode("overwrite").parquet(os.path.join(current_root, f"v={batch_id}"))
 
-    run_available(agg.writeStream.outputMode("update").foreachBatch(merge), "ledger", spark)
+    run_available(agg.writeStream.outputMode("update").foreachBatch(merge), current_root, checkpoint)
 
 
 # ------------------------------------------------------------------- learn
 
 
-def stream_learn(verdicts: DataFrame, store_path: str, retrain=None, step: int = RETRAIN_STEP) -> list[int]:
+def stream_learn(verdicts: DataFrame, store_path: str, retrain=None, step: int = RETRAIN_STEP,
+                 checkpoint: str | None = None) -> list[int]:
     """Append new labelled examples (hash not stored yet) per micro-batch;
     when the store size crosses a multiple of ``step``, call
     ``retrain(examples)``.  Returns the store sizes at which it retrained."""
@@ -254,5 +258,5 @@ def stream_learn(verdicts: DataFrame, store_path: str, retrain=None, step: int =
             if retrain is not None:
                 retrain(read_store(spark, store_path, schema))
 
-    run_available(verdicts.writeStream.foreachBatch(save), "learn", spark)
+    run_available(verdicts.writeStream.foreachBatch(save), store_path, checkpoint)
     return retrained
