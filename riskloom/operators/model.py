@@ -1,7 +1,7 @@
 """Risk model: relational TF-IDF + scaled numeric features -> boosted trees.
 
 Training runs Spark ML's ``GBTRegressor`` on a sparse matrix of the
-labelled examples (a bounded set: teacher-labelled code).  Scoring the
+labelled examples (at most ``max_examples`` of them, a parameter).  Scoring the
 corpus does not go through Python: the fitted trees are compiled into one
 native column expression over the per-document sparse tf-idf map and the
 scaled features, so it stays inside Spark's generated code.
@@ -18,9 +18,13 @@ from pyspark.sql import types as T
 
 from ..functions.catalog import GBT_PARAMS, MIN_TRAIN_SAMPLES, MODEL_VERSION, VOCAB_SIZE
 from ..functions.features import FEATURE_NAMES, with_features
+from ..session import checkpoint_root, materialize, path_exists, scratch_path
 from . import text_model as tm
 
 ID = "hash"
+#: Labelled rows that one fit takes at most, and rows of a partition while fitting.
+MAX_FIT_EXAMPLES = 200_000
+FIT_PARTITION_ROWS = 20_000
 
 
 # -- numeric features -------------------------------------------------------
@@ -57,9 +61,20 @@ def scaled_features(feats: DataFrame) -> DataFrame:
 
 # -- fitted model -------------------------------------------------------------
 
+@dataclass
+class Prepared:
+    """What a fit starts from: vocabulary, ranges and the stored matrix."""
+
+    vocab: DataFrame                      # term, idx, idf (<= VOCAB_SIZE rows), stored
+    n_terms: int
+    ranges: dict[str, tuple[float, float]]
+    matrix: DataFrame                     # id, label, features, stored
+    sample_count: int
+
+
 @dataclass
 class RiskModel:
-    vocab: DataFrame                      # term, idx, idf (<= VOCAB_SIZE rows)
+    vocab: DataFrame
     n_terms: int
     ranges: dict[str, tuple[float, float]]
     gbt: object                           # pyspark.ml GBTRegressionModel
@@ -70,59 +85,73 @@ class RiskModel:
         return self.n_terms + len(FEATURE_NAMES)
 
 
-def _vector_udf():
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def to_vector(size, idx, vals):
-        return SparseVector(size, idx, vals)
-
-    return to_vector
-
-
 def design_matrix(examples: DataFrame, vocab: DataFrame, n_terms: int, ranges, code_col: str = "code",
-                  id_col: str = ID) -> DataFrame:
+                  id_col: str = ID, label_col: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(id, label?, features VECTOR): tf-idf entries then scaled numerics.
-    Vector assembly is a per-row helper over a bounded labelled set."""
-    counts = tm.ngram_counts(examples, id_col, code_col)
-    sparse = tm.tfidf_sparse(counts, vocab, id_col)
-    feats = with_features(examples, code_col).select(id_col, *scale_with(ranges))
-    j = feats.join(sparse, id_col, "left")
+    The vector is put together as the struct that a vector is stored as,
+    written once, and read back as a vector; no Python touches the rows."""
+    from pyspark.ml.linalg import VectorUDT
+
+    sparse = tm.tfidf_sparse(tm.vocab_counts(examples, vocab, id_col, code_col) if counts is None else counts, vocab, id_col)
+    label = [] if label_col is None else [F.col(label_col).cast("double").alias("label")]
+    feats = with_features(examples, code_col).select(id_col, *label, *scale_with(ranges))
     ent = F.coalesce(F.col("entries"), F.array().cast("array<struct<idx:int,weight:double>>"))
-    idx = F.concat(F.transform(ent, lambda e: e["idx"]),
-                   F.array(*[F.lit(n_terms + i) for i in range(len(FEATURE_NAMES))]))
+    idx = F.concat(F.transform(ent, lambda e: e["idx"]), F.array(*[F.lit(n_terms + i) for i in range(len(FEATURE_NAMES))]))
     vals = F.concat(F.transform(ent, lambda e: e["weight"]), F.array(*[F.col(f"s_{c}") for c in FEATURE_NAMES]))
-    return j.select(id_col, _vector_udf()(F.lit(n_terms + len(FEATURE_NAMES)), idx, vals).alias("features"))
-
-
-def fit_vocab(examples: DataFrame, code_col: str = "code", id_col: str = ID, k: int = VOCAB_SIZE):
-    counts = tm.ngram_counts(examples, id_col, code_col)
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n_terms + len(FEATURE_NAMES)).alias("size"),
+                      idx.alias("indices"), vals.alias("values"))
+    names = [id_col, *(["label"] if label else [])]
+    rows = feats.join(sparse, id_col, "left").select(*names, vector.alias("features"))
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("features", VectorUDT())])
+    path = scratch_path(examples.sparkSession, "matrix")
+    rows.write.parquet(path)
+    return examples.sparkSession.read.schema(schema).parquet(path)
+
+
+def bounded_examples(examples: DataFrame, most: int, id_col: str = ID) -> DataFrame:
+    """At most ``most`` examples for a fit: all of them, or those with the smallest hashes."""
+    return examples.orderBy(id_col).limit(most) if examples.count() > most else examples
+
+
+def prepare(examples: DataFrame, code_col: str = "code", label_col: str = "risk_score", id_col: str = ID,
+            max_examples: int = MAX_FIT_EXAMPLES) -> Prepared:
+    """Tokenise once, choose the vocabulary, find the ranges, store the matrix.
+    ``max_examples`` bounds the labelled rows of a fit (a parameter; scoring has no bound)."""
+    checkpoint_root(examples.sparkSession)  # boosting cuts its lineage there
+    examples = materialize(bounded_examples(examples, max_examples, id_col).select(id_col, code_col, label_col), "examples")
+    counts = materialize(tm.ngram_counts(examples, id_col, code_col), "counts")
     n = examples.count()
-    vocab = tm.vocab_topk(tm.term_stats(counts, id_col), n, k).select("term", "idx", "idf", "tf", "df")
-    return vocab, n
+    vocab = materialize(tm.vocab_topk(tm.term_stats(counts, id_col), n, VOCAB_SIZE).select("term", "idx", "idf", "tf", "df"), "vocab")
+    n_terms = vocab.count()
+    fr = feature_ranges(with_features(examples, code_col)).first()
+    ranges = {c: (float(fr[f"min_{c}"]), float(fr[f"max_{c}"])) for c in FEATURE_NAMES} if n else {}
+    matrix = design_matrix(examples, vocab, n_terms, ranges, code_col, id_col, label_col, counts) if n else examples
+    return Prepared(vocab, n_terms, ranges, matrix, n)
 
 
-def train_model(examples: DataFrame, force: bool = False, params: dict | None = None,
-                code_col: str = "code", label_col: str = "risk_score", id_col: str = ID):
-    """Fit on all examples; fewer than MIN_TRAIN_SAMPLES without ``force``
-    returns (None, skipped-status)."""
+def fit(matrix: DataFrame, rows: int, params: dict | None = None):
+    """One boosted fit.  A tree level is a job of its own, so small matrices
+    are held in few partitions: scheduling would take longer than the work."""
     from pyspark.ml.regression import GBTRegressor
 
+    held = matrix.coalesce(max(1, rows // FIT_PARTITION_ROWS)).cache()
+    try:
+        return GBTRegressor(featuresCol="features", labelCol="label", cacheNodeIds=True, **(params or GBT_PARAMS)).fit(held)
+    finally:
+        held.unpersist()
+
+
+def train_model(examples: DataFrame, force: bool = False, params: dict | None = None, code_col: str = "code",
+                label_col: str = "risk_score", id_col: str = ID, max_examples: int = MAX_FIT_EXAMPLES):
+    """Fit on all examples (up to ``max_examples``); fewer than
+    MIN_TRAIN_SAMPLES without ``force`` returns (None, skipped-status)."""
     n = examples.count()
     if n < MIN_TRAIN_SAMPLES and not force:
         return None, {"status": "skipped", "reason": f"Only {n} samples — need at least {MIN_TRAIN_SAMPLES}",
                       "sample_count": n}
-    vocab, _ = fit_vocab(examples, code_col, id_col)
-    vocab = vocab.cache()
-    n_terms = vocab.count()
-    fr = feature_ranges(with_features(examples, code_col)).first()
-    ranges = {c: (float(fr[f"min_{c}"]), float(fr[f"max_{c}"])) for c in FEATURE_NAMES}
-    X = design_matrix(examples, vocab, n_terms, ranges, code_col, id_col) \
-        .join(examples.select(id_col, F.col(label_col).cast("double").alias("label")), id_col)
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", cacheNodeIds=True,
-                       **(params or GBT_PARAMS)).fit(X.cache())
-    X.unpersist()
-    model = RiskModel(vocab, n_terms, ranges, gbt, {"sample_count": n, "version": MODEL_VERSION})
+    p = prepare(examples, code_col, label_col, id_col, max_examples)
+    model = RiskModel(p.vocab, p.n_terms, p.ranges, fit(p.matrix, p.sample_count, params),
+                      {"sample_count": p.sample_count, "version": MODEL_VERSION})
     return model, {"status": "trained", **model.stats}
 
 
@@ -187,9 +216,11 @@ def model_expression(model: RiskModel, tfidf_map: Column | None = None, chunk: i
 def model_score(model: RiskModel, docs: DataFrame, code_col: str = "code_content", id_col: str = "commit_id",
                 chunk: int = 10):
     """max(regressor, catalog-B floor), clamped to [0, 1], 4 places."""
-    counts = tm.ngram_counts(docs, id_col, code_col)
+    used = [j for j in used_features(model) if j < model.n_terms]
+    counts = tm.vocab_counts(docs, model.vocab, id_col, code_col)
+    # the norm is over the whole vocabulary; of the weights only those that some split reads are kept
     sparse = tm.tfidf_sparse(counts, model.vocab, id_col) \
-        .select(id_col, F.map_from_entries("entries").alias("_m"))
+        .select(id_col, F.map_from_entries(F.filter("entries", lambda e: e["idx"].isin(used))).alias("_m"))
     feats = with_features(docs.select(id_col, code_col), code_col)
     base = feats.select(id_col, "f_max_severity", *scale_with(model.ranges)).join(sparse, id_col, "left") \
         .withColumn("_m", F.coalesce(F.col("_m"), F.create_map().cast(T.MapType(T.IntegerType(), T.DoubleType()))))
@@ -205,31 +236,27 @@ def model_score(model: RiskModel, docs: DataFrame, code_col: str = "code_content
 
 # -- evaluation -------------------------------------------------------------
 
-def cv_mae(examples: DataFrame, model: RiskModel, folds: DataFrame, params: dict | None = None,
-           code_col: str = "code", label_col: str = "risk_score", id_col: str = ID) -> float:
-    """Mean over folds of the held-out MAE, refitting only the regressor on
-    the matrix built from all rows (the source protocol)."""
+def cv_mae(prepared: Prepared, folds: DataFrame, params: dict | None = None, id_col: str = ID) -> tuple[int, float]:
+    """(k, mean over folds of the held-out MAE): exactly k fits, each of the
+    regressor alone on the matrix built from all rows (the source protocol)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import GBTRegressor
 
-    X = design_matrix(examples, model.vocab, model.n_terms, model.ranges, code_col, id_col) \
-        .join(examples.select(id_col, F.col(label_col).cast("double").alias("label")), id_col) \
-        .join(folds.select(id_col, "fold"), id_col).cache()
-    k = X.agg(F.max("fold")).first()[0] + 1
+    x = prepared.matrix.join(folds.select(id_col, "fold"), id_col).coalesce(max(1, prepared.sample_count // FIT_PARTITION_ROWS)).cache()
+    k = x.agg(F.max("fold")).first()[0] + 1
     ev = RegressionEvaluator(metricName="mae", labelCol="label", predictionCol="prediction")
 
     def fold_mae(f: int) -> float:
-        m = GBTRegressor(featuresCol="features", labelCol="label", cacheNodeIds=True, **(params or GBT_PARAMS)) \
-            .fit(X.where(F.col("fold") != f))
-        return ev.evaluate(m.transform(X.where(F.col("fold") == f)))
+        m = fit(x.where(F.col("fold") != f), prepared.sample_count, params)
+        return ev.evaluate(m.transform(x.where(F.col("fold") == f)))
 
     # the k fits are independent Spark jobs: submit them together so their
     # (small) tasks share the executors instead of queueing fold by fold
-    from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=k) as pool:
         maes = list(pool.map(fold_mae, range(k)))
-    X.unpersist()
-    return float(sum(maes) / len(maes))
+    x.unpersist()
+    return k, float(sum(maes) / len(maes))
 
 
 def save_model(model: RiskModel, path: str) -> None:
@@ -248,13 +275,11 @@ def load_model(spark, path: str) -> RiskModel | None:
     import json
     import os
 
-    from pyspark.errors import AnalysisException
     from pyspark.ml.regression import GBTRegressionModel
 
-    try:
-        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    except AnalysisException:
+    if not path_exists(spark, os.path.join(path, "meta")):
         return None
+    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
     gbt = GBTRegressionModel.load(os.path.join(path, "gbt"))
     vocab = spark.read.parquet(os.path.join(path, "vocab"))
     ranges = {k: tuple(v) for k, v in meta["ranges"].items()}

@@ -33,6 +33,15 @@ def ngram_counts(df: DataFrame, id_col: str, code_col: str = "code", n_max: int
     return grams.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
+def vocab_counts(df: DataFrame, vocab: DataFrame, id_col: str, code_col: str = "code", n_max: int = NGRAM_MAX) -> DataFrame:
+    """(id, term, idx, idf, tf) of the vocabulary's n-grams only: the bounded
+    vocabulary is looked up beside the scan, before anything is shuffled."""
+    toks = df.select(F.col(id_col), tokens(normalize_code(F.col(code_col))).alias("_tk"))
+    grams = toks.select(F.col(id_col), F.explode_outer(ngrams(F.col("_tk"), n_max)).alias("term")).where(F.col("term").isNotNull())
+    v = F.broadcast(vocab.select("term", "idx", "idf"))  # at most VOCAB_SIZE rows
+    return grams.join(v, "term").groupBy(id_col, "term", "idx", "idf").agg(F.count("*").alias("tf"))
+
+
 def term_stats(counts: DataFrame, id_col: str) -> DataFrame:
     """(term, tf, df): corpus frequency and document frequency."""
     return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(id_col).alias("df"))
@@ -48,10 +57,16 @@ def vocab_topk(stats: DataFrame, n_docs, k: int = VOCAB_SIZE) -> DataFrame:
                       (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
 
+def _with_idf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Counts with idx and idf: looked up in the vocabulary unless they hold them."""
+    if "idx" in counts.columns:
+        return counts
+    return counts.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")  # at most VOCAB_SIZE rows
+
+
 def tfidf_long(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """(id, term, idx, weight): normalised sublinear tf-idf per doc/term."""
-    v = F.broadcast(vocab.select("term", "idx", "idf"))  # at most VOCAB_SIZE rows
-    w = counts.join(v, "term").withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
+    w = _with_idf(counts, vocab).withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "idx", (F.col("w") / norm).alias("weight"))
 
@@ -59,8 +74,7 @@ def tfidf_long(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
 def tfidf_sparse(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """(id, entries ARRAY<STRUCT<idx, weight>>) sorted by idx: one row per
     document, at most VOCAB_SIZE entries, L2 norm 1."""
-    v = F.broadcast(vocab.select("term", "idx", "idf"))
-    w = counts.join(v, "term").select(id_col, "idx", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w"))
+    w = _with_idf(counts, vocab).select(id_col, "idx", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w"))
     g = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_e"))
     norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
     return g.select(id_col, F.transform("_e", lambda e: F.struct(e["idx"].alias("idx"),
