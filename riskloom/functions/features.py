@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import IMPORT_PATTERN, LONG_STRING_PATTERN, NET_CALL_PATTERN, RISKY_IMPORTS
+from .catalog import IMPORT_PATTERN, LONG_STRING_PATTERN, NET_CALL_PATTERN, NORMALIZE_STEPS, RISKY_IMPORTS
 from .rules import rule_summary_b
 
 # Line breaks recognised by Python's ``str.splitlines``.
@@ -120,12 +120,10 @@ def heuristic_score(f_max_severity: Column, f_hits: Column) -> Column:
 def normalize_code(code: Column) -> Column:
     """Token text for the n-gram model: literals and numbers replaced,
     camelCase split, underscores to spaces, lower case."""
-    c = F.regexp_replace(code, F.lit('"[^"]*"'), F.lit(" STRING_LITERAL "))
-    c = F.regexp_replace(c, F.lit("'[^']*'"), F.lit(" STRING_LITERAL "))
-    c = F.regexp_replace(c, F.lit(r"(?U)\b\d+\b"), F.lit(" NUMBER "))
-    c = F.regexp_replace(c, F.lit("([a-z])([A-Z])"), F.lit("$1 $2"))
-    c = F.replace(c, F.lit("_"), F.lit(" "))
-    return F.lower(c)
+    c = code
+    for pattern, replacement in NORMALIZE_STEPS:
+        c = F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
+    return F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
 # Word tokens of two or more letters/digits/underscores (one explicit class

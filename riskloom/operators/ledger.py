@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import ZERO_ADDRESS
+from ..session import path_exists
 from .store import ordinal_index
 
 
@@ -22,13 +23,22 @@ def ledger_valid(calls: DataFrame) -> DataFrame:
     return calls.where(is_valid())
 
 
-def append_ledger(log: DataFrame | None, calls: DataFrame, ts_col=None) -> DataFrame:
-    """Validated append: the new log is the old log plus accepted calls.
-    ``seq`` continues after the old log's last ``seq``."""
-    ok = ledger_valid(calls)
+def accepted_calls(calls: DataFrame, ts_col=None) -> DataFrame:
+    """The log of a first append: accepted calls under their own ``seq``."""
     ts = ts_col if ts_col is not None else F.current_timestamp()
-    ok = ok.select("seq", "commit_hash", "risk_score", "status", "submitter", ts.alias("ts"))
-    return ok if log is None else log.unionByName(ok)
+    return ledger_valid(calls).select("seq", "commit_hash", "risk_score", "status", "submitter", ts.alias("ts"))
+
+
+def append_ledger_to(spark, path: str, calls: DataFrame, ts_col=None) -> None:
+    """Validated append to the log stored at ``path``.  Accepted calls are
+    numbered in the order of their own ``seq`` from where the stored log ends;
+    ``tx_id`` is a digest of a call's number, hash, score and status.  Single
+    writer per path."""
+    last = spark.read.parquet(path).agg(F.max("seq")).first()[0] if path_exists(spark, path) else None
+    start = 0 if last is None else last + 1
+    new = ordinal_index(accepted_calls(calls, ts_col), "seq", "_place").withColumn("seq", F.col("_place") + F.lit(start)).drop("_place")
+    digest = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "commit_hash", F.col("risk_score").cast("string"), "status"), 256)
+    new.withColumn("tx_id", F.concat(F.lit("0x"), digest)).write.mode("append").parquet(path)
 
 
 def ledger_current(log: DataFrame) -> DataFrame:

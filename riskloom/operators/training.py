@@ -40,9 +40,13 @@ def score_to_tier(df: DataFrame, tier_table: DataFrame, score_col: str = "risk_s
 
 
 def training_stats(examples: DataFrame) -> DataFrame:
+    """Size of the store, whether it suffices for a fit, and the number of
+    examples of each source (a few kinds of origin) as text."""
+    mix = source_mix(examples).agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat_ws("=", "source", F.col("n").cast("string")))), ",").alias("m")).select("m").scalar()
     return examples.agg(F.count("*").alias("sample_count"),
                         F.count_distinct("hash").alias("distinct_hashes"),
-                        (F.count("*") >= F.lit(MIN_TRAIN_SAMPLES)).alias("trainable"))
+                        (F.count("*") >= F.lit(MIN_TRAIN_SAMPLES)).alias("trainable")).withColumn("source_mix", mix)
 
 
 def source_mix(examples: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.scalars import ledger_payload, profile_username  # noqa: F401
 from ..operators import ledger, routing, scan, store, verdicts
 from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources import sinks
 from . import analyze
 from . import oracle as O
 from .registry import BLANK, HASH, NL, STORED_CTES, register, stored_sql
@@ -44,6 +45,25 @@ FLOW_CTES = {
 }
 
 
+def routed_ctes(budget: int | None = B, trained: bool = True, session: bool = False) -> dict[str, str]:
+    """The routing CTEs for another budget, an untrained model or a budget per owner."""
+    ctes = dict(FLOW_CTES)
+    if not trained:
+        ctes["_w2"] = f"SELECT *, true AS wants, {O.q(K.REASON_UNTRAINED)} AS reason0 FROM _want"
+    if session:
+        ctes["_rt"] = ctes["_rt"].replace("OVER (ORDER BY", "OVER (PARTITION BY user_id ORDER BY")
+    if budget is None:
+        ctes["_routed"] = ("SELECT *, CAST(NULL AS BIGINT) AS calls_before, false AS budget_exhausted, wants AS llm_called, "
+                           "reason0 AS llm_reason, CAST(NULL AS BIGINT) AS budget_used FROM _rt")
+    elif budget != B:
+        ctes["_routed"] = (
+            f"SELECT *, CAST(least(wb, {budget}) AS BIGINT) AS calls_before, wb >= {budget} AS budget_exhausted, "
+            f"wants AND wb < {budget} AS llm_called, CASE WHEN wb >= {budget} THEN {O.q(K.REASON_EXHAUSTED % (budget, budget))} "
+            f"ELSE reason0 END AS llm_reason, CAST(least(least(wb, {budget}) + CAST(wants AND wb < {budget} AS BIGINT), {budget}) "
+            "AS BIGINT) AS budget_used FROM _rt")
+    return ctes
+
+
 def _parse_sql(content: str) -> dict[str, str]:
     num = f"regexp_extract({content}, '(?i)RISK_SCORE:\\s*([0-9.]+)', 1)"
     rr = f"regexp_extract({content}, '(?is)REASONING:\\s*(.+?)(?:VULNERABILITIES:|$)', 1)"
@@ -334,12 +354,25 @@ def ledger_sql(body: str, *views: str) -> str:
 
 def _log(spark, sf):
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
-    return ledger.append_ledger(None, fx.ledger_calls(spark, sf), ts_col=ts)
+    return ledger.accepted_calls(fx.ledger_calls(spark, sf), ts_col=ts)
+
 
+_SEQ2 = "(SELECT count(*) FROM _log WHERE seq % 2 = 0) + row_number() OVER (ORDER BY seq) - 1"
 
-@register("append_ledger", ledger_sql("SELECT * FROM _log"))
+
+@register("append_ledger", ledger_sql(
+    "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, commit_hash, risk_score, status, submitter, ts, "
+    "concat('0x', sha256(concat_ws('|', CAST(row_number() OVER (ORDER BY seq) - 1 AS VARCHAR), commit_hash, CAST(risk_score AS VARCHAR), status))) "
+    "AS tx_id FROM _log WHERE seq % 2 = 0 UNION ALL "
+    f"SELECT {_SEQ2}, commit_hash, risk_score, status, submitter, ts, "
+    f"concat('0x', sha256(concat_ws('|', CAST({_SEQ2} AS VARCHAR), commit_hash, CAST(risk_score AS VARCHAR), status))) FROM _log WHERE seq % 2 <> 0"))
 def q_append_ledger(spark, sf):
-    return _log(spark, sf)
+    """Two appends to a stored log: the second continues the first's numbers."""
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
+    calls, path = fx.ledger_calls(spark, sf), scratch_path(spark, "ledger")
+    for part in ("seq % 2 = 0", "seq % 2 <> 0"):
+        ledger.append_ledger_to(spark, path, calls.where(part), ts)
+    return spark.read.parquet(path)
 
 
 @register("ledger_valid", ledger_sql(f"SELECT seq, ({_VALID}) AS valid FROM ledger_calls"))
@@ -424,6 +457,34 @@ def q_budget_usage(spark, sf):
     return routing.budget_usage(_routed(spark, sf))
 
 
+_ROUTE_SQL = "SELECT commit_id, wants AS wants_review, calls_before, budget_exhausted, llm_called, llm_reason, budget_used FROM _routed"
+SESSION_BUDGET = 5
+
+
+def _route_branch(spark, sf, **how):
+    table = analyze.routing_table(_hashed(spark, sf))
+    return routing.route_llm(table, "custom_score", **how).select(
+        "commit_id", "wants_review", "calls_before", "budget_exhausted", "llm_called", "llm_reason", "budget_used")
+
+
+@register("route_llm_untrained", O.with_views(_ROUTE_SQL, "commits", extra=routed_ctes(trained=False)))
+def q_route_untrained(spark, sf):
+    """Without a fitted model every row wants a review, up to the budget."""
+    return _route_branch(spark, sf, trained=False)
+
+
+@register("route_llm_session", O.with_views(_ROUTE_SQL, "commits", extra=routed_ctes(SESSION_BUDGET, session=True)))
+def q_route_session(spark, sf):
+    """One budget for each owner, as for each session of a server."""
+    return _route_branch(spark, sf, trained=True, budget=SESSION_BUDGET, session_col="user_id")
+
+
+@register("route_llm_unlimited", O.with_views(_ROUTE_SQL, "commits", extra=routed_ctes(None)))
+def q_route_unlimited(spark, sf):
+    """A budget of zero is no budget."""
+    return _route_branch(spark, sf, trained=True, budget=0)
+
+
 # ----------------------------------------------------------- verdicts
 
 
@@ -476,6 +537,25 @@ def q_merge_verdicts(spark, sf):
                     "custom_model_score")
 
 
+_LOCAL_UNTRAINED = ("'Pattern floor score: ' || printf('%.2f', pattern_floor) || '. Custom model not yet trained. "
+                    "OpenRouter skipped (token budget conserved).'")
+
+
+@register("merge_verdicts_untrained", O.with_views(
+    "SELECT commit_id, raw * 100 AS risk_score, " + O.status_sql("raw") + " AS status, reasoning, analysis_mode, custom_model_score FROM ("
+    "SELECT commit_id, CASE WHEN full_path THEN round(greatest(llm_score, pattern_floor), 4) ELSE round(pattern_floor, 4) END AS raw, "
+    f"CASE WHEN full_path THEN llm_reasoning ELSE {_LOCAL_UNTRAINED} END AS reasoning, "
+    f"CASE WHEN full_path THEN {O.q(K.MODE_FULL)} ELSE {O.q(K.MODE_LOCAL)} END AS analysis_mode, {O.dbl(0.0)} AS custom_model_score "
+    "FROM _mj)", "commits", "llm_responses", extra={**routed_ctes(trained=False), **VER_CTE, "_mj": MERGE_CTES["_mj"]}))
+def q_merge_untrained(spark, sf):
+    """Both modes of an untrained model: reviewer and pattern, or pattern alone."""
+    s = _hashed(spark, sf)
+    r = routing.route_llm(analyze.routing_table(s), "custom_score", trained=False)
+    m = verdicts.merge_verdicts(analyze.routed_findings(s, r), verdicts.llm_verdict_ingest(fx.llm_responses(spark, sf)), trained=False)
+    m = analyze.with_decision(m.withColumnRenamed("risk_score", "risk_score_raw"))
+    return m.select("commit_id", "risk_score", "status", "reasoning", "analysis_mode", "custom_model_score")
+
+
 @register("final_score_full", flow_sql(
     "SELECT commit_id, raw AS final_score, llm_score, custom_score, pattern_floor FROM _decided WHERE full_path",
     merge=True))
@@ -503,7 +583,10 @@ _CTX_B, _CTX_A = K.REVIEWER_CONTEXT.split("%s", 1)
     f"(CASE WHEN len(cats) > 0 THEN {O.q(_CTX_B)} || array_to_string(cats, ', ') || {O.q(_CTX_A)} ELSE '' END) || "
     f"{O.q(_PROMPT_AFTER)} AS prompt FROM _routed WHERE llm_called"))
 def q_export_llm_requests(spark, sf):
-    return verdicts.export_llm_requests(_routed(spark, sf, with_code=True)).select("commit_id", "commit_hash", "prompt")
+    """The requests as JSON lines, read back; the prompt is the one inside the body."""
+    path = scratch_path(spark, "llm-requests")
+    sinks.write_llm_requests(verdicts.export_llm_requests(_routed(spark, sf, with_code=True)), path)
+    return sinks.read_llm_requests(spark, path).select("commit_id", "commit_hash", F.col("body.messages")[1]["content"].alias("prompt"))
 
 
 @register("analysis_response", flow_sql(

@@ -118,7 +118,9 @@ def q_score_to_tier(spark, sf):
 
 @register("training_stats", O.with_views(
     f"SELECT count(*) AS sample_count, count(DISTINCT hash) AS distinct_hashes, "
-    f"count(*) >= {K.MIN_TRAIN_SAMPLES} AS trainable FROM training_raw", "training_raw"))
+    f"count(*) >= {K.MIN_TRAIN_SAMPLES} AS trainable, "
+    "(SELECT string_agg(concat(source, '=', n), ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM training_raw GROUP BY source)) "
+    "AS source_mix FROM training_raw", "training_raw"))
 def q_training_stats(spark, sf):
     return training.training_stats(fx.training_raw(spark, sf))
 

@@ -10,6 +10,7 @@ the batch SQL of the same result: the streams must agree with batch.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import risk_percentage, risk_status
 from ..operators import ledger, routing, scan, store
@@ -87,13 +88,31 @@ def q_stream_budget(spark, sf):
     s = analyze.routing_table(_hashed_commits(spark, sf))
     out = scratch_path(spark, "stream-budget")
     _in_two_starts(s, [routing.order_key("created_at", "commit_id")], "budget", lambda x: P.stream_budget(x, out))
-    return spark.read.parquet(out)
+    return P.read_store(spark, out, T._parse_datatype_string(P.BUDGET_SCHEMA))
+
+
+_LEARN_STEP = 50
+
+
+@register("stream_learn", O.with_views(
+    "SELECT hash, ord, risk_score, source FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ord) AS rn "
+    "FROM training_raw) WHERE rn = 1", "training_raw"))
+def q_stream_learn(spark, sf):
+    """Labelled verdicts into the training store; sizes at which a fit was due
+    cross a multiple of the step each (checked here, as they depend on the
+    micro-batches)."""
+    t = fx.training_raw(spark, sf).select("hash", "ord", "risk_score", "source")
+    path, due = scratch_path(spark, "stream-learn"), []
+    _in_two_starts(t, [F.col("ord")], "learn", lambda s: due.extend(P.stream_learn(s, path, step=_LEARN_STEP)))
+    if any(b // _LEARN_STEP <= a // _LEARN_STEP for a, b in zip([0] + due, due)):
+        raise AssertionError(f"a fit was due without a crossing: {due}")
+    return P.read_store(spark, path, t.schema)
 
 
 @register("stream_ledger", ledger_sql("SELECT * FROM _cur"))
 def q_stream_ledger(spark, sf):
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
-    log = ledger.append_ledger(None, fx.ledger_calls(spark, sf), ts_col=ts)
+    log = ledger.accepted_calls(fx.ledger_calls(spark, sf), ts_col=ts)
     root = scratch_path(spark, "stream-ledger")
     _in_two_starts(log, [F.col("seq")], "ledger", lambda s: P.stream_ledger(s, root))
     cur = P.read_versioned(spark, root, ledger.ledger_current(log).schema)

@@ -87,6 +87,25 @@ def read_analysis_results(spark: SparkSession, path: str) -> DataFrame:
         .json(path)
 
 
+REQUEST_SCHEMA = T.StructType([
+    T.StructField("commit_id", T.LongType()), T.StructField("commit_hash", T.StringType()),
+    T.StructField("body", T.StructType([
+        T.StructField("model", T.StringType()),
+        T.StructField("messages", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))),
+        T.StructField("temperature", T.DoubleType()), T.StructField("max_tokens", T.LongType())])),
+])
+
+
+def write_llm_requests(requests: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON line per request: keys and the body as it is sent."""
+    body = F.from_json("body", REQUEST_SCHEMA["body"].dataType)
+    requests.select("commit_id", "commit_hash", body.alias("body")).write.mode(mode).json(path)
+
+
+def read_llm_requests(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REQUEST_SCHEMA).json(path)
+
+
 TRAINING_SCHEMA = T.StructType([
     T.StructField("hash", T.StringType()), T.StructField("code", T.StringType()),
     T.StructField("risk_score", T.DoubleType()), T.StructField("source", T.StringType()),

@@ -8,8 +8,8 @@
   lost executor or driver restart) inserts nothing twice.
 * ``stream_recent_log``: the audit page (newest 50 per user) kept as a
   small versioned table, upserted per micro-batch.
-* ``stream_budget``: the reviewer call counter per session as streaming
-  state (``applyInPandasWithState``); one counter per session key.
+* ``stream_budget``: the reviewer call counter per session, a small versioned
+  table (one row per session) that each micro-batch continues.
 * ``stream_ledger``: current state per hash from the call feed (streaming
   ``max_by`` aggregate in update mode, merged into a versioned table).
 * ``stream_learn``: verdicts appended to the training store per
@@ -30,6 +30,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.catalog import CALL_BUDGET, LOG_PAGE, RETRAIN_STEP, SAMPLING_RATE
 from ..operators import routing, store, training
@@ -95,8 +96,6 @@ def stream_scan(stream: DataFrame, transform, out_path: str, checkpoint: str | N
 
 def read_store(spark: SparkSession, store_path: str, schema, exclude_batch: int | None = None) -> DataFrame:
     """A store kept as one folder per micro-batch (``b=<id>``)."""
-    from pyspark.sql import types as T
-
     if not path_exists(spark, store_path):
         return spark.createDataFrame([], schema)
     full = T.StructType(list(schema.fields) + [T.StructField("b", T.LongType())])
@@ -174,45 +173,34 @@ BUDGET_SCHEMA = ("commit_id long, user_id long, wants_review boolean, calls_befo
                  "budget_exhausted boolean, llm_called boolean, budget_used long")
 
 
-def _budget_counter(budget: int):
-    import pandas as pd
-
-    def count(key, frames, state):
-        used = int(state.get[0]) if state.exists else 0
-        pdf = pd.concat(list(frames), ignore_index=True)
-        pdf = pdf.sort_values(["_t", "commit_id"], kind="stable")
-        wants = pdf["wants_review"].astype("int64")
-        before = used + wants.cumsum() - wants
-        calls_before = before.clip(upper=budget)
-        exhausted = before >= budget
-        called = pdf["wants_review"] & ~exhausted
-        out = pd.DataFrame({
-            "commit_id": pdf["commit_id"].astype("int64"), "user_id": pdf["user_id"].astype("int64"),
-            "wants_review": pdf["wants_review"], "calls_before": calls_before.astype("int64"),
-            "budget_exhausted": exhausted, "llm_called": called,
-            "budget_used": (calls_before + called.astype("int64")).clip(upper=budget).astype("int64")})
-        state.update((int(min(used + int(wants.sum()), budget)),))
-        yield out
-
-    return count
-
-
 def stream_budget(scored: DataFrame, out_path: str, session_col: str = "user_id", budget: int = CALL_BUDGET,
                   rate: float = SAMPLING_RATE, trained: bool = True, checkpoint: str | None = None) -> None:
-    """Route scored rows under a per-session call budget kept as streaming
-    state; rows of one session are counted in arrival order (time, then
-    id) inside a micro-batch and after all earlier micro-batches."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    wants, _ = routing.wants_review(F.col("custom_score"), trained, rate, F.col("commit_hash"))
-    s = scored.select(F.col("commit_id"), F.col(session_col).alias("user_id"),
-                      # fixed-width text sorts like the local time and needs no time zone
-                      F.date_format(F.coalesce(F.col("created_at"), F.lit(routing.UNKNOWN_TS).cast("timestamp_ntz")),
-                                    "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("_t"), wants.alias("wants_review"))
-    out = s.groupBy("user_id").applyInPandasWithState(
-        _budget_counter(budget), outputStructType=BUDGET_SCHEMA, stateStructType="used long",
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    run_available(out.writeStream.format("parquet").option("path", out_path).outputMode("append"), out_path, checkpoint)
+    """Route scored rows under a per-session call budget; rows of one session
+    are counted in arrival order (time, then id) inside a micro-batch and after
+    all earlier micro-batches.
+
+    Only the first ``budget`` wanting rows of a session matter in a batch; they
+    are found by a limit that works before the shuffle, so a session that sends
+    most rows never meets in one task.  Calls of earlier batches stand in a
+    table of one row per session, a version per batch."""
+    spark = scored.sparkSession
+    used_schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("used", T.LongType())])
+    counters = out_path.rstrip("/") + ".sessions"
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        before = read_versioned(spark, counters, used_schema, before=batch_id)
+        rows = batch.withColumnRenamed(session_col, "user_id") if session_col != "user_id" else batch
+        r = routing.route_llm(rows, "custom_score", trained=trained, budget=budget, rate=rate, session_col="user_id") \
+            .join(before, "user_id", "left")
+        calls = F.least(F.coalesce("used", F.lit(0)) + F.col("calls_before"), F.lit(budget)).cast("long")
+        r = r.withColumn("calls_before", calls).withColumn("budget_exhausted", F.col("calls_before") >= budget)
+        r = r.withColumn("llm_called", F.col("wants_review") & ~F.col("budget_exhausted")) \
+            .withColumn("budget_used", F.least(F.col("calls_before") + F.col("llm_called").cast("long"), F.lit(budget)).cast("long"))
+        done = append_batch(spark, r.select(*[c.split()[0] for c in BUDGET_SCHEMA.split(", ")]), out_path, batch_id)
+        now = before.unionByName(done.groupBy("user_id").agg(F.count_if("llm_called").cast("long").alias("used")))
+        now.groupBy("user_id").agg(F.sum("used").alias("used")).write.mode("overwrite").parquet(os.path.join(counters, f"v={batch_id}"))
+
+    run_available(scored.writeStream.foreachBatch(route), out_path, checkpoint)
 
 
 # ------------------------------------------------------------------ ledger

@@ -66,6 +66,11 @@ def test_folds_are_contiguous_and_sized(examples):
     assert sizes == [n // k + (1 if i < n % k else 0) for i in range(k)]
 
 
-def test_cv_mae_is_finite(fitted, examples):
-    mae = M.cv_mae(examples, fitted, TR.kfold_assign(examples), params=dict(FAST, maxIter=3))
-    assert 0.0 <= mae < 1.0
+def test_cv_mae_is_finite(examples):
+    k, mae = M.cv_mae(M.prepare(examples), TR.kfold_assign(examples), params=dict(FAST, maxIter=3))
+    assert k == TR.kfold_k(examples.count()) and 0.0 <= mae < 1.0
+
+
+def test_fit_takes_at_most_the_bound(examples):
+    kept = M.bounded_examples(examples, 30)
+    assert kept.count() == 30 and M.bounded_examples(examples, 10_000).count() == examples.count()
