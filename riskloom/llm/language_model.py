@@ -3,12 +3,12 @@
 Method: a hashed maximum-entropy model with class-factored softmax.  A word's
 probability is that of its class times that of the word within its class.
 Class logits are sums of weight rows for hashed features of the history: the
-previous word, the word before it (a skip feature) and both together (an
-n-gram feature).  The most frequent words have classes by frequency, and
-within such a class a second softmax over its words has rows for hashed pairs
-of class and previous word, and of class and the word before it.  All other
-words have a class by their form (last byte and length); within it a word has
-its add-one relative frequency, unseen words that of one occurrence less.
+previous word (an n-gram feature) and the word before it (a skip feature).
+The most frequent words have classes by frequency, and within such a class a
+second softmax over its words has rows for hashed pairs of class and previous
+word, and of class and the word before it.  All other words have a class by
+their form (last byte and length); within it a word has its add-one relative
+frequency, unseen words that of one occurrence less.
 
 Counts cover all training documents.  Training passes over all of them once:
 in each round the tasks start from the same weights, make gradient updates on
@@ -29,10 +29,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, materialize, require, task_number
@@ -43,10 +44,10 @@ HEAD_CLASSES, CLASS_WORDS, FORM_CLASSES, DICTIONARY = 24, 32, 8, 65536
 CLASSES = HEAD_CLASSES + FORM_CLASSES
 ROW_BITS = 15
 ROWS = 1 << ROW_BITS
-ROUNDS, MINI_BATCH, RATE = 2, 6144, 0.5
+ROUNDS, MINI_BATCH, RATE = 2, 3072, 0.5
 #: Training tasks per round at most; rows of one block of what they hand on.
-WORKERS, BLOCK_ROWS = 256, 1024
-FLUSH_WORDS = 400_000
+WORKERS, BLOCK_ROWS = 2048, 128
+FLUSH_WORDS = 700_000
 _START = DICTIONARY + FORM_CLASSES
 
 
@@ -89,15 +90,14 @@ class Weights:
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, form, n) of all documents, the end token as the empty word."""
+    """(word, n) of all documents, the end token as the empty word."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
         def flushed() -> pa.RecordBatch:
             words = list(found)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), pa.array(map(form_class, words), pa.int32()),
-                 pa.array(found.values(), pa.int64())], names=["word", "form", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())],
+                                              names=["word", "n"])
 
         for batch in batches:
             for text in byte_values(batch.column(0)):
@@ -109,13 +109,32 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield flushed()
 
     rows = docs.select(docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(counted, "word string, form int, n long").groupBy("word", "form").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _form_of(word: Column) -> Column:
+    """``form_class`` in SQL."""
+    last = F.conv(F.hex(F.substring(word.cast("binary"), F.octet_length(word), F.lit(1))), 16, 10).cast("int")
+    return F.when(word == "", 0).otherwise((31 * last + F.octet_length(word)) % FORM_CLASSES)
+
+
+def _step_of(n: Column) -> Column:
+    return F.floor(F.log2(n) * 16)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The dictionary holds the words whose count reaches a step of a logarithmic
+    scale, the lowest one that leaves at most ``DICTIONARY`` of them; so no task
+    sorts or sends more than there is room for."""
     forms = {r.form: (r.tokens, r.words) for r in
-             counts.groupBy("form").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).collect()}
-    frequent = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word", "n").collect()
+             counts.groupBy(_form_of(F.col("word")).alias("form")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).collect()}
+    least, many = None, 0
+    for r in sorted(counts.groupBy(_step_of(F.col("n")).alias("step")).count().collect(), key=lambda r: -r.step):
+        many += r["count"]
+        if many > DICTIONARY:
+            break
+        least = r.step
+    frequent = [] if least is None else sorted(counts.where(_step_of(F.col("n")) >= least).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
     tokens, distinct = (np.array([forms.get(k, (0, 0))[i] for k in range(FORM_CLASSES)], float) for i in (0, 1))
     total, different = int(tokens.sum()), int(distinct.sum())
     for r in frequent[: HEAD_CLASSES * CLASS_WORDS]:  # these have classes of their own
@@ -132,43 +151,45 @@ def first_weights(v: Vocabulary) -> Weights:
     head[:n] = v.counts[:n]
     head = head.reshape(HEAD_CLASSES, CLASS_WORDS)
     words = np.zeros((ROWS + HEAD_CLASSES, CLASS_WORDS), np.float32)
-    words[ROWS:] = np.where(head > 0, np.log(np.maximum(head, 1)), -30)
+    words[ROWS:] = np.where(head > 0, np.log(np.maximum(head, 1) / np.maximum(head.sum(axis=1, keepdims=True), 1)), -30)
     classes = np.zeros((ROWS + 1, CLASSES), np.float32)
     share = np.concatenate([head.sum(axis=1), v.form_tokens + v.form_words + 1.0])
-    classes[ROWS] = np.where(share > 0, np.log(np.maximum(share, 1)), -30)
+    classes[ROWS] = np.where(share > 0, np.log(np.maximum(share, 1) / share.sum()), -30)
     return Weights(classes, words)
 
 
 def _read(v: Vocabulary, texts: list[bytes | None], tokens: int) -> Iterator[tuple]:
     """Mini-batches of whole texts' tokens: (number of each token's text, word
-    id, class, previous word, the word before it, words outside the dictionary)."""
-    get, size = v.ids.get, v.size
-    owners, ids, before, outside, held = [], [], [], [], 0
+    id, class, previous word, the word before it, places of the tokens outside
+    the dictionary, their words)."""
+    get, unknown = v.ids.get, repeat(-1)
+    words, line, owners, sizes = [], [], [], []
     for k, text in enumerate(texts):
         found = tokens_of(text)
-        for at in range(0, len(found), tokens):
-            part = found[at: at + tokens]
-            own = np.array([get(t, -1) for t in part], np.int64)
-            for j in np.flatnonzero(own < 0).tolist():
-                own[j] = size + form_class(part[j])
-                outside.append((k, part[j]))
-            past = [get(t, size + form_class(t)) for t in found[max(0, at - 2): at]]
-            ids.append(own)
-            before.append(np.concatenate([np.full(2 - len(past), _START), np.array(past, np.int64), own[:-1]]))
-            owners.append(np.full(len(own), k))
-            held += len(own)
-            if held >= tokens:
-                yield _joined(v, owners, ids, before, outside)
-                owners, ids, before, outside, held = [], [], [], [], 0
-    if ids:
-        yield _joined(v, owners, ids, before, outside)
-
-
-def _joined(v, owners, ids, before, outside) -> tuple:
-    word = np.concatenate(ids)
-    # a part of n words has n + 1 words before: for token i, before[i] is two back and before[i + 1] one back
-    return (np.concatenate(owners), word, v.class_of[word], np.concatenate([b[1:] for b in before]),
-            np.concatenate([b[:-1] for b in before]), outside)
+        for at in range(0, len(found), 4 * tokens):
+            part = found[at: at + 4 * tokens]
+            # two places in front of a part hold what comes before it
+            line += [get(t, v.size + form_class(t)) for t in found[at - 2: at]] if at else (_START, _START)
+            line += map(get, part, unknown)
+            words += part
+            owners.append(k)
+            sizes.append(len(part))
+            if len(words) >= tokens:
+                yield _batch(v, words, line, owners, sizes)
+                words, line, owners, sizes = [], [], [], []
+    if words:
+        yield _batch(v, words, line, owners, sizes)
+
+
+def _batch(v: Vocabulary, words: list[bytes], line: list[int], owners: list[int], sizes: list[int]) -> tuple:
+    line, sizes = np.array(line, np.int32), np.array(sizes)
+    place = np.arange(len(words)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    owner = np.repeat(np.array(owners), sizes)
+    rare = np.flatnonzero(line[place] < 0)
+    outside = [words[j] for j in rare.tolist()]
+    line[place[rare]] = [v.size + form_class(w) for w in outside]
+    word = line[place]
+    return owner, word, v.class_of[word], line[place - 1], line[place - 2], rare, outside
 
 
 def _row(*parts: np.ndarray) -> np.ndarray:
@@ -181,31 +202,34 @@ def _row(*parts: np.ndarray) -> np.ndarray:
 
 def _features(cls: np.ndarray, one: np.ndarray, two: np.ndarray, head: np.ndarray) -> tuple[list, list]:
     c = cls[head]
-    return ([_row(one), _row(two, np.full_like(two, 7)), _row(one, two, np.full_like(two, 11))],
+    return ([_row(one), _row(two, np.full_like(two, 7))],
             [_row(c, one[head], np.full_like(c, 13)), _row(c, two[head], np.full_like(c, 17))])
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(natural log of the probability at the given column, all probabilities)."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax(logits: np.ndarray, at: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(natural log of the probability at the given column, all probabilities if wanted)."""
+    np.clip(logits, -60, 60, out=logits)  # what float32 can sum as powers of e
     own = logits[np.arange(len(at)), at]
-    p = np.exp(logits)
-    z = p.sum(axis=1)
-    return own - np.log(z), p / z[:, None]
+    p = np.exp(logits, out=logits)
+    z = p @ np.ones(p.shape[1], p.dtype)
+    if shares:
+        p *= (1 / z)[:, None]
+    return own - np.log(z), p if shares else None
 
 
-def _forward(w: Weights, word: np.ndarray, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple:
+def _forward(w: Weights, word: np.ndarray, cls: np.ndarray, one: np.ndarray, two: np.ndarray, shares: bool = True) -> tuple:
     head = np.flatnonzero(cls < HEAD_CLASSES)
     by_class, by_word = _features(cls, one, two, head)
     logits = w.classes[by_class[0]]
     for f in by_class[1:]:
         logits += w.classes[f]
-    class_log, class_p = _softmax(logits + w.classes[ROWS], cls)
+    logits += w.classes[ROWS]
+    class_log, class_p = _softmax(logits, cls, shares)
     logits = w.words[ROWS + cls[head]]
     for f in by_word:
         logits += w.words[f]
     place = word[head] % CLASS_WORDS
-    word_log, word_p = _softmax(logits, place)
+    word_log, word_p = _softmax(logits, place, shares)
     return head, by_class, by_word, class_log, class_p, word_log, word_p, place
 
 
@@ -245,7 +269,7 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str = "text", rounds: int =
             own = Weights(*tables)
             seen, squares = ([np.zeros(len(t), np.float32) for t in tables] for _ in range(2))
             for batch in batches:
-                for _, word, cls, one, two, _ in _read(shared_v.value, byte_values(batch.column(0)), MINI_BATCH):
+                for _, word, cls, one, two, *_ in _read(shared_v.value, byte_values(batch.column(0)), MINI_BATCH):
                     head, by_class, by_word, _, class_p, _, word_p, place = _forward(own, word, cls, one, two)
                     class_p[np.arange(len(cls)), cls] -= 1
                     _descend(tables[0], seen[0], squares[0], by_class, class_p, rate)
@@ -312,18 +336,19 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: Weights, i
         v, w, rid = shared.value, shared_w.value, task_number() << 40
         for batch in batches:
             many, known, base, model = (np.zeros(batch.num_rows) for _ in range(4))
-            rare: dict[int, Counter] = {}
-            for owners, word, cls, one, two, outside in _read(v, byte_values(batch.column(1)), MINI_BATCH):
-                head, _, _, class_log, _, word_log, _, _ = _forward(w, word, cls, one, two)
+            rare_owners, rare_words = [np.zeros(0, np.int64)], []
+            for owners, word, cls, one, two, rare, outside in _read(v, byte_values(batch.column(1)), MINI_BATCH):
+                head, _, _, class_log, _, word_log, _, _ = _forward(w, word, cls, one, two, False)
                 logs = class_log.astype(float) / np.log(10)
                 logs[head] += word_log / np.log(10)
                 form = cls >= HEAD_CLASSES
                 logs[form] += v.known[word[form]] - v.form_rest[cls[form] - HEAD_CLASSES]
                 for into, what in ((many, None), (known, (word < v.size).astype(float)), (base, v.known[word]), (model, logs)):
                     into += np.bincount(owners, what, batch.num_rows)
-                for k, t in outside:
-                    rare.setdefault(k, Counter())[t] += 1
-            own = [rare.get(k, {}) for k in range(batch.num_rows)]
+                rare_owners.append(owners[rare])
+                rare_words += outside
+            edges = np.searchsorted(np.concatenate(rare_owners), np.arange(batch.num_rows + 1)).tolist()
+            own = [Counter(rare_words[a:b]) for a, b in zip(edges, edges[1:])]
             ends = np.cumsum([0, *map(len, own)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(rid, rid + batch.num_rows)), batch.column(0),
