@@ -3,8 +3,6 @@ byte-level text access inside Arrow tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +27,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def require(df: DataFrame, *names: str) -> None:
+    """Every operator starts here: the columns it reads must be there, and what
+    its tasks hold at once is bounded."""
+    bounded_batches(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -62,8 +62,3 @@ def byte_values(column: pa.Array) -> list[bytes | None]:
 def task_number() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
-
-
-def pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)

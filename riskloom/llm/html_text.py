@@ -47,10 +47,11 @@ CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details di
                              "h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
                "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-NOISE_WORDS = frozenset("ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments commentlist cookie "
+NOISE_WORDS = frozenset("ad ads alert advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments commentlist cookie "
                         "cookies consent disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification "
-                        "paywall popup promo promoted related respond share sharing sidebar skip social sponsor sponsored "
+                        "paywall popup promo promoted reactions related replies respond share sharing sidebar skip social sponsor sponsored "
                         "subscribe subscription toolbar widget widgets".split())
+HEADER_WORDS = frozenset("header masthead topbar logo".split())  # noise outside of an article only
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 CORES = frozenset(("article", "main"))
 
@@ -58,6 +59,7 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/
                      r"|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CORE_TAG = re.compile(r"<(?:article|main)\b", re.I)
 
 
 class Node:
@@ -70,7 +72,7 @@ class Node:
         self.density = 0.0
 
 
-def _is_noise(name: str, attributes: str, within_core: bool) -> bool:
+def _is_noise(name: str, attributes: str, within_core: bool, by_words: bool) -> bool:
     if name in LEFT_OUT or name == "header" and not within_core:
         return True
     if not attributes:
@@ -79,13 +81,16 @@ def _is_noise(name: str, attributes: str, within_core: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NOISE_ROLES:
             return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not NOISE_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
+        if by_words and key in ("class", "id") and name not in CORES:
+            words = _WORD.findall(value)
+            if not NOISE_WORDS.isdisjoint(words) or not within_core and not HEADER_WORDS.isdisjoint(words):
+                return True
     return False
 
 
-def tree(page: str) -> Node:
-    """The page's elements under one body; noise has no content."""
+def tree(page: str, by_words: bool = True) -> Node:
+    """The page's elements under one body; noise has no content.  ``by_words``
+    also takes the words of class and id as marks of noise."""
     body = now = Node("body", None)
     at, end = 0, len(page)
     core, skipped = 0, 0  # open articles; open elements inside a noise element
@@ -115,7 +120,7 @@ def tree(page: str) -> Node:
         elif name in SAME_CLOSES:
             now, core = _close_same(now, name, core)
         skipped = _noise_depth(now)
-        noise = bool(skipped) or _is_noise(name, m[3], core > 0)
+        noise = bool(skipped) or _is_noise(name, m[3], core > 0, by_words)
         if name in VOID:
             if not skipped:
                 now.children.append(Node(name, now, noise))
@@ -255,7 +260,24 @@ def text_of(node: Node) -> str:
 
 
 def main_text(page: str | None) -> str:
-    return text_of(main_node(tree(page))) if page else ""
+    if not page:
+        return ""
+    body = tree(page)
+    text = text_of(main_node(body))
+    if not text or _CORE_TAG.search(page) and not _has_core(body):
+        # a frame around the whole page is called like noise: go by elements and roles alone
+        text = text_of(main_node(tree(page, by_words=False)))
+    return text
+
+
+def _has_core(body: Node) -> bool:
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if node.name in CORES:
+            return True
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return False
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_name: str = "text", chars_name: str = "n_chars") -> DataFrame:

@@ -115,7 +115,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred
              score_name: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score."""
     require(docs, text_col)
-    if clash := {pred_name, score_name} & set(docs.columns):
+    if clash := {pred_name, score_name, "__letter"} & set(docs.columns):
         raise ValueError(f"columns in the way: {', '.join(sorted(clash))}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("__letter", _has_letter(F.col(f"`{text_col}`").cast("string")))

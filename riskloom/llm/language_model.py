@@ -374,6 +374,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, weights: Weights, i
 
 
 def fit_and_score(docs: DataFrame, learned_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    require(learned_from, text_col)
     counts = materialize(count_words(learned_from, text_col), "words")
     v = vocabulary(counts)
     return score(docs, counts, v, train(learned_from, v, text_col, **more), id_col, text_col)

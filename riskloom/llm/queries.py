@@ -120,3 +120,50 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of every conversation, without quotes, in the order of replies."""
     return chat.formatted(chat.link(table(spark, sf_dir, "conversations")))
+
+
+_PLAIN = r"regexp_replace(lower(part), '[^\p{L}\p{N}]', '', 'g')"
+_INTRODUCED = (r"regexp_matches(line, '(?i)^[^\n]{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió|ha scritto)\b[^\n]{0,40}:\s*$')")
+ORACLE["op10_chat_formatting"] = rf"""
+WITH RECURSIVE msgs AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS rid, conv_id, turn, role, text FROM conversations),
+lines AS (SELECT rid, i, l[i] AS line FROM (SELECT rid, l, unnest(range(1, len(l) + 1)) AS i
+          FROM (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS l FROM msgs))),
+marked AS (SELECT rid, i, length(m) - length(replace(m, '>', '')) AS level, substr(line, length(m) + 1) AS line
+           FROM (SELECT *, regexp_extract(line, '^[ \t]{{0,3}}(?:>[ \t]?)+') AS m FROM lines)),
+grouped AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS run FROM
+            (SELECT *, coalesce(level <> lag(level) OVER (PARTITION BY rid ORDER BY i), true) AS fresh FROM marked)),
+quoting AS (SELECT rid, bool_or(level > 0) AS quotes, max(run) AS runs FROM grouped GROUP BY rid),
+-- the last line with text of an own run that another run follows may introduce the quote
+introducing AS (SELECT rid, i FROM (SELECT g.rid, g.i, g.line, row_number() OVER (PARTITION BY g.rid, g.run ORDER BY g.i DESC) AS back
+                FROM grouped g JOIN quoting USING (rid) WHERE level = 0 AND run < runs AND trim(line, ' ' || chr(9) || chr(13)) <> '') WHERE back = 1 AND {_INTRODUCED}),
+own AS (SELECT rid, string_agg(part, chr(10) ORDER BY run) AS text FROM
+        (SELECT rid, run, trim(string_agg(line, chr(10) ORDER BY i), chr(10)) AS part
+         FROM grouped WHERE level = 0 AND (rid, i) NOT IN (SELECT rid, i FROM introducing) GROUP BY rid, run)
+        WHERE trim(part, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY rid),
+clean AS (SELECT m.rid, m.conv_id, m.turn, m.role, CASE WHEN m.text IS NULL THEN NULL WHEN quotes THEN
+          coalesce(trim(o.text, ' ' || chr(9) || chr(10) || chr(13)), '') ELSE m.text END AS text
+          FROM msgs m JOIN quoting USING (rid) LEFT JOIN own o USING (rid)),
+passages AS (SELECT rid, -1 AS passage, 0 AS level, coalesce(text, '') AS whole FROM clean UNION ALL
+             SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY run) - 1, level, whole FROM
+             (SELECT rid, run, level, string_agg(line, chr(10) ORDER BY i) AS whole FROM grouped WHERE level > 0 GROUP BY rid, run, level)
+             WHERE trim(whole, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+parts AS (SELECT rid, passage, level, 0 AS rank, whole AS part FROM passages UNION ALL
+          SELECT rid, passage, level, 1, unnest(regexp_split_to_array(whole, '\n[ \t]*\n')) FROM passages UNION ALL
+          SELECT rid, passage, level, 2, unnest(string_split(whole, chr(10))) FROM passages UNION ALL
+          SELECT rid, passage, level, 3, unnest(string_split(regexp_replace(paragraph, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)))
+          FROM (SELECT rid, passage, level, unnest(regexp_split_to_array(whole, '\n[ \t]*\n')) AS paragraph FROM passages)),
+units AS (SELECT u.rid, conv_id, turn, passage, level, plain, min(rank) AS rank FROM (SELECT *, {_PLAIN} AS plain FROM parts) u
+          JOIN msgs USING (rid) WHERE length(plain) >= 8 GROUP BY u.rid, conv_id, turn, passage, level, plain),
+found AS (SELECT q.rid, q.passage, q.level, s.turn AS original, row_number() OVER (PARTITION BY q.rid, q.passage ORDER BY q.rank, s.turn DESC) AS n
+          FROM units q JOIN units s ON q.conv_id IS NOT DISTINCT FROM s.conv_id AND q.plain = s.plain AND s.turn < q.turn
+          WHERE q.level > 0 AND s.level = 0),
+linked AS (SELECT rid, first(original ORDER BY level, passage) AS original, count(*) AS n_linked FROM found WHERE n = 1 GROUP BY rid),
+replies AS (SELECT m.rid, m.conv_id, m.turn, l.original, coalesce(l.n_linked, 0) AS n_linked,
+            coalesce(l.original, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn)) AS parent_turn FROM msgs m LEFT JOIN linked l USING (rid)),
+climbed AS (SELECT rid, conv_id, turn AS at_turn, original AS up FROM replies UNION ALL
+            SELECT c.rid, c.conv_id, r.turn, r.original FROM climbed c JOIN replies r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.turn = c.up),
+threads AS (SELECT rid, at_turn AS thread_turn FROM climbed WHERE up IS NULL)
+SELECT c.conv_id, c.turn, c.role, row_number() OVER (PARTITION BY c.conv_id ORDER BY thread_turn, c.turn) - 1 AS position, parent_turn, thread_turn,
+       c.text, (SELECT count(*) FROM passages p WHERE p.rid = c.rid AND p.level > 0) AS n_quoted, n_linked,
+       '<|' || coalesce(c.role, 'user') || '|>' || chr(10) || coalesce(c.text, '') || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM clean c JOIN replies USING (rid) JOIN threads USING (rid)"""

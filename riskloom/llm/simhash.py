@@ -47,18 +47,16 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED
     if not found:
         return 0
     joined = b" ".join(found)
-    if len(found) <= words:
-        hashes = [h(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(found) - words + 1].tolist()
-        hashes = [h(joined[a:b], seed) for a, b in zip(starts, ends[words - 1:].tolist())]
-    values = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    many = max(1, len(found) - words + 1)
+    starts, ends = (ends - lengths)[:many], ends[-many:]
     total = np.zeros(64, np.int64)
-    for at in range(0, len(values), 65536):
-        total += np.unpackbits(values[at: at + 65536], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(values)).view(">i8")[0])
+    for at in range(0, many, 65536):
+        hashes = [h(joined[a:b], seed) for a, b in zip(starts[at: at + 65536].tolist(), ends[at: at + 65536].tolist())]
+        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > many).view(">i8")[0])
 
 
 def with_fingerprints(docs: DataFrame, text_col: str, name: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:

@@ -38,6 +38,8 @@ def test_pages_whole_table(spark):
     ("<ul><li>one<li>two</ul>", "one two"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"), ("<main><p>x</p></main><aside>y</aside>", "x"),
     ("<form><p>f</p></form><p>ok</p>", "ok"), ("a &lt;b&gt; &#x41;&#66; &nosuch; &amp", "a <b> AB &nosuch; &"), ("<style>p{}</style>", ""),
     ("<div role=navigation>m</div><div class=cookie-notice>c</div><p>t  \n t</p>", "t t"), ("</p></div><b>stray", "stray"),
+    ("<div class='page has-sidebar'><article><div class='article-header'><h1>T</h1></div><p>x y</p></article></div>", "T x y"),
+    ("<div class=header>Site</div><article><p>x</p><div id=alert-box>n</div><section class=replies>r</section></article>", "x"),
     ("<p>long enough text</p>" + "<div>" * 3000 + "deep", "long enough text deep"),
 ])
 def test_page_cases(page, text):
@@ -207,11 +209,55 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
     text = {i: t for i, t in text.items() if i not in leaks}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = docs.columns
+    from riskloom.llm.common import materialize
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == want
-        docs = queries.materialize(docs, name) if hasattr(queries, "materialize") else corpus_pipeline.materialize(docs, name)
+        docs = materialize(docs, name)
     clean = {r.doc_id: r.text for r in docs.collect()}
     assert clean.keys() == text.keys() and leaks
     assert all(len(WORDS.findall(clean[i])) == len(WORDS.findall(text[i])) for i in text if "@" not in text[i])
     check_packed(corpus_pipeline.run(spark, SF).toPandas(), clean)
+
+
+def test_stages_take_odd_and_empty_documents(spark):
+    """Nulls in every column, repeated rows, long and wordless texts, columns of clashing names."""
+    import corpus_pipeline
+
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "12 !!", "en", "s", 5), (4, "long words " * 30_000, "en", "s", 330_000),
+            (5, "Write to a@b.co today", "en", None, 21), (5, "Write to a@b.co today", "en", None, 21), (None, "without an id", None, "s", None),
+            (7, "Ein Text der anderen Sprache", "de", "s", 28), (8, "\U0001f600 \u4f60\u597d", None, None, 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("rid", "fp", "kind", "found", "id", "c0"):
+        odd = odd.withColumn(name, F.lit(name))
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            assert 0 < out.count() <= n if n else out.count() == 0, name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+        assert pieces[pieces.piece == 0].shape[0] == n
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, odd, SF).collect()} == {4, 5, None, 7, 8}
+    assert sorted((r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, odd, SF).collect()), key=str) == [1, 3, 4, 5, 7, 8, None]
+    assert all("a@b.co" not in (r.text or "") for r in corpus_pipeline.pii_surrogates(spark, odd, SF).collect())
+
+
+def test_sql_of_quotation_linking(spark):
+    """The DuckDB text tells the same as the operator where quotes link, too."""
+    import duckdb
+
+    rows = [r for r in CHAT if r[0] is not None and r[1] is not None]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    rel = con.sql(queries.ORACLE["op10_chat_formatting"])
+    d = chat.formatted(chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert sorted(map(tuple, d.select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
+@pytest.mark.parametrize("key", sorted(queries.ORACLE))
+def test_sql_of_whole_tables(spark, duck_all, key):
+    got, rel = queries.QUERIES[key](spark, SF), duck_all.sql(queries.ORACLE[key])
+    assert sorted(got.columns) == sorted(rel.columns)
+    assert sorted(map(tuple, got.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
