@@ -135,7 +135,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("conv", "turn", "role"))
     found = rows.mapInArrow(parsed, f"{fields}, text string, n_quoted int, "
                                     "keys array<struct<hash: long, level: int, passage: int, rank: int>>")
-    found = with_row_ids(materialize(found, "messages")).withColumns({
+    found = materialize(with_row_ids(found), "messages").withColumns({
         "scope": _scope(F.col("conv")), "at": F.struct(F.coalesce("turn", F.lit(1 << 62) + F.col("rid")).alias("turn"), F.col("rid"))})
     linked = materialize(_links(found), "links")
     narrow = found.select("scope", "at", "rid", "turn", "n_quoted")

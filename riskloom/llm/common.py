@@ -47,8 +47,9 @@ def in_fold(id_col: Column | str, modulus: int, remainder: int) -> Column:
 
 def with_row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     """A row identity that does not depend on any column, so that repeated
-    rows and null ids stay apart.  Use it on a table read from files (the same
-    files are split alike on every read) or materialise the result."""
+    rows and null ids stay apart.  Materialise the result before it is used
+    twice: how files are split, and so the ids, can change between two plans
+    when the cluster does."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -272,7 +272,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY, co
     names = docs.columns
     at = f"c{names.index(text_col)}"
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    stored = with_row_ids(materialize(plain.withColumn("found", find(F.col(at).cast("string"))), "found"))
+    stored = materialize(with_row_ids(plain.withColumn("found", find(F.col(at).cast("string")))), "found")
     has = F.coalesce(F.size("found") > 0, F.lit(False))
     # the second look at a text with entities tells which of them are secrets
     hits = stored.where(has).withColumn("secrets", F.regexp_extract_all(F.col(at), _re(EVERY), F.lit(1))) \

@@ -147,7 +147,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at, text_at = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    stored = with_row_ids(materialize(with_fingerprints(plain, text_at, "fp", words), "printed"))
+    stored = materialize(with_row_ids(with_fingerprints(plain, text_at, "fp", words)), "printed")
     order = F.struct(F.col(at).isNull().alias("last"), F.col(at).alias("id"), F.col("rid"))
     per = materialize(stored.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
     best = groups(per, most_bits).join(per, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
