@@ -35,7 +35,7 @@ SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Open bins per task, and runs of text whose ids a task remembers.
 OPEN_BINS = 2048
-REMEMBERED_RUNS = 450_000
+REMEMBERED_RUNS = 900_000
 ASKED_AT_ONCE = 256
 SHARE_BYTES = 2_000_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
