@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import byte_values, require
 
 WINDOW_WORDS = 10
-BLOCK_CHARS = 32_000_000
+#: Item text of one block.  Its tables take some 150 bytes a character in each task.
+BLOCK_CHARS = 2_000_000
 
 #: A-Z in lower case; digits, letters and every byte of a non-ASCII character stay; the rest parts words.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32

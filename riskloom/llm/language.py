@@ -30,6 +30,8 @@ ORDERS = (1, 2, 3)
 BITS = 15
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: The matrix is broadcast: this many languages make it 130 MB.
+MOST_LANGUAGES = 500
 
 
 @dataclass
@@ -53,8 +55,9 @@ def _counts(texts: list[str], orders: tuple[int, ...], bits: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders: tuple[int, ...] = ORDERS, bits: int = BITS,
-          smoothing: float = SMOOTHING) -> LanguageModel:
-    """Learn from every row of ``docs`` whose text and language are not null."""
+          smoothing: float = SMOOTHING, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+    """Learn from every row of ``docs`` whose text and language are not null.
+    More than ``most_languages`` languages are an error, as the matrix is broadcast."""
     require(docs, text_col, lang_col)
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")) \
         .where("text is not null and lang is not null")
@@ -75,6 +78,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
                 [pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()),
                  pa.array(np.append(counts[at], many[lang]), pa.int64())], names=["lang", "bucket", "n"])
 
+    if docs.select(docs[lang_col]).where(docs[lang_col].isNotNull()).distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages: the broadcast matrix would not be bounded")
     # languages x buckets rows at most, however large the corpus
     found = rows.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
