@@ -77,11 +77,6 @@ def new_rows(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return first_commit_per_hash(incoming).join(store.select("commit_hash"), "commit_hash", "left_anti")
 
 
-def save_commits(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Final store state after saving ``incoming`` (store ∪ new rows)."""
-    return store.unionByName(new_rows(store, incoming).select(*store.columns))
-
-
 def save_commits_to(spark, path: str, incoming: DataFrame) -> None:
     """Append the new rows of a batch to a parquet store at ``path`` (any
     Hadoop file system).  Single writer per path; replaying a batch appends
