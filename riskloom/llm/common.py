@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, scratch_path
 
 __all__ = ["materialize", "scratch_path", "table", "in_fold", "bounded_batches", "with_row_ids", "byte_values",
-           "task_number", "require"]
+           "task_number", "require", "fresh", "without"]
 
 #: Rows per Arrow batch.  Batches are what a task holds at once; with whole
 #: texts of up to a few hundred KB the default of 10,000 rows is too many.
@@ -39,6 +39,20 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names: an operator's results take their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def in_fold(id_col: Column | str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id is in no fold."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, require
+from .common import byte_values, require, without
 
 WINDOW_WORDS = 10
 #: Item text of one block.  Its tables take some 150 bytes a character in each task.
@@ -106,11 +106,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                  item_text_col: str = "text", window: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS,
                  prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated
-    (names after ``prefix``); columns of ``docs`` with these names are an error."""
+    (names after ``prefix``); columns of ``docs`` that had these names are replaced."""
     require(docs, text_col)
     added = [prefix + n for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")]
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"columns in the way: {', '.join(sorted(clash))}")
+    docs = without(docs, *added)
     spark = docs.sparkSession
     spans, items = added[5:]
     n_words, n_hit, n_items, digest, contaminated = added[:5]
@@ -170,5 +169,8 @@ def _counted(row: tuple) -> tuple:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark window occurs, all columns as they were."""
-    found = find_windows(docs, benchmark, text_col, prefix="_decontamination_", **more)
-    return found.where(~F.col("_decontamination_contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "found_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    found = find_windows(docs, benchmark, text_col, prefix=prefix, **more)
+    return found.where(~F.col(prefix + "contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import fresh, require, without
 
 # Elements by their part in HTML, and words of class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -281,12 +281,12 @@ def _has_core(body: Node) -> bool:
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_name: str = "text", chars_name: str = "n_chars") -> DataFrame:
-    """``pages`` without the html, with the main text and its number of code points."""
+    """``pages`` without the html, with the main text and its number of code
+    points; columns that had these names are replaced."""
     require(pages, html_col)
-    kept = [c for c in pages.columns if c != html_col]
-    if clash := {text_name, chars_name} & set(kept):
-        raise ValueError(f"columns in the way: {', '.join(sorted(clash))}")
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string").alias("__html"))
+    page = fresh(pages, "page")
+    kept = without(pages, html_col, text_name, chars_name).columns
+    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string").alias(page))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,5 +294,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_name: str = "text", c
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              names=[*kept, text_name, chars_name])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "__html")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != page)
     return rows.mapInArrow(extracted, f"{fields}`{text_name}` string, `{chars_name}` long")

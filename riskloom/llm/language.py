@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import fresh, require, without
 from .ngrams import blocks, char_grams
 
 ORDERS = (1, 2, 3)
@@ -118,12 +118,12 @@ def _has_letter(text: Column) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_name: str = "lang_pred",
              score_name: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with the predicted language and its score; columns that had
+    these names are replaced."""
     require(docs, text_col)
-    if clash := {pred_name, score_name, "__letter"} & set(docs.columns):
-        raise ValueError(f"columns in the way: {', '.join(sorted(clash))}")
+    docs = without(docs, pred_name, score_name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__letter", _has_letter(F.col(f"`{text_col}`").cast("string")))
+    rows = docs.withColumn(fresh(docs, "letter"), _has_letter(F.col(f"`{text_col}`").cast("string")))
     at = docs.columns.index(text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,5 +138,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred
 
 def known_language_only(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language cannot be told, all columns as they were."""
-    found = identify(docs, train(docs, text_col, lang_col), text_col, "__lang_pred", "__lang_score")
-    return found.where(F.col("__lang_pred") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred = fresh(docs, "lang_pred")
+    found = identify(docs, train(docs, text_col, lang_col), text_col, pred, fresh(docs, "lang_score"))
+    return found.where(F.col(pred) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, without
 from .ngrams import subwords
 
 ORDERS = (3, 4)
@@ -117,10 +117,9 @@ def probability(model: QualityModel, text: str | None) -> float:
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of class 1."""
+    """``docs`` with the probability of class 1; a column that had this name is replaced."""
     require(docs, text_col)
-    if name in docs.columns:
-        raise ValueError(f"column in the way: {name}")
+    docs = without(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -58,8 +58,8 @@ def test_pages_odd_rows(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__x", F.lit(1))
     got = html_text.extract(d).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 499_999] and html_text.extract(d.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        html_text.extract(d.withColumn("text", F.lit("")))
+    again = html_text.extract(d.withColumn("text", F.lit("old")).withColumn("N_CHARS", F.lit(-1)))
+    assert sorted(r.n_chars for r in again.collect()) == [0, 0, 1, 499_999] and again.columns == ["page_id", "url", "__x", "text", "n_chars"]
 
 
 # ---------------------------------------------------------------------- chat

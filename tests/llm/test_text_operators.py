@@ -250,4 +250,17 @@ def test_quality_odd_rows(spark):
     d = odd_docs(spark)
     assert quality.score(d, model).count() == d.count() and quality.score(d.limit(0), model).count() == 0
     labels = spark.createDataFrame([(5, 1), (5, 0), (5, 1), (4, 0), (None, 1), (1, None)], "doc_id long, quality int")
-    assert quality.train(d, labels).lean.any()
+    assert quality.train(d, labels, sample_chars=400_000).lean.any() and not quality.train(d, labels).lean.any()
+
+
+def test_results_replace_columns_of_their_names(spark):
+    d = odd_docs(spark)
+    for name in ("lang_pred", "score", "n_words", "spans", "contaminated", "letter", "_letter", "found_items"):
+        d = d.withColumn(name, F.lit("old"))
+    items = spark.createDataFrame([(1, "same text here")], "item_id long, text string")
+    assert {r.contaminated for r in decontamination.find_windows(d, items).collect()} == {True, False}
+    assert decontamination.decontaminate(d, items).columns == d.columns
+    model = language.train(d)
+    assert "old" not in {r.lang_pred for r in language.identify(d, model).collect()}
+    assert language.known_language_only(d).columns == d.columns
+    assert all(0 <= r.score <= 1 for r in quality.score(d, quality.fit(["a"], [1])).collect())
