@@ -57,7 +57,8 @@ CORES = frozenset(("article", "main"))
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
                      r"|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute; a quoted string without a name is skipped as a whole.
+_ATTRIBUTE = re.compile(r"""(?:"[^"]*+"|'[^']*+')|([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _CORE_TAG = re.compile(r"<(?:article|main)\b", re.I)
 
@@ -72,13 +73,21 @@ class Node:
         self.density = 0.0
 
 
+def _attributes(source: str) -> dict[str, str]:
+    """Value of each attribute, in lower case; the first of a name counts, as in browsers."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
 def _is_noise(name: str, attributes: str, within_core: bool, by_words: bool) -> bool:
     if name in LEFT_OUT or name == "header" and not within_core:
         return True
     if not attributes:
         return False
-    for m in _NAMED.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for key, value in _attributes(attributes).items():
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NOISE_ROLES:
             return True
         if by_words and key in ("class", "id") and name not in CORES:

@@ -46,6 +46,20 @@ def test_page_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'title="the hidden cost"', 'data-x="/view?id=ad"', "data-hidden=1", "data-class=ad", "title='a role=menu'",
+    'class="x" class=ad', "data-u=/hidden-gems", 'title = "class=ad hidden"', 'aria-hidden="false"', '"hidden" lang=en'])
+def test_values_of_other_attributes_are_no_marks(attributes):
+    assert html_text.main_text(f"<article><p>a</p><div {attributes}><p>b</p></div></article>") == "a b"
+    assert html_text.main_text(f"<article {attributes}><p>a</p></article>") == "a"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", 'title="x"hidden', "title=it/hidden hidden", "aria-hidden = 'true'", "role=search",
+                                        "class = ad", 'id="ad"/', "lang=en\nhidden/"])
+def test_attributes_by_name_are_marks(attributes):
+    assert html_text.main_text(f"<article><p>a</p><div {attributes}><p>b</p></div></article>") == "a"
+
+
 def test_links_are_not_main_text():
     menu = "<div>" + "".join(f"<a href=/{k}>entry number {k}</a> " for k in range(30)) + "</div>"
     story = "<div>" + "".join(f"<p>Sentence {k} of the story, which goes on for quite a while.</p>" for k in range(8)) + "</div>"
