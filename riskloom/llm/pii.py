@@ -71,7 +71,7 @@ _ADDRESS = _any(sum(_ADDRESSES.values(), ())) + r"\.? "
 _GIVEN = _any(GIVEN_MALE + GIVEN_FEMALE)
 #: In order of preference at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<=(?:[pP]assword|PASSWORD|[pP]asswd|[sS]ecret|SECRET|[tT]oken|TOKEN|[aA]pi[_-]?[kK]ey|API_KEY|[aA]ccess_[kK]ey)"
               r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)[A-Za-z0-9+/_.~-]{5,}[A-Za-z0-9+/_=~]",
