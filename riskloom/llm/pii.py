@@ -18,7 +18,7 @@ are made distinct before they are numbered, and a text's replacements are no
 more than its own entities.
 
 Cases: a null text stays null, a text without entities stays as it is; a card
-number without a valid check digit is no entity; repeated rows and null ids are
+number without a valid check digit is a phone if it looks like one, else no entity; repeated rows and null ids are
 treated row by row; an empty table gives no rows; all other columns stay,
 whatever their names.
 """
@@ -69,6 +69,9 @@ def _any(words: tuple[str, ...]) -> str:
 _ADDRESSES = {g: w + tuple(x.upper() for x in w) for g, w in (("male", ADDRESS_MALE), ("female", ADDRESS_FEMALE), ("any", ADDRESS_ANY))}
 _ADDRESS = _any(sum(_ADDRESSES.values(), ())) + r"\.? "
 _GIVEN = _any(GIVEN_MALE + GIVEN_FEMALE)
+#: Phones with groups of one and two digits: a country's code or a leading 0, then groups with one separator between all of them.
+_SHORT_GROUPS = "|".join(rf"(?<![\w.+(-])(?:(?:\+|00)[1-9]\d{{0,2}}[ .-]?(?:\(0\)[ .-]?)?\d{{1,2}}|0[1-9]\d{{0,2}})(?:{x}\d\d){{4}}(?![\w-])"
+                         rf"|(?<![\w.+(-])(?=\d(?:{x}?\d){{8}})0[1-9]\d{{0,3}}(?:{x}\d{{2,3}}){{3}}(?![\w-])" for x in (" ", r"\.", "-"))
 #: In order of preference at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+(?![A-Za-z0-9])",
@@ -77,10 +80,13 @@ PATTERNS = {
               r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)[A-Za-z0-9+/_.~-]{5,}[A-Za-z0-9+/_=~]",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d{1,2})\.){3}(?:25[0-5]|2[0-4]\d|1?\d{1,2})(?!\.?\w)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?<![\w.+-])[1-9](?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])(?:\d{2,4}[ .-]){0,2}\d{3,4}[ .-]\d{3,4}(?![\w-])"
-             r"|(?<![\w.+(-])\+\d{1,3}(?:[ .-]?\(?\d{2,5}\)?){2,4}(?!\w)|(?<![\w.+(-])\+\d{8,14}(?!\w)",
+    "phone": _SHORT_GROUPS +
+             r"|(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])(?:\d{2,4}[ .-]){0,2}\d{3,4}[ .-]\d{3,4}(?![\w-])"
+             r"|(?<![\w.+(-])\+\d{1,3}(?:[ .-]?\(?\d{2,5}\)?){2,4}(?!\w)|(?<![\w.+(-])\+\d{8,14}(?!\w)"
+             r"|(?<![\w.+(-])(?:\+|00)[1-9]\d{0,2}[ .-]\(?\d\)?(?:[ .-]?\d{2,5}){2,4}(?!\w)"
+             r"|(?<![\w.+(-])00[1-9]\d{0,2}[ .-]\(?\d{2,5}\)?(?:[ .-]?\(?\d{2,5}\)?){1,3}(?!\w)",
     "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_ADDRESS}{_CAP}(?: {_CAP}){{0,2}}|{_GIVEN}(?: \p{{Lu}}\.)? {_CAP})",
 }
 #: The only capturing group tells secrets, which their place marks and not their shape.
@@ -131,7 +137,9 @@ def kind_of(surface: Column, secret: Column) -> Column:
     found = F.when(secret != "", "secret").when(_whole(surface, "email"), "email").when(_whole(surface, "key"), "key").when(_whole(surface, "ip"), "ip") \
         .when(_whole(surface, "ssn"), "ssn")
     card = _digits(surface).rlike(ISSUERS) & _luhn(_digits(surface))
-    found = found.when(_whole(surface, "card"), F.when(card, F.lit("card")))
+    # what only looks like a card may be a phone; phones have at most 15 digits after 00
+    phone = surface.rlike(rf"\A(?:{PATTERNS['phone']})\z") & (F.length(F.regexp_replace(_digits(surface), r"\A00(?=[1-9])", "")) <= 15)
+    found = found.when(_whole(surface, "card"), F.when(card, "card").when(phone, "phone"))
     found = found.when(_whole(surface, "iban"), "iban").when(_whole(surface, "phone"), "phone")
     return found.when(_whole(surface, "person"), "person")
 

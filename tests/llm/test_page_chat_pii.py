@@ -174,6 +174,21 @@ def test_entities_at_the_end_of_a_sentence(spark):
     assert re.fullmatch(r"\w+@example\.\w{3}\.", mails[1]) and mails[2] == "no@mail, no@x.y1"
 
 
+@pytest.mark.parametrize("phones, others", [(
+    ("001 415 555 2671", "0049 151 23456789", "06 12 34 56 78", "+33 6 12 34 56 78", "06.12.34.56.78", "06-12-34-56-78", "0033 6 12 34 56 78",
+     "+33 (0)6 12 34 56 78", "+33612345678", "+32 2 123 45 67", "0478 12 34 56", "02 123 45 67", "0151 12 34 56 78", "+49 30 12 34 56 78", "+61 2 1234 5678",
+     "4123-456-789-0123", "415-555-2671"),
+    ("4111111111111112", "4111 1111 1111 1112", "1234 5678 9012 3456", "0000 1234 5678 9012", "01.02.2024", "05-06-2023 10:11:12", "01 02 2024", "02 12 34 56",
+     "1234567890123456", "20240102 123456", "2024-01-02 2024-01-03", "3782 822463 10006", "0012345678901234"))])
+def test_phones_of_all_groupings(spark, phones, others):
+    out = replaced(spark, *[f"call {p}{end}" for p in phones for end in ("", ". Or mail", ", 2024")], *[f"see {x}, then" for x in others])
+    shape = lambda t: re.sub("[0-9]", "0", t)
+    for k, p in enumerate(phones):
+        for new, end in zip(out[3 * k: 3 * k + 3], ("", ". Or mail", ", 2024")):
+            assert p not in new and new.endswith(end) and shape(new) == shape(f"call {p}{end}"), (p, new)
+    assert out[3 * len(phones):] == [f"see {x}, then" for x in others]
+
+
 def test_surrogates_differ_and_are_no_entities(spark):
     """Short local parts leave few surrogates, so attempts must collide."""
     texts = [f"{a}{b}@q.io" for a in "abcdefghij" for b in "klmnopqrst"] + [f"{a}@example.{d}" for a in "abcdefgh" for d in ("com", "net", "org")]
