@@ -182,11 +182,12 @@ def _shaped(value: Column, hexa: Column, hex_only: Column) -> Column:
 
 
 def _name(script: Column, hexa: Column, ending: int, attempt: int) -> Column:
-    """A name of two to five syllables; later attempts are longer."""
+    """A name of two syllables, each attempt one more: in the end more names than any corpus holds."""
     def build(parts: tuple) -> Column:
         inner, ends = F.array(*map(F.lit, parts[0])), F.array(*map(F.lit, parts[ending]))
-        many = 1 + min(3, attempt)
-        return F.initcap(F.concat(*[F.element_at(inner, (_number(hexa, k) % len(parts[0]) + 1).cast("int")) for k in range(many)],
+        # after the first four places a digit of the hash each, none that another place uses
+        digits = [_number(hexa, k) if k < 4 else F.conv(F.substring(hexa, 25 + k, 1), 16, 10).cast("long") for k in range(min(25, 1 + attempt))]
+        return F.initcap(F.concat(*[F.element_at(inner, (d % len(parts[0]) + 1).cast("int")) for d in digits],
                                   F.element_at(ends, (_number(hexa, 7) % len(parts[ending]) + 1).cast("int"))))
     return F.when(script == "cyrillic", build(SYLLABLES["cyrillic"])).when(script == "greek", build(SYLLABLES["greek"])) \
         .otherwise(build(SYLLABLES["latin"]))

@@ -197,6 +197,17 @@ def test_surrogates_differ_and_are_no_entities(spark):
     assert replaced(spark, *texts) == out and replaced(spark, *texts, key="another") != out
 
 
+def test_names_never_run_out(spark, monkeypatch):
+    """With two inner syllables and one ending, four places hold 30 names; 90 surnames need more."""
+    small = {k: (inner[:2], *(e[:1] for e in ends)) for k, (inner, *ends) in pii.SYLLABLES.items()}
+    monkeypatch.setattr(pii, "SYLLABLES", small)
+    d = spark.createDataFrame([("surname", f"Name{k}") for k in range(90)], "kind string, canon string")
+    got = pii.surrogates(d, most_attempts=16).collect()
+    assert len({r.canon for r in got}) == len({r.surrogate for r in got}) == len(got) == 90
+    later = spark.range(1).select(*[pii._name(F.lit("latin"), F.sha2(F.lit("x"), 256), 3, k).alias(str(k)) for k in (0, 3, 4, 24, 63)]).first()
+    assert len(later[0]) < len(later[1]) < len(later[2]) < len(later[3]) == len(later[4])
+
+
 def test_pii_odd_rows_and_tables(spark):
     rows = [(1, None), (2, ""), (3, "none 12345 67."), (3, "none 12345 67."), (None, "a@b.co"), (5, "x@y.org " * 5000)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
