@@ -11,8 +11,11 @@ are taken in while they are as dense as the core needs and while they belong
 to the same article, so that a heading beside the text is kept.
 
 What is never main text is left out before densities are taken: scripts,
-styles, forms, menus, headers and footers of the page, sidebars, notices,
-adverts and reader comments, by element, role, or a word of class or id.
+styles, menus, headers and footers of the page, sidebars, notices, adverts and
+reader comments, by element, role, or a class or id made of words for these
+(one that only contains such a word counts if the element is mostly links; ids
+of headings, sections and running text do not count); forms, but for one that
+holds an article or most of the text.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space in the order of the page.
@@ -40,7 +43,7 @@ from .common import fresh, require, without
 # Elements by their part in HTML, and words of class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes select object canvas".split())
-LEFT_OUT = RAW | frozenset("head nav footer aside form button input menu dialog audio video map label fieldset".split())
+LEFT_OUT = RAW | frozenset("head nav footer aside button input menu dialog audio video map label fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -52,7 +55,13 @@ NOISE_WORDS = frozenset("ad ads alert advert advertisement adverts banner banner
                         "paywall popup promo promoted reactions related replies respond share sharing sidebar skip social sponsor sponsored "
                         "subscribe subscription toolbar widget widgets".split())
 HEADER_WORDS = frozenset("header masthead topbar logo".split())  # noise outside of an article only
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
+#: Parts of a class or id that only say where a thing is or what holds it.
+FRAME_WORDS = frozenset("area article articles bar block bottom box buttons center col column container content entry entries feed fixed form "
+                        "global group holder icons inner item items left level link links list main modal outer page panel post posts primary right "
+                        "row secondary section site slot sticky story stories top unit wrap wrapper x".split())
+#: Where an id names a place of the page; others get theirs from headings and anchors.
+HOLDERS = frozenset("div ul ol table center".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 CORES = frozenset(("article", "main"))
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
@@ -64,10 +73,10 @@ _CORE_TAG = re.compile(r"<(?:article|main)\b", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "noise", "chars", "linked", "tags", "links", "density")
+    __slots__ = ("name", "parent", "children", "noise", "doubt", "chars", "linked", "tags", "links", "density")
 
     def __init__(self, name: str, parent: Node | None, noise: bool = False) -> None:
-        self.name, self.parent, self.noise = name, parent, noise
+        self.name, self.parent, self.noise, self.doubt = name, parent, noise, ""
         self.children: list[Node | str] = []
         self.chars = self.linked = self.tags = self.links = 0
         self.density = 0.0
@@ -82,27 +91,42 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _is_noise(name: str, attributes: str, within_core: bool, by_words: bool) -> bool:
+def _mark(name: str, attributes: str, within_core: bool, by_words: bool) -> str:
+    """Whether an element is "noise", noise if it holds mostly "links", a "form", or nothing of that."""
     if name in LEFT_OUT or name == "header" and not within_core:
-        return True
+        return "noise"
+    mark = "form" if name == "form" else ""
     if not attributes:
-        return False
-    for key, value in _attributes(attributes).items():
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NOISE_ROLES:
-            return True
-        if by_words and key in ("class", "id") and name not in CORES:
-            words = _WORD.findall(value)
-            if not NOISE_WORDS.isdisjoint(words) or not within_core and not HEADER_WORDS.isdisjoint(words):
-                return True
-    return False
+        return mark
+    found = _attributes(attributes)
+    role = found.get("role", "")
+    if "hidden" in found or found.get("aria-hidden") == "true" or role in NOISE_ROLES:
+        return "noise"
+    if role == "form":
+        mark = "form"
+    if not by_words or name in CORES:
+        return mark
+    words = NOISE_WORDS if within_core else NOISE_WORDS | HEADER_WORDS
+    tokens = found.get("class", "").split()
+    if name in HOLDERS and "section" not in tokens:
+        tokens += found.get("id", "").split()
+    for token in tokens:
+        parts = _WORD.findall(token)
+        if not words.isdisjoint(parts):
+            if all(p in words or p in FRAME_WORDS for p in parts):
+                return "noise"
+            mark = mark or "links"
+    return mark
 
 
 def tree(page: str, by_words: bool = True) -> Node:
     """The page's elements under one body; noise has no content.  ``by_words``
-    also takes the words of class and id as marks of noise."""
+    also takes the words of class and id as marks of noise: a name made of such
+    words, or one that only has such a word if the element is mostly links."""
     body = now = Node("body", None)
     at, end = 0, len(page)
     core, skipped = 0, 0  # open articles; open elements inside a noise element
+    doubtful = False
     for m in iter(lambda: _MARKUP.search(page, at), None):
         if m.start() > at and not skipped:
             now.children.append(html.unescape(page[at: m.start()]))
@@ -129,7 +153,8 @@ def tree(page: str, by_words: bool = True) -> Node:
         elif name in SAME_CLOSES:
             now, core = _close_same(now, name, core)
         skipped = _noise_depth(now)
-        noise = bool(skipped) or _is_noise(name, m[3], core > 0, by_words)
+        mark = "noise" if skipped else _mark(name, m[3], core > 0, by_words)
+        noise = mark == "noise"
         if name in VOID:
             if not skipped:
                 now.children.append(Node(name, now, noise))
@@ -138,13 +163,42 @@ def tree(page: str, by_words: bool = True) -> Node:
             at = _raw_end(page, name, at)
             continue
         now = _open(now, name, noise)
+        if mark and not noise:
+            now.doubt, doubtful = mark, True
         skipped += noise
         core += name in CORES
     if at < end and not skipped:
         now.children.append(html.unescape(page[at:]))
+    if doubtful:
+        _settle(body, "links")
+        _settle(body, "form")
     return body
 
 
+def _settle(body: Node, doubt: str) -> None:
+    """Takes out elements in doubt that hold no article: those of mostly links,
+    forms without most of the text around them (of the article or page)."""
+    nodes = [body]
+    for node in nodes:
+        nodes += [c for c in node.children if isinstance(c, Node)]
+    if not any(node.doubt == doubt for node in nodes):
+        return
+    chars, linked, cores = {}, {}, {}
+    for node in reversed(nodes):
+        below = [c for c in node.children if isinstance(c, Node)]
+        chars[node] = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(chars[c] for c in below)
+        linked[node] = chars[node] if node.name == "a" else sum(linked[c] for c in below)
+        cores[node] = node.name in CORES or any(cores[c] for c in below)
+    scope, out = {body: body}, set()
+    for node in nodes[1:]:
+        around = scope[node.parent]
+        scope[node] = node if node.name in CORES else around
+        if node.doubt == doubt and not cores[node] and (2 * linked[node] >= chars[node] if doubt == "links" else 2 * chars[node] <= chars[around]):
+            out.add(node)
+    for parent in {node.parent for node in out}:
+        parent.children = [c for c in parent.children if c not in out]
+
+
 def _open(now: Node, name: str, noise: bool) -> Node:
     node = Node(name, now, noise)
     if not noise:

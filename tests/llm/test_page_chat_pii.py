@@ -60,6 +60,34 @@ def test_attributes_by_name_are_marks(attributes):
     assert html_text.main_text(f"<article><p>a</p><div {attributes}><p>b</p></div></article>") == "a"
 
 
+@pytest.mark.parametrize("part", [
+    "<section id=related-work><p>b</p></section>", "<h2 id='social-impact'>b</h2>", "<p class='notice-period'>b</p>", "<h2 id=comments>b</h2>",
+    "<div class='content has-sidebar'>b</div>", "<div class='no-comments'><p>b</p></div>", "<div class='section' id='navigation'>b</div>",
+    "<dl><dt id=alert>b</dl>", "<form><p>b</p></form>", "<div class=has-social><a href=x>c</a> b b</div>"])
+def test_words_inside_other_names_are_no_marks(part):
+    want = "a" if part.startswith("<form") else "a c b b" if "has-social" in part else "a b"
+    for page in (f"<article><p>a</p>{part}</article>", f"<p>a</p>{part}"):
+        assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", [
+    "<div class=alert-box>b</div>", "<div class='post-comments'>b</div>", "<div id=comments><p>b</p></div>", "<ul class='share-buttons big'><li>b</ul>",
+    "<p class=keep-social><a href=x>b</a></p>", "<div class=ad-300x250>b</div>", "<div class='left sidebar_2'>b</div>"])
+def test_names_of_noise_words_are_marks(part):
+    assert html_text.main_text(f"<article><p>a</p>{part}</article>") == "a"
+
+
+def test_forms_that_hold_the_text():
+    story = "<div><h1>T</h1><p>A story of some length.</p><p>It ends here.</p></div>"
+    want = "T A story of some length. It ends here."
+    search = "<form action=/s><p>Find</p><input name=q></form>"
+    for page in (f"<form id=aspnetForm>{story}</form>", f"<p>Top</p><form><nav>menu</nav>{story}<input></form>", f"<form><article>{story}</article></form>",
+                 f"<div role=form>{story}</div>", f"<article><form>{story}</form></article>"):
+        assert html_text.main_text(page).endswith(want) and "menu" not in html_text.main_text(page)
+    assert html_text.main_text(f"{search}{story}") == want
+    assert html_text.main_text(f"<form>{search}<article>{story}</article></form>") == want
+
+
 def test_links_are_not_main_text():
     menu = "<div>" + "".join(f"<a href=/{k}>entry number {k}</a> " for k in range(30)) + "</div>"
     story = "<div>" + "".join(f"<p>Sentence {k} of the story, which goes on for quite a while.</p>" for k in range(8)) + "</div>"
