@@ -82,11 +82,12 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\w.+-])[1-9](?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": _SHORT_GROUPS +
+    # no place but these needs a look at the alternatives
+    "phone": rf"(?=[+(0-9])(?:{_SHORT_GROUPS}"
              r"|(?<![\w.+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])(?:\d{2,4}[ .-]){0,2}\d{3,4}[ .-]\d{3,4}(?![\w-])"
              r"|(?<![\w.+(-])\+\d{1,3}(?:[ .-]?\(?\d{2,5}\)?){2,4}(?!\w)|(?<![\w.+(-])\+\d{8,14}(?!\w)"
              r"|(?<![\w.+(-])(?:\+|00)[1-9]\d{0,2}[ .-]\(?\d\)?(?:[ .-]?\d{2,5}){2,4}(?!\w)"
-             r"|(?<![\w.+(-])00[1-9]\d{0,2}[ .-]\(?\d{2,5}\)?(?:[ .-]?\(?\d{2,5}\)?){1,3}(?!\w)",
+             r"|(?<![\w.+(-])00[1-9]\d{0,2}[ .-]\(?\d{2,5}\)?(?:[ .-]?\(?\d{2,5}\)?){1,3}(?!\w))",
     "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_ADDRESS}{_CAP}(?: {_CAP}){{0,2}}|{_GIVEN}(?: \p{{Lu}}\.)? {_CAP})",
 }
 #: The only capturing group tells secrets, which their place marks and not their shape.
