@@ -19,8 +19,8 @@ so that one conversation or one passage may hold any share of all rows.
 Cases: a null text counts as empty and stays in its place; null conversations
 are one conversation; a null turn comes last; repeated rows are messages of
 their own, in any order; a passage that nobody wrote before stays unlinked and
-goes all the same; quotes of a later message do not link; units of fewer than
-``least_chars`` letters and digits do not link; an empty table gives no rows;
+goes all the same; quotes of a later message do not link; sentences of fewer
+than ``least_chars`` letters and digits do not link, such lines only where nothing longer does; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -76,7 +76,8 @@ def own_text(found: list[tuple[int, list[str]]]) -> str:
 
 
 def units(lines: list[str], least: int) -> dict[int, int]:
-    """Hash of each unit -> its rank: 0 the whole, 1 paragraphs, 2 lines, 3 sentences."""
+    """Hash of each unit -> its rank: 0 the whole, 1 paragraphs, 2 lines, 3 sentences of
+    at least ``least`` letters and digits, 4 shorter paragraphs and lines."""
     from xxhash import xxh64_intdigest
 
     out: dict[int, int] = {}
@@ -85,8 +86,10 @@ def units(lines: list[str], least: int) -> dict[int, int]:
     for rank, parts in enumerate(([whole], paragraphs, lines, [s for p in paragraphs for s in _SENTENCE.split(p)])):
         for part in parts:
             plain = "".join(_WORD.findall(part.casefold()))
-            if len(plain) >= least:
-                out.setdefault(xxh64_intdigest(plain.encode()) - (1 << 63), rank)
+            if not rank and not plain:
+                plain = "".join(part.split())  # signs alone, as a whole only
+            if plain and (rank < 3 or len(plain) >= least):
+                out.setdefault(xxh64_intdigest(plain.encode()) - (1 << 63), rank if not rank or len(plain) >= least else 4)
     return out
 
 

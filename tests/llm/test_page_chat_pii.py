@@ -125,6 +125,14 @@ def test_quotes_are_linked_and_ordered(spark):
         (2, 0): (0, None, 0, "other conv", 1, 0), (2, None): (1, 0, None, "late", 0, 0), (None, 0): (0, None, 0, "null conv", 0, 0)}
 
 
+def test_short_passages_link(spark):
+    texts = ["Why not?", "The weather is bad today.", "\u4f60\u597d\u5417", "\U0001f44d", "ok", "> Why not?\nGood question.", "> \u4f60\u597d\u5417\na",
+             "> \U0001f44d\nb", "> The weather is bad today.\n> ok\nc", "> ?!\nd"]
+    d = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.n_linked) for r in chat.link(d).collect()}
+    assert [got[k] for k in range(5, 10)] == [(0, 1), (2, 1), (3, 1), (1, 1), (8, 0)]
+
+
 def test_one_long_conversation_equals_brute_force(spark):
     """Blocks of turns, long chains of replies and a passage that many messages hold."""
     texts = [f"Message number {k} speaks of subject {k}." if k % 7 else "The same common words again." for k in range(3000)]
