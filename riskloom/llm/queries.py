@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, html_text, language, language_model, packing, pii, quality, simhash
+from . import chat, decontamination, embedding_dedup, html_text, language, language_model, merkle, packing, pii, quality, simhash
 from .common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,52 @@ SELECT c.conv_id, c.turn, c.role, row_number() OVER (PARTITION BY c.conv_id ORDE
        c.text, (SELECT count(*) FROM passages p WHERE p.rid = c.rid AND p.level > 0) AS n_quoted, n_linked,
        '<|' || coalesce(c.role, 'user') || '|>' || chr(10) || coalesce(c.text, '') || chr(10) || '<|end|>' || chr(10) AS formatted
 FROM clean c JOIN replies USING (rid) JOIN threads USING (rid)"""
+
+
+@register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of the dataset's tree; one document in seven is tampered with after its proof is made."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    leaf, other = merkle.leaf_hash(*columns), merkle.leaf_hash(*columns[:3], more, columns[4])
+    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(in_fold("doc_id", 7, 0), other).otherwise(leaf).alias("shown"))
+    found = merkle.manifest(rows)
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("levels")).alias("proof_sha256"),
+                         merkle.folded(F.col("shown"), F.col("levels")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_CRC32 = ("xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: ascii(c)::UBIGINT)), "
+          "lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), "
+          "lambda a, x: xor(a >> 1, 3988292384::UBIGINT * (a & 1::UBIGINT)))), 4294967295::UBIGINT)")
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(cast(strlen(cast({c} AS varchar)) AS varchar) || ':' || cast({c} AS varchar), '-')"
+                                   for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
+    {_leaf_sql('(n_chars + 1)')} AS other, coalesce({_CRC32} % 7 = 0, false) AS tampered FROM documents),
+placed AS (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS at FROM leaves),
+lower AS (SELECT tree, 0 AS level, at, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+          UNION ALL SELECT tree, min(level) + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (min(n) + 1) // 2
+          FROM lower WHERE n > 1 GROUP BY tree, at // 2),
+tops AS (SELECT tree, digest AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place FROM lower WHERE n = 1),
+upper AS (SELECT 0 AS level, place AS at, subroot AS digest, count(*) OVER () AS n FROM tops
+          UNION ALL SELECT min(level) + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (min(n) + 1) // 2
+          FROM upper WHERE n > 1 GROUP BY at // 2),
+siblings AS (SELECT rid, s.level, (at >> s.level) % 2 AS odd, s.digest FROM placed JOIN tops USING (tree) JOIN lower s
+             ON s.tree = placed.tree AND s.level < height AND s.at = xor(placed.at >> s.level, 1)
+             UNION ALL SELECT rid, height + s.level, (place >> s.level) % 2, s.digest FROM placed JOIN tops USING (tree) JOIN upper s
+             ON s.n > 1 AND s.at = xor(place >> s.level, 1)),
+tall AS (SELECT max(level) AS more FROM upper),
+proofs AS (SELECT rid, string_agg(digest, '' ORDER BY level) AS all_siblings FROM siblings GROUP BY rid),
+folds AS (SELECT rid, 0 AS level, height + more AS height, CASE WHEN tampered THEN other ELSE leaf END AS digest FROM placed JOIN tops USING (tree), tall
+          UNION ALL SELECT f.rid, f.level + 1, f.height, sha256(CASE WHEN s.digest IS NULL THEN f.digest WHEN s.odd = 1 THEN s.digest || f.digest ELSE f.digest || s.digest END)
+          FROM folds f LEFT JOIN siblings s ON s.rid = f.rid AND s.level = f.level WHERE f.level < f.height)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(all_siblings, '')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM placed JOIN tops USING (tree) JOIN folds f ON f.rid = placed.rid AND f.level = f.height LEFT JOIN proofs ON proofs.rid = placed.rid,
+     (SELECT digest AS root FROM upper WHERE n = 1)"""
