@@ -196,18 +196,18 @@ def _leaf_sql(n_chars: str) -> str:
 ORACLE["op13_merkle_manifest"] = f"""
 WITH RECURSIVE leaves AS (SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf_sql('n_chars')} AS leaf,
     {_leaf_sql('(n_chars + 1)')} AS other, coalesce({_CRC32} % 7 = 0, false) AS tampered FROM documents),
-placed AS (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS at FROM leaves),
-lower AS (SELECT tree, 0 AS level, at, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
-          UNION ALL SELECT tree, min(level) + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (min(n) + 1) // 2
-          FROM lower WHERE n > 1 GROUP BY tree, at // 2),
+placed AS (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS spot FROM leaves),
+lower AS (SELECT tree, 0 AS level, spot, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+          UNION ALL SELECT tree, min(level) + 1, spot // 2, sha256(string_agg(digest, '' ORDER BY spot)), (min(n) + 1) // 2
+          FROM lower WHERE n > 1 GROUP BY tree, spot // 2),
 tops AS (SELECT tree, digest AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place FROM lower WHERE n = 1),
-upper AS (SELECT 0 AS level, place AS at, subroot AS digest, count(*) OVER () AS n FROM tops
-          UNION ALL SELECT min(level) + 1, at // 2, sha256(string_agg(digest, '' ORDER BY at)), (min(n) + 1) // 2
-          FROM upper WHERE n > 1 GROUP BY at // 2),
-siblings AS (SELECT rid, s.level, (at >> s.level) % 2 AS odd, s.digest FROM placed JOIN tops USING (tree) JOIN lower s
-             ON s.tree = placed.tree AND s.level < height AND s.at = xor(placed.at >> s.level, 1)
+upper AS (SELECT 0 AS level, place AS spot, subroot AS digest, count(*) OVER () AS n FROM tops
+          UNION ALL SELECT min(level) + 1, spot // 2, sha256(string_agg(digest, '' ORDER BY spot)), (min(n) + 1) // 2
+          FROM upper WHERE n > 1 GROUP BY spot // 2),
+siblings AS (SELECT rid, s.level, (placed.spot >> s.level) % 2 AS odd, s.digest FROM placed JOIN tops USING (tree) JOIN lower s
+             ON s.tree = placed.tree AND s.level < height AND s.spot = xor(placed.spot >> s.level, 1)
              UNION ALL SELECT rid, height + s.level, (place >> s.level) % 2, s.digest FROM placed JOIN tops USING (tree) JOIN upper s
-             ON s.n > 1 AND s.at = xor(place >> s.level, 1)),
+             ON s.n > 1 AND s.spot = xor(place >> s.level, 1)),
 tall AS (SELECT max(level) AS more FROM upper),
 proofs AS (SELECT rid, string_agg(digest, '' ORDER BY level) AS all_siblings FROM siblings GROUP BY rid),
 folds AS (SELECT rid, 0 AS level, height + more AS height, CASE WHEN tampered THEN other ELSE leaf END AS digest FROM placed JOIN tops USING (tree), tall
