@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, html_text, language, language_model, merkle, packing, pii, quality, simhash
+from . import chat, decontamination, embedding_dedup, hard_negatives, html_text, language, language_model, merkle, packing, pii, quality, simhash
 from .common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,26 @@ folds AS (SELECT rid, 0 AS level, height + more AS height, CASE WHEN tampered TH
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(all_siblings, '')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
 FROM placed JOIN tops USING (tree) JOIN folds f ON f.rid = placed.rid AND f.level = f.height LEFT JOIN proofs ON proofs.rid = placed.rid,
      (SELECT digest AS root FROM upper WHERE n = 1)"""
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH sound AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+    AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT rid AS anchor, vec_id AS anchor_id, label AS anchor_label, v AS a FROM sound WHERE vec_id % 100 = 0),
+scored AS (SELECT anchor, anchor_id, anchor_label, rid, vec_id, label, CAST(list_inner_product(a, v) AS BIGINT) AS score
+           FROM anchors JOIN sound ON anchor <> rid AND len(a) = len(v)),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS n FROM scored WHERE label = anchor_label) WHERE n <= 5),
+found AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id) AS rank,
+          s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+          FROM positives p JOIN scored s ON s.anchor = p.anchor AND s.label <> p.anchor_label
+          AND 100 * s.score >= 30 * p.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10"""
