@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, hard_negatives, html_text, language, language_model, merkle, packing, pii, quality, simhash
+from . import chat, decontamination, embedding_dedup, hard_negatives, html_text, language, language_model, merkle, packing, pii, quality, simhash, toxicity
 from .common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +183,14 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@register
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out third are not learned from."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold("doc_id", 3, 1)
+    scored = toxicity.fit_and_score(docs, docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 _CRC32 = ("xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: ascii(c)::UBIGINT)), "
           "lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), "
           "lambda a, x: xor(a >> 1, 3988292384::UBIGINT * (a & 1::UBIGINT)))), 4294967295::UBIGINT)")
