@@ -83,17 +83,20 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, cosines) of the ``k`` nearest examples with a cosine above 0,
-        nearest first, ties by place; and the number of blocks that were opened."""
+        nearest first, ties (to 12 digits) by place; and the number of blocks that were opened."""
         bound = weights @ self.most[terms]
         place, cosine, opened = np.zeros(0, np.int64), np.zeros(0), 0
         for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(cosine) == k and bound[block] < cosine[-1] - 1e-12):
+            if bound[block] <= 0 or (len(cosine) == k and bound[block] < cosine[-1] - 2e-12):
                 break
+            if len(cosine) == k and bound[block] <= cosine[-1] + 1e-13 and block * BLOCK > place[-1]:
+                continue  # at best it ties with what stands in front of it
             opened += 1
             at = terms * self.blocks + block
             first, many = self.start[at], self.start[at + 1] - self.start[at]
             rows = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
             own = np.bincount(self.example[rows] - block * BLOCK, np.repeat(weights, many) * self.weight[rows], BLOCK)
+            own = np.round(own, 12)
             inside = np.flatnonzero(own > 0)
             place, cosine = np.append(place, inside + block * BLOCK), np.append(cosine, own[inside])
             best = np.lexsort((place, -cosine))[:k]
