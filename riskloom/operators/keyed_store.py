@@ -83,10 +83,10 @@ class KeyedTable:
     # ------------------------------------------------------------- versions
 
     def manifest(self, version: int | None = None) -> dict:
-        """{version, pieces: {bucket: [batch, ...]}, streams: {name: {id, batch, ...}}}."""
+        """{version, rows, pieces: {bucket: [batch, ...]}, streams: {name: {id, batch, rows, added}}}."""
         version = self.version() if version is None else version
         if version < 0:
-            return {"version": -1, "pieces": {}, "streams": {}}
+            return {"version": -1, "rows": 0, "pieces": {}, "streams": {}}
         return json.loads(self._text(f"{self.root}/manifest/v{version:012d}.json"))
 
     def version(self) -> int:
@@ -99,10 +99,11 @@ class KeyedTable:
     def _versions(self) -> list[int]:
         return [int(n[1:-5]) for n in self._names(f"{self.root}/manifest", "v*.json")]
 
-    def _publish(self, before: dict, pieces: dict[str, list[str]], stream: str | None, batch_id: int | None, **note) -> None:
-        now = {"version": before["version"] + 1, "pieces": {b: p for b, p in pieces.items() if p}, "streams": dict(before["streams"])}
+    def _publish(self, before: dict, pieces: dict[str, list[str]], change: int, stream: str | None, batch_id: int | None, batch: str | None = None) -> None:
+        now = {"version": before["version"] + 1, "rows": before["rows"] + change, "pieces": {b: p for b, p in pieces.items() if p},
+               "streams": dict(before["streams"])}
         if stream is not None:
-            now["streams"][stream] = {"id": batch_id, **note}
+            now["streams"][stream] = {"id": batch_id, "batch": batch, "rows": now["rows"], "added": change}
         self._put(self.spark, f"{self.root}/manifest/v{now['version']:012d}.json", json.dumps(now))
 
     # --------------------------------------------------------------- reading
@@ -146,7 +147,11 @@ class KeyedTable:
         self._refresh()
         return batch, [int(n.rpartition(".")[2]) for n in self._names(f"{self.root}/data", f"piece={batch}.*")]
 
-    def append(self, rows: DataFrame, stream: str | None = None, batch_id: int | None = None, **note) -> str | None:
+    def _count(self, names: list[str]) -> int:
+        """Rows of the given pieces, from the files' footers."""
+        return self.spark.table(self.name).where(F.col("piece").isin(names)).count() if names else 0
+
+    def append(self, rows: DataFrame, stream: str | None = None, batch_id: int | None = None) -> str | None:
         """Add a batch; its name, or None if the stream's batch is there already."""
         if self.committed(stream, batch_id):
             return None
@@ -155,7 +160,7 @@ class KeyedTable:
         pieces = {b: list(p) for b, p in before["pieces"].items()}
         for b in written:
             pieces.setdefault(str(b), []).append(batch)
-        self._publish(before, pieces, stream, batch_id, batch=batch, **note)
+        self._publish(before, pieces, self._count([f"{batch}.{b}" for b in written]), stream, batch_id, batch)
         return batch
 
     def replace(self, rows: DataFrame, buckets: list[int], stream: str | None = None, batch_id: int | None = None) -> None:
@@ -166,8 +171,10 @@ class KeyedTable:
         batch, written = self._write(rows)
         if not set(written) <= set(buckets):
             raise ValueError("rows fall into buckets that are not replaced")
-        pieces = {b: list(p) for b, p in before["pieces"].items() if int(b) not in buckets} | {str(b): [batch] for b in written}
-        self._publish(before, pieces, stream, batch_id, batch=batch)
+        old = {b: p for b, p in before["pieces"].items() if int(b) in buckets}
+        change = self._count([f"{batch}.{b}" for b in written]) - self._count([f"{p}.{b}" for b, own in old.items() for p in own])
+        pieces = {b: list(p) for b, p in before["pieces"].items() if b not in old} | {str(b): [batch] for b in written}
+        self._publish(before, pieces, change, stream, batch_id, batch)
 
     def compact(self, reduce: Callable[[DataFrame], DataFrame] | None = None, most: int = MOST_PIECES) -> list[int]:
         """Fold buckets with more than ``most`` pieces into one each; ``reduce`` may

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import LOG_PAGE, STATUS_ACCEPTED, STATUS_ROLLBACK
 from ..functions.scalars import is_blank, profile_username
 from ..session import path_exists
+from .keyed_store import KeyedTable, delete_where, insert_new, update_where, winners
 
 
 def first_write_order() -> list[Column]:
@@ -103,6 +104,42 @@ def resolve_conflicts(store: DataFrame, incoming: DataFrame) -> DataFrame:
             .withColumn("is_duplicate", F.col("stored_commit_id") != F.col("commit_id")))
 
 
+def resolve_against(table: KeyedTable, incoming: DataFrame) -> DataFrame:
+    """``resolve_conflicts`` against a keyed commit table: the stored rows of the
+    batch's hashes are looked up in their buckets, and the batch alone moves."""
+    held = winners(table, incoming, first_write_order())
+    held = held.select(table.key, F.col("commit_id").alias("stored_commit_id"), F.col("created_at").alias("stored_created_at"))
+    return incoming.join(held, table.key, "left").withColumn("is_duplicate", F.col("stored_commit_id") != F.col("commit_id"))
+
+
+def apply_writes(table: KeyedTable, changes: DataFrame, offered: DataFrame, values: list[str], batch_id: int) -> DataFrame:
+    """Judge the requests of a batch against the stored rows, then carry out the
+    accepted ones: deletes, updates (which set ``values``), and inserts of
+    ``offered`` rows whose hash is free by then.  Returns the judgements.
+
+    A request names its row by ``commit_id``; all are judged on the state before
+    the batch, and of several updates of a row the one with the greatest values
+    stands.  Every step is a published version under the batch's number, so a
+    replay after a failure goes on behind the last step that was done; the
+    judgements are written first and the replay keeps to them."""
+    judged = materialize_once(table, "judged", batch_id, lambda: authorized_writes(changes, table.read(), *values))
+    accepted = judged.where("accepted")
+    delete_where(table, accepted.where("op = 'delete'").select("commit_id"), "commit_id", "deletes", batch_id)
+    updates = accepted.where("op = 'update'").groupBy("commit_id").agg(F.max(F.struct(*values)).alias("v")).select("commit_id", "v.*")
+    update_where(table, updates, "commit_id", "updates", batch_id)
+    new = offered.join(accepted.where("op = 'insert'").select("commit_id"), "commit_id", "left_semi")
+    insert_new(table, new, first_write_order(), "inserts", batch_id)
+    return judged.drop(*values)
+
+
+def materialize_once(table: KeyedTable, name: str, batch_id: int, make) -> DataFrame:
+    """``make()`` as written beside the table by the first attempt at a batch."""
+    path = f"{table.root}/{name}/batch={batch_id}"
+    if not path_exists(table.spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return table.spark.read.parquet(path)
+
+
 def owner_rows(commits: DataFrame, actors: DataFrame | None = None) -> DataFrame:
     """Rows each actor may read: own rows (``actors`` holds ``user_id``);
     ``None`` is the service role, which reads everything."""
@@ -111,9 +148,10 @@ def owner_rows(commits: DataFrame, actors: DataFrame | None = None) -> DataFrame
     return commits.join(actors.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def authorized_writes(changes: DataFrame, current: DataFrame) -> DataFrame:
+def authorized_writes(changes: DataFrame, current: DataFrame, *carried: str) -> DataFrame:
     """Row-policy check for insert/update/delete requests.  USING needs the
-    actor to own the old row, WITH CHECK to own the new one."""
+    actor to own the old row, WITH CHECK to own the new one.  ``carried``
+    columns of the requests come along."""
     cur = current.select("commit_id", F.col("user_id").alias("old_user_id"))
     j = changes.join(cur, "commit_id", "left")
     actor, old, new, op = F.col("actor_id"), F.col("old_user_id"), F.col("new_user_id"), F.col("op")
@@ -125,7 +163,7 @@ def authorized_writes(changes: DataFrame, current: DataFrame) -> DataFrame:
               .when((op == "update") & ~check_ok, F.lit("with_check_failed"))
               .otherwise(F.lit("ok")))
     return j.select("commit_id", "op", "actor_id", "old_user_id", "new_user_id",
-                    (reason == "ok").alias("accepted"), reason.alias("reason"))
+                    (reason == "ok").alias("accepted"), reason.alias("reason"), *carried)
 
 
 def orphan_commits(commits: DataFrame, users: DataFrame) -> DataFrame:

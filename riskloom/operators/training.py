@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import MIN_TRAIN_SAMPLES, SEED_DESCRIPTIONS, TIER_RANGES
+from .keyed_store import KeyedTable
 from .store import ordinal_index, top_k_per_group
 
 
@@ -19,6 +20,12 @@ def new_training_examples(existing: DataFrame, batch: DataFrame, order_col: str
     return keep_first_example(batch, order_col).join(existing.select("hash"), "hash", "left_anti")
 
 
+def new_examples_for(table: KeyedTable, batch: DataFrame, order_col: str = "ord") -> DataFrame:
+    """``new_training_examples`` against a keyed training store."""
+    first = keep_first_example(batch, order_col)
+    return first.join(table.matching(first, table.key).hint("shuffle_hash"), table.key, "left_anti")
+
+
 def union_training(seed: DataFrame, live: DataFrame, order_col: str = "ord") -> DataFrame:
     return keep_first_example(seed.unionByName(live), order_col)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as K
 from ..functions.scalars import ledger_payload, profile_username  # noqa: F401
 from ..operators import ledger, routing, scan, store, verdicts
+from ..operators.keyed_store import KeyedTable, delete_where, insert_new
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks
@@ -134,15 +135,23 @@ def _hashed(spark, sf):
     return scan.with_commit_hash(store.drop_blank_code(fx.commits(spark, sf)))
 
 
+#: Buckets of the keyed tables; the fixture is small.
+BUCKETS = 8
+
+
+def _commit_table(spark, rows, name="commit-table"):
+    return KeyedTable.open(spark, scratch_path(spark, name), rows.schema, "commit_hash", BUCKETS)
+
+
 @register("save_commits", stored_sql("SELECT commit_id, user_id, commit_hash, created_at FROM _held"))
 def q_save_commits(spark, sf):
     """Two batches saved in order, the second one twice (a replay); the table
     as read back."""
     c = _hashed(spark, sf).select("commit_id", "user_id", "commit_hash", "created_at")
-    path = scratch_path(spark, "commit-table")
+    table = _commit_table(spark, c)
     for batch in (fx.first_batch(c), fx.second_batch(c), fx.second_batch(c)):
-        store.save_commits_to(spark, path, batch)
-    return spark.read.parquet(path).select("commit_id", "user_id", "commit_hash", "created_at")
+        insert_new(table, batch, store.first_write_order())
+    return table.read()
 
 
 @register("existing_on_conflict", stored_sql(
@@ -151,8 +160,9 @@ def q_save_commits(spark, sf):
     f"WHERE b.{O.SECOND_BATCH}"))
 def q_existing_on_conflict(spark, sf):
     c = _hashed(spark, sf).select("commit_id", "commit_hash", "created_at")
-    s1 = store.first_commit_per_hash(fx.first_batch(c))
-    r = store.resolve_conflicts(s1, fx.second_batch(c))
+    table = _commit_table(spark, c)
+    insert_new(table, fx.first_batch(c), store.first_write_order())
+    r = store.resolve_against(table, fx.second_batch(c))
     return r.select("commit_id", "commit_hash", "stored_commit_id", "stored_created_at", "is_duplicate")
 
 
@@ -161,10 +171,11 @@ def q_existing_on_conflict(spark, sf):
     "FROM training_raw WHERE source = 'live_commit') t WHERE rn = 1 AND hash NOT IN "
     "(SELECT hash FROM training_raw WHERE source = 'openrouter_seed')", "training_raw"))
 def q_new_training_examples(spark, sf):
-    from ..operators.training import new_training_examples
-    t = fx.training_raw(spark, sf)
-    return new_training_examples(t.where("source = 'openrouter_seed'"), t.where("source = 'live_commit'")) \
-        .select("hash", "ord", "risk_score", "source")
+    from ..operators.training import new_examples_for
+    t = fx.training_raw(spark, sf).select("hash", "ord", "risk_score", "source")
+    table = KeyedTable.open(spark, scratch_path(spark, "training-table"), t.schema, "hash", BUCKETS)
+    insert_new(table, t.where("source = 'openrouter_seed'"), [F.col("ord").asc()])
+    return new_examples_for(table, t.where("source = 'live_commit'")).select("hash", "ord", "risk_score", "source")
 
 
 @register("union_training", O.with_views(
@@ -211,6 +222,49 @@ def q_cascade_delete(spark, sf):
         .select("commit_id", "user_id")
 
 
+# The same requests carried out on the stored table: deletes, updates of the score, inserts.
+_APPLY_CTES = {
+    "_table": "SELECT commit_id, user_id, commit_hash, risk_score, created_at FROM stored",
+    "_asked": ("SELECT c.*, CASE WHEN c.op = 'insert' THEN c.actor_id = c.new_user_id WHEN s.user_id IS NULL THEN false "
+               "WHEN c.actor_id <> s.user_id THEN false ELSE c.op = 'delete' OR c.actor_id = c.new_user_id END AS accepted "
+               "FROM changes c LEFT JOIN _table s USING (commit_id)"),
+    "_kept": ("SELECT commit_id, user_id, commit_hash, CASE WHEN commit_id IN (SELECT commit_id FROM _asked WHERE accepted AND op = 'update') "
+              "THEN CAST(commit_id % 100 AS DOUBLE) ELSE risk_score END AS risk_score, created_at FROM _table "
+              "WHERE commit_id NOT IN (SELECT commit_id FROM _asked WHERE accepted AND op = 'delete')"),
+    "_added": ("SELECT commit_id, user_id, commit_hash, risk_score, created_at FROM (SELECT b.commit_id, a.new_user_id AS user_id, b.commit_hash, "
+               "CAST(0 AS DOUBLE) AS risk_score, b.created_at, row_number() OVER (PARTITION BY b.commit_hash ORDER BY b.created_at ASC NULLS LAST, "
+               "b.commit_id) AS rn FROM _base b JOIN _asked a USING (commit_id) WHERE a.accepted AND a.op = 'insert' "
+               "AND b.commit_hash NOT IN (SELECT commit_hash FROM _kept)) WHERE rn = 1"),
+}
+
+
+@register("applied_writes", O.with_views("SELECT * FROM _kept UNION ALL SELECT * FROM _added", "commits", "changes",
+                                         extra={**STORED_CTES, **_APPLY_CTES}))
+def q_applied_writes(spark, sf):
+    """The stored table after a batch of requests, which comes twice (a replay)."""
+    c = analyze.stored_commits(spark, sf).select("commit_id", "user_id", "commit_hash", "risk_score", "created_at")
+    table = _commit_table(spark, c)
+    insert_new(table, c, store.first_write_order())
+    asked = fx.changes(spark, sf).withColumn("risk_score", (F.col("commit_id") % 100).cast("double"))
+    offered = _hashed(spark, sf).select("commit_id", "commit_hash", "created_at") \
+        .join(asked.select("commit_id", F.col("new_user_id").alias("user_id"), F.lit(0.0).alias("risk_score")), "commit_id")
+    for _ in range(2):
+        store.apply_writes(table, asked, offered, ["risk_score"], batch_id=0)
+    return table.read()
+
+
+@register("cascade_applied", stored_sql(
+    "SELECT commit_id, user_id, commit_hash FROM stored WHERE user_id NOT IN (SELECT user_id FROM deleted_users)", "deleted_users"))
+def q_cascade_applied(spark, sf):
+    """The stored table after accounts went: buckets without rows of theirs keep their files."""
+    c = analyze.stored_commits(spark, sf).select("commit_id", "user_id", "commit_hash", "created_at")
+    table = _commit_table(spark, c)
+    insert_new(table, c, store.first_write_order())
+    for _ in range(2):
+        delete_where(table, fx.deleted_users(spark, sf), "user_id", "cascade", 0)
+    return table.read().select("commit_id", "user_id", "commit_hash")
+
+
 _VIOL = ("list_filter([CASE WHEN user_id IS NULL THEN 'user_id is null' END, "
          "CASE WHEN commit_hash IS NULL THEN 'commit_hash is null' END, "
          "CASE WHEN code_content IS NULL THEN 'code_content is null' END, "

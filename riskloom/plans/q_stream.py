@@ -22,6 +22,9 @@ from . import oracle as O
 from .q_flow import FLOW_CTES, ledger_sql
 from .registry import HASH, register, stored_sql
 
+#: Buckets of the keyed tables; the fixture is small.
+BUCKETS = 8
+
 
 def _in_two_starts(df, order, name, start):
     """Run ``start(stream)`` twice on one target: over the first four files,
@@ -58,7 +61,7 @@ def _hashed_commits(spark, sf):
 def q_stream_dedup(spark, sf):
     c = _hashed_commits(spark, sf).drop("code_content")
     path = scratch_path(spark, "stream-store")
-    _in_two_starts(c, store.first_write_order(), "dedup", lambda s: P.stream_dedup(s, path))
+    _in_two_starts(c, store.first_write_order(), "dedup", lambda s: P.stream_dedup(s, path, buckets=BUCKETS))
     return P.read_store(spark, path, c.schema).select("commit_id", "commit_hash")
 
 
@@ -72,9 +75,8 @@ def q_stream_recent_log(spark, sf):
                  risk_percentage(F.round(F.greatest(F.lit(0.0), F.col("pattern_floor")), 4)).alias("risk_score"),
                  "created_at")
     store_path, log_root = scratch_path(spark, "stream-store"), scratch_path(spark, "stream-log")
-    _in_two_starts(c, store.first_write_order(), "recent-log", lambda s: P.stream_recent_log(s, store_path, log_root))
-    page = P.read_versioned(spark, log_root, c.schema)
-    return store.latest_per_user(page)
+    _in_two_starts(c, store.first_write_order(), "recent-log", lambda s: P.stream_recent_log(s, store_path, log_root, buckets=BUCKETS))
+    return P.read_pages(spark, log_root)
 
 
 _RT_SESSION = FLOW_CTES["_rt"].replace("OVER (ORDER BY", "OVER (PARTITION BY user_id ORDER BY")
@@ -87,7 +89,7 @@ _BUDGET_CTES = {**FLOW_CTES, "_rt": _RT_SESSION}
 def q_stream_budget(spark, sf):
     s = analyze.routing_table(_hashed_commits(spark, sf))
     out = scratch_path(spark, "stream-budget")
-    _in_two_starts(s, [routing.order_key("created_at", "commit_id")], "budget", lambda x: P.stream_budget(x, out))
+    _in_two_starts(s, [routing.order_key("created_at", "commit_id")], "budget", lambda x: P.stream_budget(x, out, buckets=BUCKETS))
     return P.read_store(spark, out, T._parse_datatype_string(P.BUDGET_SCHEMA))
 
 
@@ -103,7 +105,7 @@ def q_stream_learn(spark, sf):
     micro-batches)."""
     t = fx.training_raw(spark, sf).select("hash", "ord", "risk_score", "source")
     path, due = scratch_path(spark, "stream-learn"), []
-    _in_two_starts(t, [F.col("ord")], "learn", lambda s: due.extend(P.stream_learn(s, path, step=_LEARN_STEP)))
+    _in_two_starts(t, [F.col("ord")], "learn", lambda s: due.extend(P.stream_learn(s, path, step=_LEARN_STEP, buckets=BUCKETS)))
     if any(b // _LEARN_STEP <= a // _LEARN_STEP for a, b in zip([0] + due, due)):
         raise AssertionError(f"a fit was due without a crossing: {due}")
     return P.read_store(spark, path, t.schema)
@@ -114,7 +116,6 @@ def q_stream_ledger(spark, sf):
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
     log = ledger.accepted_calls(fx.ledger_calls(spark, sf), ts_col=ts)
     root = scratch_path(spark, "stream-ledger")
-    _in_two_starts(log, [F.col("seq")], "ledger", lambda s: P.stream_ledger(s, root))
-    cur = P.read_versioned(spark, root, ledger.ledger_current(log).schema)
-    return cur.select("commit_hash", "seq", "risk_score", "status", "submitter", "ts")
+    _in_two_starts(log, [F.col("seq")], "ledger", lambda s: P.stream_ledger(s, root, buckets=BUCKETS))
+    return P.read_ledger(spark, root).select("commit_hash", "seq", "risk_score", "status", "submitter", "ts")
 

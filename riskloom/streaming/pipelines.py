@@ -2,19 +2,17 @@
 
 * ``stream_scan``: stateless per-row scoring; the same columns as batch.
 * ``stream_dedup``: first write wins on ``commit_hash`` against the commit
-  store itself (``foreachBatch``: keep-first inside the micro-batch, anti
-  join with the stored hashes, append).  The store is the state, so the
-  dedup horizon is unbounded and exact, and a replayed micro-batch (after a
-  lost executor or driver restart) inserts nothing twice.
-* ``stream_recent_log``: the audit page (newest 50 per user) kept as a
-  small versioned table, upserted per micro-batch.
-* ``stream_budget``: the reviewer call counter per session, a small versioned
-  table (one row per session) that each micro-batch continues.
-* ``stream_ledger``: current state per hash from the call feed (streaming
-  ``max_by`` aggregate in update mode, merged into a versioned table).
-* ``stream_learn``: verdicts appended to the training store per
-  micro-batch; a retrain is due when the store size crosses a multiple of
-  ``RETRAIN_STEP``.
+  store itself, a keyed table (``operators.keyed_store``).  The store is the
+  state, so the dedup horizon is unbounded and exact.
+* ``stream_recent_log``: the audit page (newest 50 per user), keyed by owner.
+* ``stream_budget``: the reviewer call counter per session, keyed by session.
+* ``stream_ledger``: current record per hash from the call feed, keyed by hash.
+* ``stream_learn``: verdicts appended to the training store, keyed by hash; a
+  retrain is due when its size crosses a multiple of ``RETRAIN_STEP``.
+
+What a micro-batch of a keyed job writes is of the size of the batch, what it
+reads are the buckets of its own keys, and a batch that is replayed after a lost
+executor or a restarted driver is known by its number and changes nothing.
 
 Every job can be started again on its target: the checkpoint stands beside
 the target (``<target>.checkpoint`` unless the caller names another), so a
@@ -33,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.catalog import CALL_BUDGET, LOG_PAGE, RETRAIN_STEP, SAMPLING_RATE
-from ..operators import routing, store, training
+from ..operators import ledger, routing, store
+from ..operators.keyed_store import KeyedTable, insert_new
 from ..session import path_exists
 
 # ------------------------------------------------------------------ source
@@ -95,9 +94,11 @@ def stream_scan(stream: DataFrame, transform, out_path: str, checkpoint: str | N
 
 
 def read_store(spark: SparkSession, store_path: str, schema, exclude_batch: int | None = None) -> DataFrame:
-    """A store kept as one folder per micro-batch (``b=<id>``)."""
+    """A store kept as a keyed table, or as one folder per micro-batch (``b=<id>``)."""
     if not path_exists(spark, store_path):
         return spark.createDataFrame([], schema)
+    if path_exists(spark, os.path.join(store_path, "spec.json")):
+        return KeyedTable(spark, store_path).read().select(*schema.names)
     full = T.StructType(list(schema.fields) + [T.StructField("b", T.LongType())])
     d = spark.read.schema(full).parquet(store_path)
     if exclude_batch is not None:
@@ -113,59 +114,56 @@ def append_batch(spark: SparkSession, rows: DataFrame, store_path: str, batch_id
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def stream_dedup(stream: DataFrame, store_path: str, checkpoint: str | None = None) -> None:
-    """First write per ``commit_hash`` into the store at ``store_path``.
-    The anti join reads every earlier batch's folder, never this batch's, so
-    a replay after a failure computes the same rows again."""
-    spark = stream.sparkSession
-    schema = stream.schema
+def stream_dedup(stream: DataFrame, store_path: str, checkpoint: str | None = None, buckets: int | None = None) -> None:
+    """First write per ``commit_hash`` into the keyed table at ``store_path``.
+    A micro-batch reads the hashes of the buckets that its own hashes fall into
+    and moves nothing that is stored; a batch that is there already is skipped."""
+    table = KeyedTable.open(stream.sparkSession, store_path, stream.schema, "commit_hash", buckets)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        current = read_store(spark, store_path, schema, exclude_batch=batch_id)
-        append_batch(spark, store.new_rows(current, batch).select(*schema.names), store_path, batch_id)
+        insert_new(table, batch, store.first_write_order(), "dedup", batch_id)
+        tidy(table)
 
     run_available(stream.writeStream.foreachBatch(save), store_path, checkpoint)
 
 
-def _latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    vs = [st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("v=")]
-    vs = [v for v in vs if before is None or int(v[2:]) < before]
-    done = [v for v in vs if fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(root, v, "_SUCCESS")))]
-    return os.path.join(root, max(done, key=lambda v: int(v[2:]))) if done else None
-
-
-def read_versioned(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
-    """The newest complete version of a versioned table (empty if none);
-    ``before``: only versions written by earlier micro-batches, so that a
-    replayed batch starts from the same state."""
-    v = _latest_version(spark, root, before)
-    return spark.read.schema(schema).parquet(v) if v else spark.createDataFrame([], schema)
-
-
-def stream_recent_log(stream: DataFrame, store_path: str, log_root: str, k: int = LOG_PAGE, checkpoint: str | None = None) -> None:
-    """Store new first writes, then upsert the top-``k`` page per user.
-
-    Each micro-batch writes a new version ``v=<batch_id>`` of the page
-    table (at most ``k`` rows per user) from the previous version plus the
-    rows it stored; readers take the newest complete version."""
+def tidy(table: KeyedTable, reduce=None) -> None:
+    """Fold buckets of many small pieces; pieces that no recent version names go."""
+    table.compact(reduce)
+    table.vacuum()
+
+
+def stream_recent_log(stream: DataFrame, store_path: str, log_root: str, k: int = LOG_PAGE, checkpoint: str | None = None,
+                      buckets: int | None = None) -> None:
+    """Store new first writes, and keep the top-``k`` page per user.
+
+    Both are keyed tables, the pages by owner.  A micro-batch adds to the pages no
+    more than the first ``k`` of its own rows of each owner; pieces that gather in
+    a bucket are folded to ``k`` rows per owner now and then.  Readers take the
+    first ``k`` (``read_pages``)."""
     spark = stream.sparkSession
-    schema = stream.schema
+    stored = KeyedTable.open(spark, store_path, stream.schema, "commit_hash", buckets)
+    pages = KeyedTable.open(spark, log_root, stream.schema, "user_id", buckets)
+
+    def first_k(rows: DataFrame) -> DataFrame:
+        return store.top_k_per_group(rows, ["user_id"], store.log_order(), k)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        current = read_store(spark, store_path, schema, exclude_batch=batch_id)
-        added = append_batch(spark, store.new_rows(current, batch).select(*schema.names), store_path, batch_id)
-        prev = read_versioned(spark, log_root, schema, before=batch_id)
-        page = store.top_k_per_group(prev.unionByName(added), ["user_id"], store.log_order(), k)
-        page.write.mode("overwrite").parquet(os.path.join(log_root, f"v={batch_id}"))
+        added = insert_new(stored, batch, store.first_write_order(), "recent_log", batch_id)
+        if added is None:  # stored before a failure: its rows are still to be shown
+            added = stored.read(batch=stored.manifest()["streams"]["recent_log"]["batch"])
+        pages.append(first_k(added), "recent_log", batch_id)
+        tidy(pages, first_k)
+        tidy(stored)
 
     run_available(stream.writeStream.foreachBatch(save), log_root, checkpoint)
 
 
+def read_pages(spark: SparkSession, log_root: str, k: int = LOG_PAGE) -> DataFrame:
+    """The page of every owner (``log_rank`` 1 = newest), without an exchange."""
+    return store.latest_per_user(KeyedTable(spark, log_root).read(), k)
+
+
 # ------------------------------------------------------------------ budget
 
 
@@ -174,22 +172,28 @@ BUDGET_SCHEMA = ("commit_id long, user_id long, wants_review boolean, calls_befo
 
 
 def stream_budget(scored: DataFrame, out_path: str, session_col: str = "user_id", budget: int = CALL_BUDGET,
-                  rate: float = SAMPLING_RATE, trained: bool = True, checkpoint: str | None = None) -> None:
+                  rate: float = SAMPLING_RATE, trained: bool = True, checkpoint: str | None = None, buckets: int | None = None) -> None:
     """Route scored rows under a per-session call budget; rows of one session
     are counted in arrival order (time, then id) inside a micro-batch and after
     all earlier micro-batches.
 
     Only the first ``budget`` wanting rows of a session matter in a batch; they
     are found by a limit that works before the shuffle, so a session that sends
-    most rows never meets in one task.  Calls of earlier batches stand in a
-    table of one row per session, a version per batch."""
+    most rows never meets in one task.  Calls of earlier batches stand in a keyed
+    table of counts per session: a batch adds the counts of its own sessions and
+    reads the buckets of these."""
     spark = scored.sparkSession
     used_schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("used", T.LongType())])
-    counters = out_path.rstrip("/") + ".sessions"
+    counters = KeyedTable.open(spark, out_path.rstrip("/") + ".sessions", used_schema, "user_id", buckets)
+
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("user_id").agg(F.sum("used").alias("used"))
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        before = read_versioned(spark, counters, used_schema, before=batch_id)
+        if counters.committed("budget", batch_id):
+            return  # its rows were written before its counts
         rows = batch.withColumnRenamed(session_col, "user_id") if session_col != "user_id" else batch
+        before = total(counters.matching(rows))
         r = routing.route_llm(rows, "custom_score", trained=trained, budget=budget, rate=rate, session_col="user_id") \
             .join(before, "user_id", "left")
         calls = F.least(F.coalesce("used", F.lit(0)) + F.col("calls_before"), F.lit(budget)).cast("long")
@@ -197,8 +201,8 @@ def stream_budget(scored: DataFrame, out_path: str, session_col: str = "user_id"
         r = r.withColumn("llm_called", F.col("wants_review") & ~F.col("budget_exhausted")) \
             .withColumn("budget_used", F.least(F.col("calls_before") + F.col("llm_called").cast("long"), F.lit(budget)).cast("long"))
         done = append_batch(spark, r.select(*[c.split()[0] for c in BUDGET_SCHEMA.split(", ")]), out_path, batch_id)
-        now = before.unionByName(done.groupBy("user_id").agg(F.count_if("llm_called").cast("long").alias("used")))
-        now.groupBy("user_id").agg(F.sum("used").alias("used")).write.mode("overwrite").parquet(os.path.join(counters, f"v={batch_id}"))
+        counters.append(done.where("llm_called").groupBy("user_id").agg(F.count("*").alias("used")), "budget", batch_id)
+        tidy(counters, total)
 
     run_available(scored.writeStream.foreachBatch(route), out_path, checkpoint)
 
@@ -206,45 +210,49 @@ def stream_budget(scored: DataFrame, out_path: str, session_col: str = "user_id"
 # ------------------------------------------------------------------ ledger
 
 
-def stream_ledger(calls: DataFrame, current_root: str, checkpoint: str | None = None) -> None:
-    """Current record per hash: latest ``seq`` wins.  The streaming
-    aggregate emits changed hashes (update mode); each micro-batch merges
-    them into a new version of the current-state table."""
-    spark = calls.sparkSession
-    rec = F.struct(*[F.col(c) for c in calls.columns if c != "commit_hash"])
-    agg = calls.groupBy("commit_hash").agg(F.max_by(rec, F.col("seq")).alias("r")).select("commit_hash", "r.*")
+def stream_ledger(calls: DataFrame, current_root: str, checkpoint: str | None = None, buckets: int | None = None) -> None:
+    """Current record per hash: latest ``seq`` wins.  A micro-batch adds the latest
+    record of each of its own hashes to a keyed table; superseded records go when
+    a bucket is folded.  The stream itself keeps no state."""
+    table = KeyedTable.open(calls.sparkSession, current_root, calls.schema, "commit_hash", buckets)
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return ledger.ledger_current(rows).select(*table.columns)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        prev = read_versioned(spark, current_root, batch.schema, before=batch_id)
-        changed = append_batch(spark, batch, os.path.join(current_root, "changes"), batch_id)  # used twice: written once
-        upd = changed.unionByName(prev.join(changed.select("commit_hash"), "commit_hash", "left_anti"))
-        upd.write.mode("overwrite").parquet(os.path.join(current_root, f"v={batch_id}"))
+        table.append(latest(batch), "ledger", batch_id)
+        tidy(table, latest)
+
+    run_available(calls.writeStream.foreachBatch(merge), current_root, checkpoint)
+
 
-    run_available(agg.writeStream.outputMode("update").foreachBatch(merge), current_root, checkpoint)
+def read_ledger(spark: SparkSession, current_root: str) -> DataFrame:
+    """The current record per hash, without an exchange."""
+    return ledger.ledger_current(KeyedTable(spark, current_root).read())
 
 
 # ------------------------------------------------------------------- learn
 
 
 def stream_learn(verdicts: DataFrame, store_path: str, retrain=None, step: int = RETRAIN_STEP,
-                 checkpoint: str | None = None) -> list[int]:
-    """Append new labelled examples (hash not stored yet) per micro-batch;
-    when the store size crosses a multiple of ``step``, call
-    ``retrain(examples)``.  Returns the store sizes at which it retrained."""
-    spark = verdicts.sparkSession
-    schema = verdicts.schema
+                 checkpoint: str | None = None, buckets: int | None = None) -> list[int]:
+    """Append new labelled examples (hash not stored yet) per micro-batch to a
+    keyed table; when its size crosses a multiple of ``step``, call
+    ``retrain(examples)``.  Returns the sizes at which it retrained.  Sizes stand in
+    the table's manifest; a batch that is replayed after a failure retrains again if
+    it crossed a multiple, as the failure may have come before."""
+    table = KeyedTable.open(verdicts.sparkSession, store_path, verdicts.schema, "hash", buckets)
     retrained: list[int] = []
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        stored = read_store(spark, store_path, schema, exclude_batch=batch_id)
-        before = stored.count()
-        added = append_batch(spark, training.new_training_examples(stored, batch).select(*schema.names),
-                             store_path, batch_id)
-        after = before + added.count()
+        insert_new(table, batch, [F.col("ord").asc()], "learn", batch_id)
+        last = table.manifest()["streams"]["learn"]
+        after, before = last["rows"], last["rows"] - last["added"]
         if after // step > before // step:
             retrained.append(after)
             if retrain is not None:
-                retrain(read_store(spark, store_path, schema))
+                retrain(table.read())
+        tidy(table)
 
     run_available(verdicts.writeStream.foreachBatch(save), store_path, checkpoint)
     return retrained

@@ -52,7 +52,7 @@ def test_second_start_keeps_the_first_rows(spark):
         P.stream_budget(stream(), budget, budget=7)
     assert P.read_store(spark, store_path, d.schema).count() == 40
     assert spark.read.parquet(scan_path).count() == 40
-    assert P.read_versioned(spark, log, d.schema).count() == 40
+    assert P.read_pages(spark, log).count() == 40
     rows = spark.read.parquet(budget)
     assert rows.count() == 40 and {r.n for r in rows.where("llm_called").groupBy("user_id").agg(F.count("*").alias("n")).collect()} == {7}
 
