@@ -16,11 +16,12 @@ from ..functions.scalars import risk_percentage, risk_status
 from ..operators import ledger, routing, scan, store
 from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..streaming import event_time as E
 from ..streaming import pipelines as P
 from . import analyze
 from . import oracle as O
-from .q_flow import FLOW_CTES, ledger_sql
-from .registry import HASH, register, stored_sql
+from .q_flow import FLOW_CTES, SESSION_BUDGET, ledger_sql, routed_ctes
+from .registry import HASH, STORED_CTES, register, stored_sql
 
 #: Buckets of the keyed tables; the fixture is small.
 BUCKETS = 8
@@ -119,3 +120,36 @@ def q_stream_ledger(spark, sf):
     _in_two_starts(log, [F.col("seq")], "ledger", lambda s: P.stream_ledger(s, root, buckets=BUCKETS))
     return P.read_ledger(spark, root).select("commit_hash", "seq", "risk_score", "status", "submitter", "ts")
 
+
+
+_HORIZON = "40 minutes"
+
+
+@register("stream_dedup_within", O.with_views(
+    "SELECT commit_hash, CAST(1 AS BIGINT) AS n_rows FROM _base WHERE created_at IS NOT NULL GROUP BY commit_hash "
+    "HAVING max(created_at) - min(created_at) <= INTERVAL 40 MINUTE", "commits", extra=STORED_CTES))
+def q_stream_dedup_within(spark, sf):
+    """Rows kept of every hash whose copies all lie within the horizon.  A tenth of
+    the rows come 15 minutes late, an eighth come twice, and at the very end the
+    rows of the first quarter come again, when their state is long gone."""
+    c = _hashed_commits(spark, sf).where("created_at IS NOT NULL").select("commit_id", "commit_hash", "created_at")
+    quarter = F.lit(c.count() // 4)
+    i = F.col("commit_id")
+    arrival = [F.when(i % 10 == 3, i + 15).otherwise(i), F.when(i % 8 == 0, i + 5), F.when(i < quarter, F.lit(1 << 40))]
+    sent = c.withColumn("arrival", F.explode(F.array_compact(F.array(*[a.cast("long") for a in arrival]))))
+    out = scratch_path(spark, "stream-within")
+    _in_two_starts(sent, [F.col("arrival"), i], "within", lambda s: E.stream_dedup_within(s, out, _HORIZON))
+    near = c.groupBy("commit_hash").agg((F.max("created_at") - F.min("created_at")).alias("span")).where(f"span <= interval {_HORIZON}")
+    return spark.read.parquet(out).groupBy("commit_hash").agg(F.count("*").alias("n_rows")).join(near.select("commit_hash"), "commit_hash")
+
+
+@register("stream_sessions", O.with_views(
+    "SELECT commit_id, user_id, wants AS wants_review, calls_before, budget_exhausted, llm_called, budget_used FROM _routed "
+    "WHERE created_at IS NOT NULL", "commits", extra=routed_ctes(SESSION_BUDGET, session=True)))
+def q_stream_sessions(spark, sf):
+    """A budget for each owner as keyed state; owners fall silent and their state goes."""
+    s = analyze.routing_table(_hashed_commits(spark, sf))
+    out = scratch_path(spark, "stream-sessions")
+    _in_two_starts(s, [routing.order_key("created_at", "commit_id")], "sessions",
+                   lambda x: E.stream_sessions(x, out, "3 hours", budget=SESSION_BUDGET))
+    return spark.read.schema(P.BUDGET_SCHEMA).parquet(out)
