@@ -119,9 +119,8 @@ def prepare(examples: DataFrame, code_col: str = "code", label_col: str = "risk_
     ``max_examples`` bounds the labelled rows of a fit (a parameter; scoring has no bound)."""
     checkpoint_root(examples.sparkSession)  # boosting cuts its lineage there
     examples = materialize(bounded_examples(examples, max_examples, id_col).select(id_col, code_col, label_col), "examples")
-    counts = materialize(tm.ngram_counts(examples, id_col, code_col), "counts")
     n = examples.count()
-    vocab = materialize(tm.vocab_topk(tm.term_stats(counts, id_col), n, VOCAB_SIZE).select("term", "idx", "idf", "tf", "df"), "vocab")
+    vocab, counts = tm.vocabulary(examples, n, id_col, code_col, VOCAB_SIZE)
     n_terms = vocab.count()
     fr = feature_ranges(with_features(examples, code_col)).first()
     ranges = {c: (float(fr[f"min_{c}"]), float(fr[f"max_{c}"])) for c in FEATURE_NAMES} if n else {}

@@ -6,6 +6,8 @@
 * ``term_stats`` / ``vocab_topk``: corpus tf and df per term, the
   ``VOCAB_SIZE`` most frequent terms (a bounded top-k), indexed in term
   order;
+* ``vocabulary``: the same terms without a table of all n-grams, by a sketch
+  that bounds every term's frequency and an exact count of the candidates;
 * ``tfidf_vectors``: sublinear tf x smoothed idf, L2-normalised per doc.
   The vocabulary join is a broadcast of at most ``VOCAB_SIZE`` rows.
 """
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import NGRAM_MAX, VOCAB_SIZE
 from ..functions.features import ngrams, normalize_code, tokens
+from ..session import materialize
+
+#: Cells of the sketch: what a map task sends at most, and a broadcast of at most 4 MB.
+SKETCH_CELLS = 1 << 20
 
 
 def ngram_counts(df: DataFrame, id_col: str, code_col: str = "code", n_max: int = NGRAM_MAX) -> DataFrame:
@@ -57,6 +63,40 @@ def vocab_topk(stats: DataFrame, n_docs, k: int = VOCAB_SIZE) -> DataFrame:
                       (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
 
+def _hashed_grams(df: DataFrame, id_col: str, code_col: str, width: int, n_max: int = NGRAM_MAX) -> DataFrame:
+    """(id, term, cell) for every n-gram of the normalised code."""
+    toks = df.select(F.col(id_col), tokens(normalize_code(F.col(code_col))).alias("_tk"))
+    grams = toks.select(F.col(id_col), F.explode_outer(ngrams(F.col("_tk"), n_max)).alias("term")).where(F.col("term").isNotNull())
+    return grams.withColumn("cell", F.pmod(F.xxhash64("term"), F.lit(width)).cast("int"))
+
+
+def vocabulary(df: DataFrame, n_docs, id_col: str, code_col: str = "code", k: int = VOCAB_SIZE,
+               width: int = SKETCH_CELLS) -> tuple[DataFrame, DataFrame]:
+    """(vocab, counts): what ``vocab_topk`` over all n-grams gives, and
+    (id, term, tf, idx, idf) of its terms, both stored.
+
+    The sketch adds the n-grams of all documents up in ``width`` cells, which a map
+    task collapses to at most ``width`` numbers; a cell's sum is no smaller than the
+    frequency of any term in it.  Terms of cells with at least ``least``
+    occurrences are counted exactly.  If the k-th of these occurs ``least`` times or
+    more, no term outside can be among the first k; otherwise its frequency is
+    the next ``least``, which the second round cannot miss."""
+    sketch = materialize(_hashed_grams(df, id_col, code_col, width).groupBy("cell").agg(F.count("*").alias("n")), "sketch")
+    best = sketch.orderBy(F.desc("n"), "cell").limit(2 * k).agg(F.count("*"), F.min("n")).first()
+    least = best[1] if best[0] == 2 * k else 1
+    while True:
+        # at most one row per cell
+        heavy = F.broadcast(sketch.where(F.col("n") >= least).select("cell"))
+        counts = _hashed_grams(df, id_col, code_col, width).join(heavy, "cell").groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+        counts = materialize(counts, "candidates")
+        vocab = materialize(vocab_topk(term_stats(counts, id_col), n_docs, k), "vocab")
+        n, fewest = vocab.agg(F.count("*"), F.min("tf")).first()
+        if least <= 1 or (n == k and fewest >= least):
+            break
+        least = fewest if n == k else 1
+    return vocab, counts.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")  # at most VOCAB_SIZE rows
+
+
 def _with_idf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Counts with idx and idf: looked up in the vocabulary unless they hold them."""
     if "idx" in counts.columns:

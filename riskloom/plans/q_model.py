@@ -196,13 +196,11 @@ def _counts(spark, sf):
 
 
 def _tfidf_parts(spark, sf):
-    """(counts, vocab): the vocabulary first (at most ``VOCAB_SIZE`` rows,
-    written), then only its terms are counted per document, so the table of
-    all n-grams, larger than the text, is never stored."""
-    ex = examples(spark, sf)
-    n = ex.select(F.count("*")).scalar()
-    vocab = materialize(tm.vocab_topk(tm.term_stats(tm.ngram_counts(ex, "hash", "code"), "hash"), n), "vocab")
-    return tm.vocab_counts(ex, vocab, "hash", "code"), vocab
+    """(counts, vocab): the vocabulary by a sketch and an exact count of its
+    candidates, so a table of all n-grams, larger than the text, neither moves nor is stored."""
+    ex = materialize(examples(spark, sf).select("hash", "code"), "examples")  # read in each of the passes
+    vocab, counts = tm.vocabulary(ex, ex.count(), "hash")
+    return counts, vocab
 
 
 def _vocab(spark, sf):
