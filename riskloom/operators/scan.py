@@ -6,12 +6,18 @@ parallelises with the input splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.catalog import categories_a, rules_a
 from ..functions.scalars import commit_hash
+from ..session import materialize
+
+#: Bits of a filter of ids: 8 MB at most, in every task.
+MOST_BITS = 1 << 26
 
 
 def with_commit_hash(df: DataFrame, code_col: str = "code_content") -> DataFrame:
@@ -70,3 +76,43 @@ def with_pattern_floor(df: DataFrame, code_col: str = "code_content") -> DataFra
 def with_rule_summary_b(df: DataFrame, code_col: str = "code_content") -> DataFrame:
     hits, sev = rules.rule_summary_b(F.col(code_col))
     return df.select("*", hits.cast("long").alias("hit_count"), sev.alias("max_severity"))
+
+
+def id_filter(ids: DataFrame, n: int, id_col: str, most_bits: int = MOST_BITS) -> Callable[[Column], Column]:
+    """Whether an id may be one of ``ids``: never false for one that is.  A bitmap
+    of hashed ids, 16 bits for each up to ``most_bits``; beyond, more others pass."""
+    bits = 1 << 10
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+
+    def spot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    words = ids.select(spot(F.col(id_col)).alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
+    every = ids.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    bitmap = materialize(every.select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")), "bitmap") \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
+
+    def may_be(c: Column) -> Column:
+        word = F.get(bitmap.scalar(), F.floor(spot(c) / 64).cast("int"))
+        return F.call_function("shiftright", word, (spot(c) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may_be
+
+
+def once_per_hash(df: DataFrame, find: Callable[[DataFrame], DataFrame], id_col: str = "commit_id", code_col: str = "code_content",
+                  most_bits: int = MOST_BITS) -> DataFrame:
+    """``find(df)``, a table of findings by ``id_col``, with the work done once for
+    all rows of equal code.
+
+    Ids and hashes come first.  The smallest id of a hash stands for its rows, and
+    a filter of these ids, of bounded size, goes into the scan; the text stays there.
+    Findings are joined to the rows they stand for, which also drops those of ids
+    that passed the filter for nothing.  Ids are not null and differ."""
+    named = materialize(df.select(id_col, commit_hash(F.col(code_col)).alias("_hash")).where("_hash is not null"), "ids")
+    first = materialize(named.groupBy("_hash").agg(F.min(id_col).alias("_first")), "first")
+    n = first.count()
+    found = find(df.where(id_filter(first, n, "_first", most_bits)(F.col(id_col)))).withColumnRenamed(id_col, "_first")
+    members = named.join(first, "_hash").select(id_col, "_first")
+    return members.join(found, "_first").select(id_col, *[c for c in found.columns if c != "_first"])

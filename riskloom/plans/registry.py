@@ -125,6 +125,15 @@ def q_rule_hits(spark, sf):
                     F.array_join("matches", NL).alias("matches_text"))
 
 
+@register("rule_hits_once", _rule_hits_sql())
+def q_rule_hits_once(spark, sf):
+    """The same table with every distinct text scanned once."""
+    h = scan.once_per_hash(fx.commits(spark, sf), lambda d: scan.rule_hits(d, ["commit_id"]))
+    return h.select("commit_id", "category", "severity", F.col("pat_ord").cast("long").alias("pat_ord"),
+                    F.size("matches").cast("long").alias("n_matches"),
+                    F.array_join("matches", NL).alias("matches_text"))
+
+
 @register("pattern_floor", O.with_views(
     f"SELECT commit_id, {O.floor_sql('code_content')} AS pattern_floor FROM commits", "commits"))
 def q_pattern_floor(spark, sf):
