@@ -46,6 +46,8 @@ from ..session import materialize, path_exists
 LEAST_BUCKETS = 64
 #: Pieces of a bucket from which ``compact`` folds it.
 MOST_PIECES = 8
+#: Keys that go into a scan as a filter.
+MOST_LITERALS = 1000
 
 
 class ConcurrentWrite(RuntimeError):
@@ -66,7 +68,8 @@ class KeyedTable:
         self._seen = -1
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({fields}, piece string) USING parquet PARTITIONED BY (piece) "
-                  f"CLUSTERED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{self.root}/data'")
+                  f"OPTIONS ('parquet.bloom.filter.enabled#{self.key}' = 'true') CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) "
+                  f"INTO {self.buckets} BUCKETS LOCATION '{self.root}/data'")
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int | None = None) -> KeyedTable:
@@ -136,6 +139,18 @@ class KeyedTable:
         stored = self.read(self.buckets_of(keys))
         return stored.select(*(columns or self.columns)).join(keys.hint("shuffle_hash"), self.key, "left_semi")
 
+    def lookup(self, keys: DataFrame, *columns: str, most: int = MOST_LITERALS) -> DataFrame:
+        """Stored rows with a key of ``keys``.  Up to ``most`` different keys go
+        into the scan as a filter: it opens the files of their buckets, and in these
+        the row groups whose statistics and bloom filter admit a key.  More keys
+        are joined (``matching``)."""
+        few = [r[0] for r in keys.select(self.key).where(F.col(self.key).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(few) > most:
+            return self.matching(keys, *columns)
+        wanted = sorted({r[0] for r in self.spark.createDataFrame([(k,) for k in few], T.StructType([self.schema[self.key]]))
+                         .select(self.bucket_of()).collect()}) if few else []
+        return self.read(wanted).where(F.col(self.key).isin(few)).select(*(columns or self.columns))
+
     # --------------------------------------------------------------- writing
 
     def _write(self, rows: DataFrame) -> tuple[str, list[int]]:

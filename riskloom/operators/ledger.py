@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import ZERO_ADDRESS
 from ..session import path_exists
+from .keyed_store import KeyedTable
 from .store import ordinal_index
 
 
@@ -29,16 +30,45 @@ def accepted_calls(calls: DataFrame, ts_col=None) -> DataFrame:
     return ledger_valid(calls).select("seq", "commit_hash", "risk_score", "status", "submitter", ts.alias("ts"))
 
 
-def append_ledger_to(spark, path: str, calls: DataFrame, ts_col=None) -> None:
+#: Positions of one folder of the stored log.
+BLOCK_CALLS = 1 << 20
+
+
+def append_ledger_to(spark, path: str, calls: DataFrame, ts_col=None, block_calls: int = BLOCK_CALLS) -> None:
     """Validated append to the log stored at ``path``.  Accepted calls are
     numbered in the order of their own ``seq`` from where the stored log ends;
-    ``tx_id`` is a digest of a call's number, hash, score and status.  Single
-    writer per path."""
-    last = spark.read.parquet(path).agg(F.max("seq")).first()[0] if path_exists(spark, path) else None
+    ``tx_id`` is a digest of a call's number, hash, score and status.  The number
+    is a call's position for good, and the log lies in folders of ``block_calls``
+    positions (always the same for a log).  Single writer per path."""
+    last = read_log(spark, path).agg(F.max("seq")).first()[0] if path_exists(spark, path) else None
     start = 0 if last is None else last + 1
     new = ordinal_index(accepted_calls(calls, ts_col), "seq", "_place").withColumn("seq", F.col("_place") + F.lit(start)).drop("_place")
     digest = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "commit_hash", F.col("risk_score").cast("string"), "status"), 256)
-    new.withColumn("tx_id", F.concat(F.lit("0x"), digest)).write.mode("append").parquet(path)
+    new.withColumn("tx_id", F.concat(F.lit("0x"), digest)).withColumn("block", F.expr(f"seq div {block_calls}")) \
+        .write.mode("append").partitionBy("block").parquet(path)
+
+
+def read_log(spark, path: str, positions: DataFrame | None = None, block_calls: int = BLOCK_CALLS) -> DataFrame:
+    """The stored log, or the blocks that hold ``positions`` (ordinal) alone."""
+    log = spark.read.parquet(path)
+    if positions is not None:
+        blocks = positions.select(F.expr(f"ordinal div {block_calls}").alias("b")).distinct().collect()  # one number per block of the log at most
+        log = log.where(F.col("block").isin([r.b for r in blocks]))
+    return log.drop("block")
+
+
+def ledger_at(spark, path: str, current: KeyedTable, positions: DataFrame, block_calls: int = BLOCK_CALLS) -> DataFrame:
+    """Position -> hash -> the latest record of that hash, against the stored log
+    and the keyed table of records (``stream_ledger``'s, or ``record_calls``).
+    No position is counted out again: blocks of the asked positions are read,
+    then the buckets of their hashes."""
+    asked = read_log(spark, path, positions, block_calls).select(F.col("seq").alias("ordinal"), "commit_hash").join(positions.distinct(), "ordinal")
+    return asked.join(ledger_current(current.matching(asked)), "commit_hash")
+
+
+def record_calls(current: KeyedTable, log: DataFrame, stream: str | None = None, batch_id: int | None = None) -> None:
+    """Add the latest record of each hash of ``log`` to the keyed table."""
+    current.append(ledger_current(log).select(*current.columns), stream, batch_id)
 
 
 def ledger_current(log: DataFrame) -> DataFrame:

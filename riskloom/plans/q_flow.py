@@ -314,6 +314,19 @@ def q_commit_lookup(spark, sf):
     return store.commit_lookup(analyze.stored_commits(spark, sf), fx.detail_requests(spark, sf))
 
 
+@register("commit_lookup_stored", stored_sql(
+    "SELECT r.commit_id, r.requester_id, s.commit_id IS NOT NULL AS found, s.commit_hash, s.risk_score, s.status, "
+    "s.dlt_tx_hash, s.created_at AS timestamp FROM detail_requests r LEFT JOIN stored s "
+    "ON r.commit_id = s.commit_id AND r.requester_id = s.user_id", "detail_requests"))
+def q_commit_lookup_stored(spark, sf):
+    """The same details from a table keyed by id: the requests move, the table does not."""
+    st = analyze.stored_commits(spark, sf)
+    table = KeyedTable.open(spark, scratch_path(spark, "details"), st.schema, "commit_id", BUCKETS)
+    table.append(st)
+    asked = fx.detail_requests(spark, sf)
+    return store.commit_lookup(table.lookup(asked), asked)
+
+
 # ---------------------------------------------------- object store sinks
 
 
@@ -398,6 +411,7 @@ LEDGER_CTES = {
     "_log": f"SELECT seq, commit_hash, risk_score, status, submitter, {_LEDGER_TS} AS ts FROM ledger_calls WHERE {_VALID}",
     "_cur": ("SELECT commit_hash, seq, risk_score, status, submitter, ts FROM (SELECT *, row_number() OVER "
              "(PARTITION BY commit_hash ORDER BY seq DESC) AS rn FROM _log) WHERE rn = 1"),
+    "_placed": "SELECT *, row_number() OVER (ORDER BY seq % 2, seq) - 1 AS spot FROM _log",
     "_ord": "SELECT seq, commit_hash, CAST(row_number() OVER (ORDER BY seq) - 1 AS BIGINT) AS ordinal FROM _log",
 }
 
@@ -414,6 +428,10 @@ def _log(spark, sf):
 _SEQ2 = "(SELECT count(*) FROM _log WHERE seq % 2 = 0) + row_number() OVER (ORDER BY seq) - 1"
 
 
+#: Calls of a block of the stored log; the fixture is small.
+LEDGER_BLOCK = 256
+
+
 @register("append_ledger", ledger_sql(
     "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, commit_hash, risk_score, status, submitter, ts, "
     "concat('0x', sha256(concat_ws('|', CAST(row_number() OVER (ORDER BY seq) - 1 AS VARCHAR), commit_hash, CAST(risk_score AS VARCHAR), status))) "
@@ -425,8 +443,8 @@ def q_append_ledger(spark, sf):
     ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
     calls, path = fx.ledger_calls(spark, sf), scratch_path(spark, "ledger")
     for part in ("seq % 2 = 0", "seq % 2 <> 0"):
-        ledger.append_ledger_to(spark, path, calls.where(part), ts)
-    return spark.read.parquet(path)
+        ledger.append_ledger_to(spark, path, calls.where(part), ts, block_calls=LEDGER_BLOCK)
+    return ledger.read_log(spark, path)
 
 
 @register("ledger_valid", ledger_sql(f"SELECT seq, ({_VALID}) AS valid FROM ledger_calls"))
@@ -457,6 +475,24 @@ def q_ledger_by_index(spark, sf):
                                                           "submitter", "ts")
 
 
+@register("ledger_by_index_stored", ledger_sql(
+    "SELECT o.spot AS ordinal, commit_hash, o2.spot AS seq, o2.risk_score, o2.status, o2.submitter, o2.ts FROM _placed o JOIN "
+    "(SELECT * FROM _placed QUALIFY row_number() OVER (PARTITION BY commit_hash ORDER BY spot DESC) = 1) o2 USING (commit_hash) "
+    "WHERE o.spot % 2 = 0"))
+def q_ledger_by_index_stored(spark, sf):
+    """Every second position of a log of two appends, through blocks and buckets."""
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq)")
+    calls, path = fx.ledger_calls(spark, sf), scratch_path(spark, "ledger")
+    for part in ("seq % 2 = 0", "seq % 2 <> 0"):
+        ledger.append_ledger_to(spark, path, calls.where(part), ts, block_calls=LEDGER_BLOCK)
+    log = ledger.read_log(spark, path).drop("tx_id")
+    current = KeyedTable.open(spark, scratch_path(spark, "ledger-current"), log.schema, "commit_hash", BUCKETS)
+    ledger.record_calls(current, log)
+    positions = log.select(F.col("seq").alias("ordinal")).where("ordinal % 2 = 0")
+    return ledger.ledger_at(spark, path, current, positions, LEDGER_BLOCK) \
+        .select("ordinal", "commit_hash", "seq", "risk_score", "status", "submitter", "ts")
+
+
 _REQ_SQL = (f"SELECT DISTINCT {HASH} AS commit_hash FROM commits UNION "
             "SELECT DISTINCT substr(sha256(text), 1, 16) FROM documents")
 

@@ -184,3 +184,58 @@ def test_streams_write_what_their_batches_hold(spark):
     got = {r.commit_hash: r.seq for r in P.read_ledger(spark, root).collect()}
     want = {r.commit_hash: r.seq for r in calls.groupBy("commit_hash").agg(F.max("seq").alias("seq")).collect()}
     assert got == want and not exchanges(P.read_ledger(spark, root))
+
+
+def metrics(df):
+    """Metrics of the scans of a plan that has run, AQE's final plan included."""
+    df.collect()
+    found, stack = [], [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            stack.append(node.executedPlan())
+            continue
+        if "Scan parquet" in node.nodeName():
+            found.append({n: node.metrics().apply(n).value() for n in ("numFiles", "numOutputRows")})
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_lookup_opens_the_files_of_its_keys(spark):
+    t = opened(spark, buckets=32)
+    K.insert_new(t, rows(spark, range(20_000)), store.first_write_order())
+    few = rows(spark, [5, 77, 500_000])
+    found = t.lookup(few)
+    assert sorted(r.commit_id for r in found.collect()) == [5, 77]
+    scans = metrics(t.lookup(few))
+    assert len(scans) == 1 and scans[0]["numFiles"] <= 3 and scans[0]["numOutputRows"] <= 20_000 * 3 / 32 * 1.5
+    assert not exchanges(found) and "PushedFilters: [In(commit_hash" in plan(found)
+    # an unknown key of a known bucket: the bloom filter shuts the row group
+    misses = [f"x{k}" for k in range(8)]
+    asked = spark.createDataFrame([(m,) for m in misses], "commit_hash string")
+    assert metrics(t.lookup(asked))[0]["numOutputRows"] <= 20_000 / 32 * 3
+    more = t.lookup(rows(spark, range(100)), "commit_hash", most=10)
+    assert more.count() == 100 and "LeftSemi" in plan(more)
+    assert t.lookup(rows(spark, [])).count() == 0
+
+
+def test_positions_read_their_blocks(spark):
+    from riskloom.operators import ledger
+
+    calls = spark.range(1000).select(F.col("id").alias("seq"), F.concat(F.lit("h"), (F.col("id") % 90).cast("string")).alias("commit_hash"),
+                                     (F.col("id") % 120).cast("int").alias("risk_score"), F.lit("Accepted").alias("status"), F.lit("0x1").alias("submitter"))
+    path, ts = scratch_path(spark, "t-log"), F.lit("2024-01-01").cast("timestamp_ntz")
+    for part in ("seq < 400", "seq >= 400"):
+        ledger.append_ledger_to(spark, path, calls.where(part), ts, block_calls=64)
+    log = ledger.read_log(spark, path)
+    n = log.count()
+    assert [r.seq for r in log.orderBy("seq").collect()] == list(range(n)) and "block" not in log.columns
+    current = K.KeyedTable.open(spark, scratch_path(spark, "t-cur"), log.schema, "commit_hash", 8)
+    for step in (0, 1):
+        ledger.record_calls(current, log.where(f"seq % 2 = {step}"))
+    positions = spark.createDataFrame([(3,), (3,), (200,), (10**6,)], "ordinal long")
+    found = ledger.ledger_at(spark, path, current, positions, 64)
+    text = plan(found)
+    assert "Window" not in text and "PartitionFilters: [isnotnull(block" in text or "PartitionFilters: [block" in text
+    want = {r.ordinal: r.seq for r in ledger.ledger_by_index(log).where("ordinal in (3, 200)").collect()}
+    assert {r.ordinal: r.seq for r in found.collect()} == want and len(want) == 2
