@@ -12,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import catalog as K
+from ..functions.features import with_features
 from ..functions.scalars import risk_percentage, risk_status
 from ..operators import ledger, routing, scan, store
 from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources.tables import read_table
 from ..streaming import event_time as E
 from ..streaming import pipelines as P
+from ..streaming import refit as R
 from . import analyze
 from . import oracle as O
 from .q_flow import FLOW_CTES, SESSION_BUDGET, ledger_sql, routed_ctes
@@ -153,3 +157,30 @@ def q_stream_sessions(spark, sf):
     _in_two_starts(s, [routing.order_key("created_at", "commit_id")], "sessions",
                    lambda x: E.stream_sessions(x, out, "3 hours", budget=SESSION_BUDGET))
     return spark.read.schema(P.BUDGET_SCHEMA).parquet(out)
+
+
+_SMALL_FIT = {**K.GBT_PARAMS, "maxIter": 3, "maxDepth": 2}
+
+
+@register("stream_refit", O.with_views(
+    "SELECT commit_id, CASE WHEN commit_id < (SELECT count(*) FROM documents) // 2 THEN (SELECT count(DISTINCT hash) FROM training_raw "
+    "WHERE ord < (SELECT count(*) FROM documents) // 2) ELSE (SELECT count(DISTINCT hash) FROM training_raw) END AS model_version, "
+    "true AS at_least_floor FROM commits", "commits", "training_raw"))
+def q_stream_refit(spark, sf):
+    """Half of the examples, a fit, half of the commits scored; then, all jobs started
+    anew, the other halves.  The version that scored each commit is the number of
+    examples of its fit."""
+    t = fx.training_raw(spark, sf).select("hash", "ord", "code", "risk_score", "source")
+    c = fx.commits(spark, sf).select("commit_id", "code_content")
+    half = F.lit(read_table(spark, sf, "documents").count() // 2)
+    learn_src, score_src, store_path, out = (scratch_path(spark, f"refit-{n}") for n in ("examples", "commits", "store", "scores"))
+    models = R.ModelStore(spark, scratch_path(spark, "refit-models"))
+    for first in (True, False):
+        for rows, key, src in ((t, "ord", learn_src), (c, "commit_id", score_src)):
+            rows.where((F.col(key) < half) == F.lit(first)).coalesce(1).write.mode("append").parquet(src)
+        R.stream_refit(P.read_stream(spark, learn_src, t.schema), store_path, models, step=1, params=_SMALL_FIT, buckets=BUCKETS)
+        R.stream_score(P.read_stream(spark, score_src, c.schema), out, models)
+    scores = P.read_store(spark, out, T._parse_datatype_string("commit_id long, model_version long, model_score double"))
+    floor = with_features(c, "code_content").select("commit_id", "f_max_severity")
+    return scores.join(floor, "commit_id").select(
+        "commit_id", "model_version", (F.col("model_score") >= F.round(F.least("f_max_severity", F.lit(1.0)), 4)).alias("at_least_floor"))
