@@ -10,6 +10,7 @@ scaled features, so it stays inside Spark's generated code.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from ..functions.catalog import GBT_PARAMS, MIN_TRAIN_SAMPLES, MODEL_VERSION, VO
 from ..functions.features import FEATURE_NAMES, with_features
 from ..session import checkpoint_root, materialize, path_exists, scratch_path
 from . import text_model as tm
+from .training import kfold_assign
 
 ID = "hash"
 #: Labelled rows that one fit takes at most, and rows of a partition while fitting.
@@ -141,16 +143,21 @@ def fit(matrix: DataFrame, rows: int, params: dict | None = None):
 
 
 def train_model(examples: DataFrame, force: bool = False, params: dict | None = None, code_col: str = "code",
-                label_col: str = "risk_score", id_col: str = ID, max_examples: int = MAX_FIT_EXAMPLES):
+                label_col: str = "risk_score", id_col: str = ID, max_examples: int = MAX_FIT_EXAMPLES, order_col: str | None = None):
     """Fit on all examples (up to ``max_examples``); fewer than
-    MIN_TRAIN_SAMPLES without ``force`` returns (None, skipped-status)."""
+    MIN_TRAIN_SAMPLES without ``force`` returns (None, skipped-status).  With an
+    ``order_col`` the statistics hold the cross-validated ``mae`` of contiguous
+    folds in that order, which takes a further fit per fold."""
     n = examples.count()
     if n < MIN_TRAIN_SAMPLES and not force:
         return None, {"status": "skipped", "reason": f"Only {n} samples — need at least {MIN_TRAIN_SAMPLES}",
                       "sample_count": n}
     p = prepare(examples, code_col, label_col, id_col, max_examples)
-    model = RiskModel(p.vocab, p.n_terms, p.ranges, fit(p.matrix, p.sample_count, params),
-                      {"sample_count": p.sample_count, "version": MODEL_VERSION})
+    stats = {"sample_count": p.sample_count, "version": MODEL_VERSION, "trained_at": datetime.now(timezone.utc).replace(tzinfo=None).isoformat()}
+    if order_col is not None:
+        folds = kfold_assign(examples.join(p.matrix.select(id_col), id_col, "left_semi"), p.sample_count, order_col)
+        stats["mae"] = round(cv_mae(p, folds, params, id_col)[1], 4)
+    model = RiskModel(p.vocab, p.n_terms, p.ranges, fit(p.matrix, p.sample_count, params), stats)
     return model, {"status": "trained", **model.stats}
 
 
@@ -258,6 +265,17 @@ def cv_mae(prepared: Prepared, folds: DataFrame, params: dict | None = None, id_
     return k, float(sum(maes) / len(maes))
 
 
+def mean_mae(prepared: Prepared, folds: DataFrame, id_col: str = ID) -> float:
+    """The MAE over the same folds of a predictor that knows the mean label of the
+    other folds alone: what a fit has to beat."""
+    x = prepared.matrix.select(id_col, "label").join(folds.select(id_col, "fold"), id_col)
+    per = x.groupBy("fold").agg(F.sum("label").alias("s"), F.count("*").alias("n"))  # one row per fold
+    total = per.agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    rest = per.crossJoin(total.toDF("all_s", "all_n")).select("fold", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).alias("mean"))
+    errors = x.join(F.broadcast(rest), "fold").groupBy("fold").agg(F.avg(F.abs(F.col("label") - F.col("mean"))).alias("mae"))
+    return float(errors.agg(F.avg("mae")).first()[0])
+
+
 def save_model(model: RiskModel, path: str) -> None:
     import json
     import os

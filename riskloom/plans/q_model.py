@@ -298,22 +298,30 @@ def q_train_model(spark, sf):
         "status string, sample_count long, n_terms long, n_trees long, version string")
 
 
-@register("model_score", O.with_views("SELECT commit_id, true AS in_range, true AS at_least_floor FROM commits", "commits"))
+@register("model_score", O.with_views("SELECT commit_id, true AS in_range, true AS at_least_floor, true AS same_as_trees FROM commits", "commits"))
 def q_model_score(spark, sf):
-    """Every commit's score lies in [0, 1] and is not below the catalog-B floor."""
+    """Every commit's score lies in [0, 1], is not below the catalog-B floor, and comes
+    out of the same trees when the library that fitted them is asked."""
     model, _ = trained_model(spark, sf)
     c = fx.commits(spark, sf)
-    s = M.model_score(model, c).join(with_features(c).select("commit_id", "f_max_severity"), "commit_id")
+    matrix = M.design_matrix(c, model.vocab, model.n_terms, model.ranges, "code_content", "commit_id")
+    asked = model.gbt.transform(matrix).select("commit_id", "prediction")
+    s = M.model_score(model, c).join(with_features(c).select("commit_id", "f_max_severity"), "commit_id").join(asked, "commit_id")
     return s.select("commit_id", F.col("model_score").between(0.0, 1.0).alias("in_range"),
-                    (F.col("model_score") >= F.round(F.least("f_max_severity", F.lit(1.0)), 4)).alias("at_least_floor"))
+                    (F.col("model_score") >= F.round(F.least("f_max_severity", F.lit(1.0)), 4)).alias("at_least_floor"),
+                    (F.abs(F.col("raw_score") - F.col("prediction")) < 1e-9).alias("same_as_trees"))
 
 
 @register("cv_mae", text_sql(
-    "SELECT CAST(least(5, greatest(2, (SELECT count(*) FROM _ex) // 4)) AS BIGINT) AS k, true AS mae_in_range"))
+    "SELECT CAST(least(5, greatest(2, (SELECT count(*) FROM _ex) // 4)) AS BIGINT) AS k, true AS mae_in_range, true AS half_of_the_mean"))
 def q_cv_mae(spark, sf):
+    """The error over the folds, and that it is less than half of what the mean label
+    of the other folds would make (labels follow the snippets, so a fit finds them)."""
     ex = examples(spark, sf)
-    k, mae = M.cv_mae(M.prepare(ex), training.kfold_assign(ex))
-    return spark.createDataFrame([(int(k), 0.0 <= mae <= 1.0)], "k long, mae_in_range boolean")
+    prepared, folds = M.prepare(ex), materialize(training.kfold_assign(ex).select("hash", "fold"), "folds")
+    k, mae = M.cv_mae(prepared, folds)
+    return spark.createDataFrame([(int(k), 0.0 <= mae <= 1.0, 2 * mae < M.mean_mae(prepared, folds))],
+                                 "k long, mae_in_range boolean, half_of_the_mean boolean")
 
 
 @register("save_model", O.with_views("SELECT commit_id, true AS same_score FROM commits", "commits"))

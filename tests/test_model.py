@@ -74,3 +74,21 @@ def test_cv_mae_is_finite(examples):
 def test_fit_takes_at_most_the_bound(examples):
     kept = M.bounded_examples(examples, 30)
     assert kept.count() == 30 and M.bounded_examples(examples, 10_000).count() == examples.count()
+
+
+def test_statistics_and_mean_predictor(examples):
+    from riskloom.session import materialize
+    few = dict(FAST, maxIter=2)
+    model, status = M.train_model(examples, params=few, order_col="ord")
+    folds = materialize(TR.kfold_assign(examples).select("hash", "fold"), "folds")
+    prepared = M.prepare(examples)
+    # a fit draws rows by partition, so the error differs a little from run to run
+    assert 0 <= status["mae"] == model.stats["mae"] < M.mean_mae(prepared, folds) and status["trained_at"]
+    rows = folds.join(examples, "hash").select("fold", "risk_score").collect()
+    per = []
+    for f in {r.fold for r in rows}:
+        rest = [r.risk_score for r in rows if r.fold != f]
+        mean = sum(rest) / len(rest)
+        own = [abs(r.risk_score - mean) for r in rows if r.fold == f]
+        per.append(sum(own) / len(own))
+    assert M.mean_mae(prepared, folds) == pytest.approx(sum(per) / len(per))

@@ -8,7 +8,7 @@ from riskloom.plans import q_model
 from test_plans import exchanges
 
 
-@pytest.mark.parametrize("k,width", [(50, 16), (50, 1 << 12), (400, 1 << 20), (10**6, 64)])
+@pytest.mark.parametrize("k,width", [(50, 16), (400, 1 << 20), (10**6, 64)])
 def test_same_terms_whatever_the_sketch(spark, sf_small, k, width):
     """Also where cells are so few that every one is heavy, or the first bound is too high."""
     ex = q_model.examples(spark, sf_small)
