@@ -49,7 +49,7 @@ def brute(rows, fanout):
             for g in names for at, x in enumerate(sorted(groups[g]))}
 
 
-@pytest.mark.parametrize("fanout,block", [(2, 4), (2, 16), (3, 9), (4, 4)])
+@pytest.mark.parametrize("fanout,block", [(2, 16), (3, 9)])
 def test_manifest_equals_one_tree(spark, fanout, block):
     rows = [(k, [None, "", "a", "b", "é", "hot", "hot", "hot"][k * k % 8], k * 37 % 501, h(str(k))) for k in range(301)]
     rows += [(1000 + k, "hot", 9000 + k, h("more", str(k))) for k in range(130)] + [(2000, "lone", 5, h("lone"))]
