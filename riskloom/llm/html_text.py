@@ -4,11 +4,13 @@ Method: composite text density.  A page becomes a tree of elements.  Every
 node has its number of characters C, of characters in links LC, of tags T and
 of link tags LT below it; its density is C/T, weighted by a logarithm that
 grows with the share of unlinked characters and falls, against the body's own
-link ratio, where links are dense.  A node's density sum adds its children's
-densities, and the node with the largest sum is the core of the main text.
-The smallest density on its path up to the body is the threshold: ancestors
-are taken in while they are as dense as the core needs and while they belong
-to the same article, so that a heading beside the text is kept.
+link ratio, where links are dense.  A node's density sum adds the densities of
+its child blocks and of its own running text, inline markup included; the node
+with the largest sum, the outermost of equals, is the main text.  The smallest
+density on its path up to the body is the threshold: of what stands beside the
+path, blocks as dense as that and not mostly of links are taken in, and
+headings.  Only between equals the marks of the page count: what an article
+element around that node holds stays, another article beside it is taken in.
 
 What is never main text is left out before densities are taken: scripts,
 styles, menus, headers and footers of the page, sidebars, notices, adverts and
@@ -32,6 +34,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,14 +45,19 @@ from .common import fresh, require, without
 
 # Elements by their part in HTML, and words of class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes select object canvas".split())
-LEFT_OUT = RAW | frozenset("head nav footer aside button input menu dialog audio video map label fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+SELF_CLOSED = frozenset("svg math iframe".split())
+HEAD_PARTS = frozenset("head base link meta noscript script style template title".split())
+LEFT_OUT = RAW | frozenset("head nav footer aside input menu dialog audio video map fieldset select svg template".split())
+OUTSIDE_LEFT_OUT = frozenset("header button label".split())  # noise outside of an article only
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 "
                              "h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
                "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
+SAME_AS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
 NOISE_WORDS = frozenset("ad ads alert advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments commentlist cookie "
                         "cookies consent disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification "
                         "paywall popup promo promoted reactions related replies respond share sharing sidebar skip social sponsor sponsored "
@@ -73,13 +81,70 @@ _CORE_TAG = re.compile(r"<(?:article|main)\b", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "noise", "doubt", "chars", "linked", "tags", "links", "density")
+    __slots__ = ("name", "parent", "children", "noise", "doubt", "chars", "linked", "tags", "links", "headed", "flat", "density", "total", "run")
 
     def __init__(self, name: str, parent: Node | None, noise: bool = False) -> None:
         self.name, self.parent, self.noise, self.doubt = name, parent, noise, ""
         self.children: list[Node | str] = []
-        self.chars = self.linked = self.tags = self.links = 0
-        self.density = 0.0
+        self.chars = self.linked = self.tags = self.links = self.headed = 0
+        self.flat = name in INLINE or name in VOID  # inline markup without blocks in it
+        self.density = self.total = self.run = 0.0
+
+
+class _Open:
+    """The open elements, by depth; every question is answered without a walk over them."""
+
+    def __init__(self, body: Node) -> None:
+        self.stack, self.depths, self.blocks, self.skipped = [body], {}, [0], 0
+
+    def push(self, name: str, noise: bool) -> Node:
+        node = Node(name, self.stack[-1], noise)
+        if not noise:
+            self.stack[-1].children.append(node)
+        self.depths.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        self.skipped += noise
+        return node
+
+    def pop_to(self, depth: int) -> None:
+        """Close the element at ``depth`` and all within."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.depths[node.name].pop()
+            if node.name not in INLINE:
+                self.blocks.pop()
+            self.skipped -= node.noise
+
+    def last(self, name: str) -> int:
+        return self.depths[name][-1] if self.depths.get(name) else 0
+
+    def within_core(self) -> bool:
+        return any(self.depths.get(name) for name in CORES)
+
+    def end(self, name: str) -> None:
+        """Close the nearest open element of that name; an end of inline markup does not close blocks."""
+        depth = self.last(name)
+        if depth and (name not in INLINE or depth > self.blocks[-1]):
+            self.pop_to(depth)
+
+    def start(self, name: str) -> None:
+        """Close what a start tag of that name ends."""
+        if self.last("head") and name not in HEAD_PARTS:
+            self.pop_to(self.last("head"))
+        foreign = max(self.last("svg"), self.last("math"))
+        if foreign > self.last("foreignobject") and name in CLOSES_PARAGRAPH:
+            self.pop_to(self.depths["svg" if foreign == self.last("svg") else "math"][0])
+        if name in CLOSES_PARAGRAPH:
+            if self.stack[self.blocks[-1]].name == "p":
+                self.pop_to(self.blocks[-1])
+        elif name in SAME_CLOSES:
+            stop = max(self.last(s) for s in SAME_CLOSES[name])
+            found = [depths[k] for same in SAME_AS.get(name, (name,)) if (depths := self.depths.get(same)) and
+                     (k := bisect_right(depths, stop)) < len(depths)]
+            if found:
+                self.pop_to(min(found))
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -93,7 +158,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 def _mark(name: str, attributes: str, within_core: bool, by_words: bool) -> str:
     """Whether an element is "noise", noise if it holds mostly "links", a "form", or nothing of that."""
-    if name in LEFT_OUT or name == "header" and not within_core:
+    if name in LEFT_OUT or name in OUTSIDE_LEFT_OUT and not within_core:
         return "noise"
     mark = "form" if name == "form" else ""
     if not attributes:
@@ -123,52 +188,33 @@ def tree(page: str, by_words: bool = True) -> Node:
     """The page's elements under one body; noise has no content.  ``by_words``
     also takes the words of class and id as marks of noise: a name made of such
     words, or one that only has such a word if the element is mostly links."""
-    body = now = Node("body", None)
-    at, end = 0, len(page)
-    core, skipped = 0, 0  # open articles; open elements inside a noise element
-    doubtful = False
+    body, at, doubtful = Node("body", None), 0, False
+    now = _Open(body)
     for m in iter(lambda: _MARKUP.search(page, at), None):
-        if m.start() > at and not skipped:
-            now.children.append(html.unescape(page[at: m.start()]))
+        if m.start() > at and not now.skipped:
+            now.stack[-1].children.append(html.unescape(page[at: m.start()]))
         at = m.end()
         name = (m[2] or "").lower()
-        if not name or name in ("html", "body"):
-            if at == m.start():
-                break
+        if not name:
             continue
         if m[1]:
-            if skipped or name != "head":
-                now, core = _close(now, name, core)
-                skipped = _noise_depth(now)
-            continue
-        if skipped and name not in CLOSES_PARAGRAPH and name not in SAME_CLOSES:
-            if name not in VOID and not m[3].endswith("/") and name not in RAW:
-                now = _open(now, name, True)
-                skipped += 1
-            elif name in RAW:
-                at = _raw_end(page, name, at)
+            now.end(name)
             continue
-        if name in CLOSES_PARAGRAPH:
-            now, core = _close_paragraph(now, core)
-        elif name in SAME_CLOSES:
-            now, core = _close_same(now, name, core)
-        skipped = _noise_depth(now)
-        mark = "noise" if skipped else _mark(name, m[3], core > 0, by_words)
-        noise = mark == "noise"
-        if name in VOID:
-            if not skipped:
-                now.children.append(Node(name, now, noise))
+        now.start(name)
+        if name in ("html", "body"):
             continue
-        if name in RAW:
+        mark = "noise" if now.skipped else _mark(name, m[3], now.within_core(), by_words)
+        if name in VOID or name in SELF_CLOSED and m[3].endswith("/"):
+            if not now.skipped and mark != "noise":
+                now.stack[-1].children.append(Node(name, now.stack[-1]))
+        elif name in RAW:
             at = _raw_end(page, name, at)
-            continue
-        now = _open(now, name, noise)
-        if mark and not noise:
-            now.doubt, doubtful = mark, True
-        skipped += noise
-        core += name in CORES
-    if at < end and not skipped:
-        now.children.append(html.unescape(page[at:]))
+        else:
+            node = now.push(name, mark == "noise")
+            if mark and mark != "noise":
+                node.doubt, doubtful = mark, True
+    if at < len(page) and not now.skipped:
+        now.stack[-1].children.append(html.unescape(page[at:]))
     if doubtful:
         _settle(body, "links")
         _settle(body, "form")
@@ -199,65 +245,23 @@ def _settle(body: Node, doubt: str) -> None:
         parent.children = [c for c in parent.children if c not in out]
 
 
-def _open(now: Node, name: str, noise: bool) -> Node:
-    node = Node(name, now, noise)
-    if not noise:
-        now.children.append(node)
-    return node
-
-
-def _noise_depth(now: Node) -> int:
-    depth = 0
-    while now is not None and now.noise:
-        depth, now = depth + 1, now.parent
-    return depth
-
-
 def _raw_end(page: str, name: str, at: int) -> int:
     m = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
     return m.end() if m else len(page)
 
 
-def _up_to(now: Node, target: Node, core: int) -> tuple[Node, int]:
-    while True:
-        core -= now.name in CORES
-        if now is target:
-            return now.parent, core
-        now = now.parent
-
-
-def _close(now: Node, name: str, core: int) -> tuple[Node, int]:
-    """Close the nearest open element of that name; an end of inline markup does not close blocks."""
-    node = now
-    while node.parent is not None and node.name != name:
-        if name in INLINE and node.name not in INLINE:
-            return now, core
-        node = node.parent
-    return (now, core) if node.parent is None else _up_to(now, node, core)
-
-
-def _close_paragraph(now: Node, core: int) -> tuple[Node, int]:
-    node = now
-    while node.parent is not None and node.name in INLINE:
-        node = node.parent
-    return _up_to(now, node, core) if node.name == "p" and node.parent is not None else (now, core)
-
-
-def _close_same(now: Node, name: str, core: int) -> tuple[Node, int]:
-    node, stop = now, SAME_CLOSES[name]
-    same = {name} | ({"dt", "dd"} & {name} and {"dt", "dd"}) | ({"td", "th"} & {name} and {"td", "th"})
-    if name == "tr":
-        same |= {"td", "th"}
-    found = None
-    while node.parent is not None and node.name not in stop:
-        if node.name in same:
-            found = node
-        node = node.parent
-    return _up_to(now, found, core) if found is not None else (now, core)
+def _density(chars: int, linked: int, tags: int, links: int, share: float) -> float:
+    """Characters per tag, less where links are dense; ``share`` is the page's share of linked characters."""
+    tags = max(1, tags)
+    if not chars or not linked:
+        return chars / tags
+    base = math.log(chars / max(1, chars - linked) * linked + share * chars + math.e)
+    ratio = chars / linked * tags / max(1, links)
+    return chars / tags * math.log(ratio) / math.log(base) if ratio > 1 and base > 1 else 0.0
 
 
 def measure(body: Node) -> list[Node]:
-    """All nodes, parents first, with their counts and densities."""
+    """All nodes, parents first, with their counts, densities and sums of densities."""
     nodes, at = [body], 0
     while at < len(nodes):
         nodes += [c for c in nodes[at].children if isinstance(c, Node)]
@@ -269,67 +273,84 @@ def measure(body: Node) -> list[Node]:
             else:
                 node.chars += c.chars
                 node.linked += c.linked
+                node.headed += c.headed
                 node.tags += c.tags + 1
                 node.links += c.links + (c.name == "a")
+                node.flat &= c.flat
         if node.name == "a":
             node.linked, node.links = node.chars, max(1, node.links)
+        if node.name in HEADINGS:
+            node.headed = node.chars
     share = body.linked / max(1, body.chars)
-    for node in nodes:
-        c, linked, tags, links = node.chars, max(1, node.linked), max(1, node.tags), max(1, node.links)
-        if c:
-            base = math.log(c / max(1, c - node.linked) * node.linked + share * c + math.e)
-            ratio = c / linked * tags / links
-            node.density = c / tags * (math.log(ratio) / math.log(base) if ratio > 1 and base > 1 and math.log(base) > 0 else
-                                       1.0 if not node.linked else 0.0) if node.linked else c / tags
+    for node in reversed(nodes):
+        node.density = _density(node.chars, node.linked, node.tags, node.links, share)
+        parts = [c for c in node.children if isinstance(c, Node)]
+        flat = [c for c in parts if c.flat]
+        chars = node.chars - sum(c.chars for c in parts if not c.flat)
+        linked = chars if node.name == "a" else sum(c.linked for c in flat)
+        node.run = _density(chars, linked, len(flat) + sum(c.tags for c in flat), sum(c.links + (c.name == "a") for c in flat), share)
+        node.total = node.run + sum(c.density for c in parts if not c.flat)
     return nodes
 
 
-def main_node(body: Node) -> Node:
-    nodes = measure(body)
-    best = max(nodes, key=lambda n: sum(c.density for c in n.children if isinstance(c, Node)))  # the first of equals
-    path = []
-    node = best
-    while node is not None:
-        path.append(node)
-        node = node.parent
+def main_parts(body: Node) -> set[Node]:
+    """What to leave out of the page: all but the node of the largest density
+    sum (the outermost of equals) and what stands beside its path to the body
+    and is as dense as the least dense node of that path."""
+    best = max((n for n in measure(body) if not n.flat), key=lambda n: n.total)
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    core = next((n for n in reversed(path) if n.name in CORES), None)
-    if core is None and not any(n.name in CORES and n.chars for n in nodes):
-        # no marked article: take ancestors in while what they add is as dense as the threshold asks
-        for up in path[1:]:
-            rest = [c for c in up.children if isinstance(c, Node) and c is not best and c.chars]
-            if any(c.density < threshold or c.linked * 2 > c.chars for c in rest):
-                break
-            best = up
-        return best
-    return core or max((n for n in nodes if n.name in CORES), key=lambda n: n.chars)
-
-
-def text_of(node: Node) -> str:
+    out: set[Node] = set()
+    if best is body:  # no block stands out: lists of links go from both ends of the page
+        beside = [c for c in body.children if isinstance(c, Node) and c.chars and not c.flat]
+        for side in (beside, beside[::-1]):
+            for c in side:
+                if 2 * c.linked <= c.chars or c.density >= threshold:
+                    break
+                out.add(c)
+    nearest = next((k for k, n in enumerate(path) if n.name == "article"), 0)
+    for below, up in zip(path[nearest:], path[nearest + 1:]):  # between equals the marked article decides: all that it holds stays
+        for c in up.children:
+            if isinstance(c, str) or c is below:
+                continue
+            dense = up.run >= threshold if c.flat else c.density >= threshold or c.name == "article" or c.headed == c.chars
+            if not dense or 2 * c.linked > c.chars:
+                out.add(c)
+        if up.run < threshold:
+            up.children = [c for c in up.children if isinstance(c, Node)]
+    return out
+
+
+def text_of(node: Node, out: set[Node] = frozenset()) -> str:
     """Blocks of a subtree in order, each with single spaces, joined by one space."""
-    out: list[str] = []
+    found: list[str] = []
     stack: list[Node | str] = [node]
     while stack:
         top = stack.pop()
         if isinstance(top, str):
-            out.append(top)
+            found.append(top)
+        elif top in out:
+            found.append(" ")
         elif top.name in INLINE:
             stack.extend(reversed(top.children))
         else:
-            out.append(" ")
+            found.append(" ")
             stack.append(" ")
             stack.extend(reversed(top.children))
-    return " ".join("".join(out).split())
+    return " ".join("".join(found).split())
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     body = tree(page)
-    text = text_of(main_node(body))
+    text = text_of(body, main_parts(body))
     if not text or _CORE_TAG.search(page) and not _has_core(body):
         # a frame around the whole page is called like noise: go by elements and roles alone
-        text = text_of(main_node(tree(page, by_words=False)))
+        body = tree(page, by_words=False)
+        text = text_of(body, main_parts(body))
     return text
 
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -29,6 +30,43 @@ def test_pages_whole_table(spark):
     assert dict(zip(got.page_id, got.url)) == dict(zip(d.page_id, d.url))
 
 
+def unmarked(page):
+    """The page with neither article nor menu marked as such."""
+    return re.sub(r"<(/?)nav>", r"<\1div>", re.sub(r"</?article>", "", page))
+
+
+def test_density_decides_on_every_page(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    want = [plain_article(p) for p in pages]
+    for change in (lambda p: re.sub(r"</?article>", "", p), lambda p: re.sub(r"<(/?)article>", r"<\1div>", p), unmarked):
+        assert [html_text.main_text(change(p)) for p in pages] == want
+    monkeypatch.setattr(html_text, "_density", lambda *counts: 0.0)
+    assert all(html_text.main_text(unmarked(p)) != w for p, w in zip(pages, want))
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>one</p><svg class='i'/><p>two</p></article>", "one two"),
+    ("<article><p>one</p><math/><iframe src=x /><p>two</p></article>", "one two"),
+    ("<article><p>one</p><svg><circle><title>t</title><p>two</p></article>", "one two"),
+    ("<article><p>one <math><mi>x</mi></math> <label>l</label> <button>b</button></p><object>o</object></article>", "one x l b o"),
+    ("<main><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><article><h1>T</h1><p>body text</p></article></main>", "T body text"),
+    ("<article><p>first and longer text</p></article><article><p>second</p></article>", "first and longer text second"),
+    ("<head><title>x</title><body><p>t</p>", "t"),
+    ("<div><ul><li><a href=a>Home</a></li></ul></div><div><h2>T</h2></div><div><p>one two three</p><p>four five six</p></div>", "T one two three four five six"),
+])
+def test_page_structure(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("first, many, then", [
+    ("", "<i>", "</p>"), ("<nav>", "<div>", "</p>"), ("<ul>", "<div>", "<li></li>"), ("<div>", "<i>", "<hr>"), ("<b><div>", "<i>", "</b>"),
+    ("", "<article>", "<p>")])
+def test_page_parse_is_linear(first, many, then):
+    before = time.process_time()
+    assert html_text.main_text(first + 20000 * many + 20000 * then) == ""
+    assert time.process_time() - before < 10
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<b>b</b>c<p>d", "abc d"), ("x < y and 3 <5", "x < y and 3 <5"),
     ("<div>x<script>if(a<b)</script>y</div><nav>menu</nav>", "xy"), ("<p>unfinished <a href='x", "unfinished"), ("a<!-- never ends <p>x</p>", "a"),
