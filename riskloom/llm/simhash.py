@@ -2,14 +2,17 @@
 
 Method: byte-position inverted index with count filtering.  A fingerprint of
 64 bits has eight positional bytes.  Two fingerprints that differ in at most
-d bits share at least 8 - d of them, so their tally of shared positional bytes
-has that guaranteed minimum.  A posting per single byte would hold a 256th of
-all fingerprints, which grows with the square of the corpus; the index
-therefore holds a posting for every choice of 8 - d positions with their
-bytes.  Every pair that reaches the minimum tally meets in such a posting, and
-as only d bytes are free in one, no posting holds more than 256^d different
-fingerprints.  Within a posting the shared bytes are tallied, pairs under the
-minimum are left out, and the rest are verified by the bits that differ.
+d bits share at least 8 - d of them: the guaranteed minimum.  A posting per
+single byte would hold a 256th of all fingerprints, which grows with the square
+of the corpus; the index therefore holds a posting for every choice of one
+position less than the minimum, with their bytes.  In a posting the positional
+bytes that two fingerprints share are tallied, pairs under the minimum are left
+out, and the rest are verified by the bits that differ.
+
+A posting of many fingerprints is split by each of its further positions: a
+pair that reaches the minimum shares one of these bytes too.  Only d bytes are
+free then, and the fingerprints within d bits of one are looked up, so the work
+is linear and not that of all pairs.
 
 Copies are folded first: only different fingerprints enter the index, and a
 posting gives the edges of a spanning forest, never all its pairs.
@@ -37,6 +40,8 @@ from .runs import components, map_runs, roots
 SHINGLE_WORDS = 3
 MOST_BITS = 2
 SEED = 42
+#: Fingerprints of a posting that are tallied pair by pair; larger postings are split.
+LARGE = 1024
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -78,22 +83,26 @@ def _positional(fp: Column, kept: tuple[int, ...]) -> Column:
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
 
 
+def choices(most_bits: int) -> list[tuple[int, ...]]:
+    """The byte positions of every posting: one less than the guaranteed minimum."""
+    return list(combinations(range(8), 7 - most_bits))
+
+
 def links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints (column ``fp``,
     different longs) which chains of at most ``most_bits`` differing bits connect."""
     if not 0 <= most_bits <= 2:
         raise ValueError("postings are bounded for at most 2 differing bits")
-    choices = list(combinations(range(8), 8 - most_bits))
+    positions = choices(most_bits)
     fp = F.col("fp")
-    postings = prints.select("fp", F.posexplode(F.array(*[_positional(fp, c) for c in choices])).alias("choice", "bytes"))
+    postings = prints.select("fp", F.posexplode(F.array(*[_positional(fp, c) for c in positions])).alias("choice", "bytes"))
 
     def linked(whole: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        values = whole.column("fp").to_numpy().view(np.uint64)
+        values, choice = whole.column("fp").to_numpy().view(np.uint64), whole.column("choice").to_numpy()
         left, right = [], []
         for s, e in zip(starts[:-1][np.diff(starts) > 1].tolist(), starts[1:][np.diff(starts) > 1].tolist()):
             group = values[s:e]
-            a, b = _verified(group, most_bits)
-            root = roots(e - s, a, b)
+            root = roots(e - s, *_verified(group, most_bits)) if e - s <= LARGE else _split(group, positions[choice[s]], most_bits)
             child = np.flatnonzero(root != np.arange(e - s))
             left.append(group[child])
             right.append(group[root[child]])
@@ -103,20 +112,38 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return map_runs(postings, ["choice", "bytes"], linked, "a long, b long").distinct()
 
 
+def _counted(group: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a posting that share the guaranteed number of positional bytes."""
+    parts = group.view(np.uint8).reshape(-1, 8)
+    tally = sum((parts[:, i, None] == parts[None, :, i]).astype(np.int8) for i in range(8))
+    i, j = np.nonzero(tally >= 8 - most_bits)
+    return i[i < j], j[i < j]
+
+
 def _verified(group: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a posting that share enough positional bytes and differ in few enough bits."""
-    parts, least = group.view(np.uint8).reshape(-1, 8), 8 - most_bits
-    rows = max(1, 1_000_000 // len(group))
-    a, b = [], []
-    for at in range(0, len(group), rows):
-        some = slice(at, at + rows)
-        tally = sum((parts[some, i, None] == parts[None, at:, i]).astype(np.int8) for i in range(8))
-        i, j = np.nonzero(tally >= least)
-        i, j = i[i < j] + at, j[i < j] + at
-        near = np.bitwise_count(group[i] ^ group[j]) <= most_bits
-        a.append(i[near])
-        b.append(j[near])
-    return np.concatenate(a), np.concatenate(b)
+    """Of these, the pairs that differ in few enough bits."""
+    i, j = _counted(group, most_bits)
+    near = np.bitwise_count(group[i] ^ group[j]) <= most_bits
+    return i[near], j[near]
+
+
+def _split(group: np.ndarray, shared: tuple[int, ...], most_bits: int) -> np.ndarray:
+    """The smallest index that each fingerprint of a large posting is linked to,
+    over its parts by one further byte each."""
+    parts, root = group.view(np.uint8).reshape(-1, 8).astype(np.uint32), np.arange(len(group))
+    free = [k for k in range(8) if k not in shared]
+    flips = [sum(1 << k for k in bits) for many in range(1, most_bits + 1) for bits in combinations(range(8 * most_bits), many)]
+    for further in free:
+        rest = [k for k in free if k != further]
+        key = (parts[:, further] << np.uint32(8 * most_bits)) | sum((parts[:, k] << np.uint32(8 * n) for n, k in enumerate(rest)), np.uint32(0))
+        order = np.argsort(key)
+        ranked = key[order]
+        for flip in flips:
+            wanted = key ^ np.uint32(flip)
+            at = np.minimum(np.searchsorted(ranked, wanted), len(key) - 1)
+            hit = np.flatnonzero(ranked[at] == wanted)
+            root = roots(len(key), np.concatenate([hit, np.arange(len(key))]), np.concatenate([order[at[hit]], root]))
+    return root
 
 
 def groups(rows: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
