@@ -124,17 +124,21 @@ def _step_of(n: Column) -> Column:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The dictionary holds the words whose count reaches a step of a logarithmic
-    scale, the lowest one that leaves at most ``DICTIONARY`` of them; so no task
-    sorts or sends more than there is room for."""
+    scale, the lowest one that leaves at most ``DICTIONARY`` of them, and of the
+    next step the words whose hash is low enough to fill the room that is left;
+    so no task sorts or sends more than there is room for."""
     forms = {r.form: (r.tokens, r.words) for r in
              counts.groupBy(_form_of(F.col("word")).alias("form")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).collect()}
-    least, many = None, 0
+    room, step, share = DICTIONARY, 0, 1.0
     for r in sorted(counts.groupBy(_step_of(F.col("n")).alias("step")).count().collect(), key=lambda r: -r.step):
-        many += r["count"]
-        if many > DICTIONARY:
+        step = r.step
+        if r["count"] > room:
+            share = max(0.0, room - 4 * room ** 0.5) / r["count"]
             break
-        least = r.step
-    frequent = [] if least is None else sorted(counts.where(_step_of(F.col("n")) >= least).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
+        room -= r["count"]
+    low = F.xxhash64("word") < F.lit(min(int((2 * share - 1) * 2 ** 63), 2 ** 63 - 1)).cast("long")
+    wanted = (_step_of(F.col("n")) > step) | (_step_of(F.col("n")) == step) & (low if share < 1 else F.lit(True))
+    frequent = sorted(counts.where(wanted).select("word", "n").collect(), key=lambda r: (-r.n, r.word))[:DICTIONARY]
     tokens, distinct = (np.array([forms.get(k, (0, 0))[i] for k in range(FORM_CLASSES)], float) for i in (0, 1))
     total, different = int(tokens.sum()), int(distinct.sum())
     for r in frequent[: HEAD_CLASSES * CLASS_WORDS]:  # these have classes of their own

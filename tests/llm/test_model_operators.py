@@ -62,6 +62,17 @@ def test_language_model_odd_rows(spark):
     assert language_model.fit_and_score(d.limit(0), d).count() == 0
 
 
+def test_language_model_of_words_that_occur_once(spark):
+    """More equally rare words than the dictionary holds: it is filled, and scores are those of a model."""
+    d = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(70_000))), (2, "w1 w2 new")], "doc_id long, text string")
+    v = language_model.vocabulary(language_model.count_words(d.where("doc_id = 1")))
+    assert 64_000 < v.size <= language_model.DICTIONARY and v.tokens == 70_001
+    got = {r.doc_id: r for r in language_model.fit_and_score(d, d.where("doc_id = 1")).collect()}
+    assert got[1].n_known == 70_001 and got[2].n_known == 3 and got[2].n_tokens == 4
+    # each word is about as likely as any other: the score stays near the base
+    assert all(math.isfinite(r.score) and r.score < 0 and abs(r.score - r.base_score) < 0.2 * -r.base_score for r in got.values())
+
+
 def test_mini_batches_know_their_history():
     v = language_model.Vocabulary([b"a", b"b", b""], np.array([3.0, 2.0, 1.0]), 6, 3, np.zeros(8), np.zeros(8))
     text = b"a b zz a"
