@@ -5,9 +5,11 @@ vectors of its hashed words, of its hashed character n-grams and of the word
 pair "same word again", and a softmax over two outputs tells its class; vectors
 and outputs are trained by stochastic gradient descent in numpy.
 
-The fit takes a bounded sample of the labelled documents: the ``sample_docs``
-with the lowest hash of their id, texts of at most ``sample_chars`` characters.
-That bound is a parameter; every document is scored, over its whole text.  As
+The fit takes a bounded sample of the labelled documents: those with the lowest
+hash of their id, ``sample_docs`` at most, or as many as have ``sample_features``
+different features in all.  Both bounds are parameters.  Whole texts are read,
+by the tasks: the driver gets buckets and counts, no text.  Every document is
+scored, over its whole text.  As
 outputs are linear in the average, a bucket's vector counts only through the
 difference of its two outputs, so the tasks get one number per bucket.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, without
+from .common import materialize, require, without
 from .ngrams import subwords
 
 ORDERS = (3, 4)
@@ -37,7 +39,8 @@ DIMENSIONS = 16
 EPOCHS = 8
 RATE = 0.5
 SAMPLE_DOCS = 4000
-SAMPLE_CHARS = 200_000
+#: Different features of all sampled texts together; eight bytes each on the driver.
+SAMPLE_FEATURES = 30_000_000
 SEED = 7
 
 
@@ -53,18 +56,26 @@ class QualityModel:
 
 def features(text: str, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Different buckets of a text and how often each occurs."""
-    found = list(subwords(text, orders, bits))
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    counts = np.zeros((1 << bits) + 1, np.int64)
+    for buckets in subwords(text, orders, bits):
+        counts += np.bincount(buckets, minlength=len(counts))
+    found = np.flatnonzero(counts)
+    return found.astype(np.int32), counts[found].astype(np.int32)
 
 
-def fit(texts: list[str], labels: list[int], orders: tuple[int, ...] = ORDERS, bits: int = BITS, dimensions: int = DIMENSIONS,
-        epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> QualityModel:
+def fit(texts: list[str], labels: list[int], orders: tuple[int, ...] = ORDERS, bits: int = BITS, **more) -> QualityModel:
+    """Fit on texts at hand."""
+    return descend([features(t, orders, bits) for t in texts], labels, orders, bits, **more)
+
+
+def descend(seen: list[tuple[np.ndarray, np.ndarray]], labels: list[int], orders: tuple[int, ...] = ORDERS, bits: int = BITS,
+            dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> QualityModel:
+    """Gradient descent over the features of labelled texts."""
     y = np.array(labels, float)
     share = y.mean() if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         odds = {0.0: -30.0, 1.0: 30.0}.get(share, 0.0)
         return QualityModel(np.zeros((1 << bits) + 1), odds, orders, bits)
-    seen = [features(t, orders, bits) for t in texts]
     random = np.random.default_rng(seed)
     vectors = random.normal(0, 1 / dimensions, ((1 << bits) + 1, dimensions))
     outputs, bias = random.normal(0, 1 / dimensions, (2, dimensions)), np.log([1 - share, share])
@@ -90,12 +101,13 @@ def fit(texts: list[str], labels: list[int], orders: tuple[int, ...] = ORDERS, b
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, **more) -> QualityModel:
+          sample_docs: int = SAMPLE_DOCS, sample_features: int = SAMPLE_FEATURES,
+          orders: tuple[int, ...] = ORDERS, bits: int = BITS, **more) -> QualityModel:
     """Fit on the bounded sample of ``docs`` that ``labels`` (id, 0/1) tells of."""
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")) \
-        .where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+        .where(F.col("id").isNotNull() & F.col("text").isNotNull())
     told = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("id is not null and label is not null") \
         .groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     # ids first: the texts of the chosen few are all that moves
@@ -103,9 +115,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = [(r.id, r.label) for r in chosen.collect()]
     spark = docs.sparkSession
     few = spark.createDataFrame(rows, chosen.schema)
-    sample = texts.join(F.broadcast(few), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
-    sample.sort(key=lambda r: r.id)
-    return fit([r.text for r in sample], [r.label for r in sample], **more)
+    sample = texts.join(F.broadcast(few), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                found, counts = features(text, orders, bits)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in (0, 1)), pa.array([len(found)], pa.int32()),
+                                                  pa.array([found.tobytes()]), pa.array([counts.tobytes()])], names=["id", "label", "many", "found", "counts"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    stored = materialize(sample.mapInArrow(read, f"id {kind}, label int, many int, found binary, counts binary"), "features")
+    sizes, total, last = {r.id: r.many for r in stored.select("id", "many").collect()}, 0, len(rows)
+    for k, (key, _) in enumerate(rows):
+        total += sizes[key]
+        if total > sample_features:
+            last = k
+            break
+    if last < len(rows):
+        stored = stored.join(F.broadcast(spark.createDataFrame(rows[:last], chosen.schema).select("id")), "id", "left_semi")
+    got = sorted(stored.select("id", "label", "found", "counts").collect(), key=lambda r: r.id)
+    return descend([tuple(np.frombuffer(b, np.int32) for b in (r.found, r.counts)) for r in got], [r.label for r in got], orders, bits, **more)
 
 
 def probability(model: QualityModel, text: str | None) -> float:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontamination, language, packing, quality, queries, simhash
+from riskloom.llm.runs import roots
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -172,6 +173,21 @@ def test_simhash_whole_table(spark):
     assert sorted(map(tuple, got)) == sorted((i, f"{p:016x}", group[i]) for i, p in prints)
 
 
+@pytest.mark.parametrize("many", [300, 1500])
+@pytest.mark.parametrize("bits, shared", [(2, (3, 4, 5, 6, 7)), (1, (2, 3, 4, 5, 6, 7))])
+def test_simhash_posting(many, bits, shared):
+    """The count filter drops pairs and loses none; a split posting links the same."""
+    free = np.random.default_rng(3).integers(0, 1 << 8 * (8 - len(shared)), many).astype(np.uint64)
+    group = np.unique(np.uint64(0x0123456789ABCDEF) ^ free)
+    i, j = np.triu_indices(len(group), 1)
+    near = np.bitwise_count(group[i] ^ group[j]) <= bits
+    want = roots(len(group), i[near], j[near])
+    counted = set(zip(*(x.tolist() for x in simhash._counted(group, bits))))
+    assert len(counted) < len(i) / 20 and counted >= set(zip(i[near].tolist(), j[near].tolist()))
+    assert (roots(len(group), *simhash._verified(group, bits)) == want).all()
+    assert (simhash._split(group, shared, bits) == want).all()
+
+
 def test_simhash_links_chains_and_large_postings(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -250,7 +266,11 @@ def test_quality_odd_rows(spark):
     d = odd_docs(spark)
     assert quality.score(d, model).count() == d.count() and quality.score(d.limit(0), model).count() == 0
     labels = spark.createDataFrame([(5, 1), (5, 0), (5, 1), (4, 0), (None, 1), (1, None)], "doc_id long, quality int")
-    assert quality.train(d, labels, sample_chars=400_000).lean.any() and not quality.train(d, labels).lean.any()
+    assert quality.train(d, labels).lean.any()  # the labelled texts are the longest ones
+    assert not quality.train(d, labels, sample_features=1).lean.any()
+    names = spark.createDataFrame([(k, "good fine words" if k % 2 else "bad bad bad") for k in range(8)], "doc_id long, text string")
+    told = names.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    assert (quality.train(names, told).lean == quality.fit(*zip(*[(r.text, r.doc_id % 2) for r in names.orderBy("doc_id").collect()])).lean).all()
 
 
 def test_results_replace_columns_of_their_names(spark):
