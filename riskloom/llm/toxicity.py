@@ -275,10 +275,22 @@ def term_vectors(docs: DataFrame, terms: np.ndarray, text_col: str = "text") ->
     return docs.mapInArrow(looked_up, f"{fields}terms array<int>, counts array<int>")
 
 
+def document_counts(vectors: DataFrame, n_terms: int) -> DataFrame:
+    """(term, n): of how many rows every term is one; a task sends one row per term at the most."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], names=["term", "n"])
+
+    return vectors.select("terms").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def train(examples: DataFrame, terms: np.ndarray, vectors: DataFrame, neighbours: int = NEIGHBOURS) -> ToxicityModel:
     """Weights by document frequency over ``vectors`` (all documents), and the index of the examples."""
     n = vectors.count()
-    seen = {r.term: r.n for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r.term: r.n for r in document_counts(vectors, len(terms)).collect()}
     idf = np.array([1 + np.log((1 + n) / (1 + seen.get(k, 0))) for k in range(len(terms))])
     own = sorted(term_vectors(examples, terms).collect(), key=lambda r: r.id)
     return calibrate(terms, idf, [r.id for r in own], [r.label for r in own], [(np.array(r.terms, np.int64), np.array(r.counts, np.int64)) for r in own], neighbours)

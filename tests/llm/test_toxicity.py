@@ -132,3 +132,11 @@ def test_odd_rows(spark):
     names = spark.createDataFrame([(f"n{k}", t) for k, (_, t, _) in enumerate(rows)], "doc_id string, text string")
     told = spark.createDataFrame([(f"n{k}", y) for k, (_, _, y) in enumerate(rows)], "doc_id string, toxic int")
     assert toxicity.fit_and_score(names, names, told).where("score > 0.7").count() == 20
+
+
+def test_document_counts_without_a_row_per_term(spark):
+    d = spark.createDataFrame([([0, 2],), ([2],), ([],), ([0, 1, 2],)], "terms array<int>")
+    n = toxicity.document_counts(d, 4)
+    assert "Generate" not in n._jdf.queryExecution().executedPlan().toString()
+    assert {r.term: r.n for r in n.collect()} == {0: 2, 1: 1, 2: 3}
+    assert toxicity.document_counts(d.limit(0), 0).count() == 0
