@@ -92,3 +92,10 @@ def test_statistics_and_mean_predictor(examples):
         own = [abs(r.risk_score - mean) for r in rows if r.fold == f]
         per.append(sum(own) / len(own))
     assert M.mean_mae(prepared, folds) == pytest.approx(sum(per) / len(per))
+
+
+def test_fits_are_spread_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert M.fit_partitions(spark, 100) == 1
+    assert M.fit_partitions(spark, 40_000) == max(2, min(cores, 10))
+    assert M.fit_partitions(spark, 40_000, cores) == 2  # as many fits at a time as there are cores
