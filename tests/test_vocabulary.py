@@ -41,3 +41,24 @@ def test_nothing_but_cells_moves_for_the_sketch(spark, sf_small):
     grams = tm._hashed_grams(q_model.examples(spark, sf_small).select("hash", "code"), "hash", "code", 1 << 20)
     last = exchanges(grams.groupBy("cell").agg(F.count("*").alias("n")))[0]
     assert last == ["cell", "count"]
+
+
+def test_counts_stay_in_their_rows(spark):
+    """Where ids are unique nothing is grouped; otherwise the rows of an id are added up."""
+    rows = [("a", "one two one two one"), ("b", "one"), ("a", "one two"), ("c", ""), ("d", None), (None, "two two")]
+    d = spark.createDataFrame(rows, "hash string, code string")
+    by_row = tm.ngram_counts(d, "hash", unique=True)
+    assert exchanges(by_row) == [] and "Aggregate" not in by_row._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.hash), r.term, r.tf) for r in by_row.where("term not like '% %'").collect()) \
+        == [("None", "two", 2), ("a", "one", 1), ("a", "one", 3), ("a", "two", 1), ("a", "two", 2), ("b", "one", 1)]
+    assert {(r.hash, r.term): r.tf for r in tm.ngram_counts(d, "hash").where("hash = 'a'").collect()} == {
+        ("a", "one"): 4, ("a", "two"): 3, ("a", "one two"): 3, ("a", "two one"): 2, ("a", "one two one"): 2, ("a", "two one two"): 1}
+
+
+def test_norm_is_summed_once_per_document(spark):
+    """Not inside the lambda that scales the entries, where it is summed anew for each."""
+    counts = spark.createDataFrame([("a", "x", 0, 1.0, 1), ("a", "y", 1, 1.0, 1), ("b", "y", 1, 2.0, 3)], "hash string, term string, idx int, idf double, tf long")
+    sparse = tm.tfidf_sparse(counts, None, "hash")
+    assert "/ sqrt(aggregate" not in sparse._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.hash: [(e.idx, e.weight) for e in r.entries] for r in sparse.collect()}
+    assert got == {"a": [(0, pytest.approx(0.5**0.5)), (1, pytest.approx(0.5**0.5))], "b": [(1, pytest.approx(1.0))]}
