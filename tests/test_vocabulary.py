@@ -62,3 +62,9 @@ def test_norm_is_summed_once_per_document(spark):
     assert "/ sqrt(aggregate" not in sparse._jdf.queryExecution().optimizedPlan().toString().lower()
     got = {r.hash: [(e.idx, e.weight) for e in r.entries] for r in sparse.collect()}
     assert got == {"a": [(0, pytest.approx(0.5**0.5)), (1, pytest.approx(0.5**0.5))], "b": [(1, pytest.approx(1.0))]}
+
+
+def test_features_are_read_once(spark, sf_small):
+    """Bounds and scaling read stored numbers; no rule runs over the texts again."""
+    plan = q_model.q_scaled_features(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan
