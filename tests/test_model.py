@@ -99,3 +99,13 @@ def test_fits_are_spread_over_the_cores(spark):
     assert M.fit_partitions(spark, 100) == 1
     assert M.fit_partitions(spark, 40_000) == max(2, min(cores, 10))
     assert M.fit_partitions(spark, 40_000, cores) == 2  # as many fits at a time as there are cores
+
+
+def test_trees_are_read_in_one_call(fitted):
+    """As the nodes themselves hold them; not node by node."""
+    def nodes(n):
+        if n.getClass().getSimpleName() == "LeafNode":
+            return float(n.prediction())
+        return int(n.split().featureIndex()), float(n.split().threshold()), nodes(n.leftChild()), nodes(n.rightChild())
+
+    assert M._trees(fitted) == [nodes(t.rootNode()) for t in fitted.gbt._java_obj.trees()]

@@ -68,3 +68,17 @@ def test_features_are_read_once(spark, sf_small):
     """Bounds and scaling read stored numbers; no rule runs over the texts again."""
     plan = q_model.q_scaled_features(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" not in plan and "rlike" not in plan
+
+
+def test_scoring_counts_stay_in_their_rows(spark):
+    """No row per n-gram and no exchange but that of the texts; rows of an id are added up, and
+    texts that are read by one task are dealt out."""
+    rows = [("b", "one two one"), ("a", "two two"), ("b", "one"), ("c", "none"), (None, "one"), ("d", None), ("e", "")]
+    d = spark.createDataFrame(rows, "hash string, code string").coalesce(1)
+    vocab = spark.createDataFrame([("one", 0, 1.5), ("one two", 1, 2.0), ("two", 2, 0.1)], "term string, idx int, idf double")
+    counts = tm.vocab_counts(d, vocab, "hash")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and len(exchanges(counts)) == 1
+    got = {r.hash: [tuple(e) for e in r.counts] for r in counts.collect()}
+    assert got == {"a": [(2, 2.0, 0.1)], "b": [(0, 3.0, 1.5), (1, 1.0, 2.0), (2, 1.0, 0.1)], None: [(0, 1.0, 1.5)]}
+    assert tm.vocab_counts(d, vocab.limit(0), "hash").count() == 0
