@@ -101,6 +101,32 @@ def test_fits_are_spread_over_the_cores(spark):
     assert M.fit_partitions(spark, 40_000, cores) == 2  # as many fits at a time as there are cores
 
 
+def test_texts_are_read_once_for_a_fit(examples, monkeypatch):
+    """Features and tokens are made in one pass, which ranges, vocabulary and matrix share."""
+    seen = []
+    for name in ("with_features", "code_tokens"):
+        def counted(*args, _made=getattr(M, name), _name=name, **kw):
+            seen.append(_name)
+            return _made(*args, **kw)
+        monkeypatch.setattr(M, name, counted)
+    M.prepare(examples)
+    assert sorted(seen) == ["code_tokens", "with_features"]
+
+
+def test_a_text_table_stands_for_the_codes(fitted, spark):
+    """Also where ids repeat or are null, and without reading a code again."""
+    rows = [(1, "import os\nos.system(cmd)"), (1, "def add(a, b):\n    return a + b"), (2, "x = eval(inp)"), (2, "x = eval(inp)"),
+            (3, None), (4, ""), (None, "exec(src)")]
+    docs = spark.createDataFrame(rows, "commit_id long, code_content string")
+    texts = M.text_table(docs, "code_content", "commit_id")
+    by_code, by_table = M.model_score(fitted, docs), M.model_score(fitted, texts)
+    key = lambda r: (r.commit_id is None, r.commit_id or 0, r.raw_score is None, r.raw_score or 0.0, r.model_score or 0.0)
+    assert sorted(by_code.collect(), key=key) == sorted(by_table.collect(), key=key) and by_table.count() == len(rows)
+    assert "code_content" not in by_table._jdf.queryExecution().optimizedPlan().toString()
+    counts = M.tm.vocab_counts(texts, fitted.vocab, "commit_id")
+    assert sorted(M.model_score(fitted, texts, counts=counts).collect(), key=key) == sorted(by_code.collect(), key=key)
+
+
 def test_trees_are_read_in_one_call(fitted):
     """As the nodes themselves hold them; not node by node."""
     def nodes(n):
